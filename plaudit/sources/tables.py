@@ -1,8 +1,9 @@
 """Review views over the sales tables that serve as test and benchmark data.
 
-Every line item is one review. Two readings of the same rows are offered: customers
-reviewing parts (many reviews per user), and orders reviewing a part as sold in one
-supplier nation (few per user, some users with a single one).
+Every line item is one review, read in one of three ways: customers reviewing parts (many
+reviews per user); orders reviewing a part as sold in one supplier nation (few per user,
+some users with a single one); orders reviewing parts with all returned lines on one item
+(a third of all reviews). Documents and pages also serve as text records.
 """
 
 from __future__ import annotations
@@ -63,18 +64,52 @@ def customer_reviews(
 def order_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """Orders reviewing a part as sold by the suppliers of one nation."""
     suppliers = _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
-    return (
-        _table(spark, folder, "lineitem")
-        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            _review(
-                F.concat(
-                    F.lit("P"),
-                    F.col("l_partkey").cast("string"),
-                    F.lit("N"),
-                    F.col("s_nationkey").cast("string"),
-                ),
-                F.concat(F.lit("O"), F.col("l_orderkey").cast("string")),
-            )
-        )
+    lines = _table(spark, folder, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    item = [F.lit("P"), F.col("l_partkey").cast("string"), F.lit("N"), F.col("s_nationkey").cast("string")]
+    return lines.select(_review(F.concat(*item), _order()))
+
+
+def returns_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders reviewing parts, with every returned line a review of the item ``RETURN``."""
+    part = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    item = F.when(F.col("l_returnflag") == "R", "RETURN").otherwise(part)
+    return _table(spark, folder, "lineitem").select(_review(item, _order()))
+
+
+def _order() -> Column:
+    return F.concat(F.lit("O"), F.col("l_orderkey").cast("string"))
+
+
+def document_stanzas(spark: SparkSession, folder: str) -> DataFrame:
+    """One text record per document."""
+    number = F.col("doc_id")
+    return _stanzas(
+        _table(spark, folder, "documents"), F.col("source"), number, F.col("lang"), F.col("text")
+    )
+
+
+def page_stanzas(spark: SparkSession, folder: str) -> DataFrame:
+    """One text record per web page, colons and markup included."""
+    return _stanzas(
+        _table(spark, folder, "pages"), F.lit("web"), F.col("page_id"), F.col("url"), F.col("html")
+    )
+
+
+def _stanzas(df: DataFrame, item: Column, number: Column, title: Column, text: Column) -> DataFrame:
+    """Line breaks in the texts become spaces, since one line holds one field."""
+
+    def field(key: str, value: Column) -> Column:
+        return F.concat(F.lit(f"{key}: "), value)
+
+    return df.select(
+        F.concat_ws(
+            "\n",
+            field("product/productId", item),
+            field("review/userId", F.concat(F.lit("U"), number.cast("string"))),
+            field("review/helpfulness", F.concat_ws("/", (number % 7).cast("string"), (number % 11).cast("string"))),
+            field("review/score", (number % 5 + 1).cast("double").cast("string")),
+            field("review/time", (1000000000 + number * 86400).cast("string")),
+            field("review/summary", F.concat(F.lit("About: "), title)),
+            field("review/text", F.translate(text, "\n", " ")),
+        ).alias("value")
     )

@@ -36,11 +36,10 @@ def near(want):
 
 
 # hot_least and number of hot items allowed: none hot, one, two, many, and slots only.
-PLANS = [(10**6, 16), (100, 16), (30, 16), (6, 16), (6, 1), (6, 0)]
+PLANS = [(10**6, 16, 1), (100, 16, 2), (30, 16, 3), (6, 16, 4), (6, 1, 5), (6, 0, 6)]
 
 
-@pytest.mark.parametrize("least,max_hot", PLANS)
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("least,max_hot,seed", PLANS)
 def test_every_plan_gives_the_brute_force_result(spark, monkeypatch, least, max_hot, seed):
     sides = agreement.both_sides
     for name in ("agreement", "peers", "suggestions"):
