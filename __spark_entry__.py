@@ -138,15 +138,21 @@ r0 as (
 r as (select *, case when total <> 0 then up * 100 // total end as pct from r0)"""
 
 
+def _utf16(text: str) -> str:
+    """UTF-16 units: one per character, and one more for each character above U+FFFF."""
+    return f"length({text}) + length(regexp_replace({text}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+
+
 CUSTOMERS = _view(
     "'P' || l_partkey", "'U' || o_custkey", "lineitem join orders on l_orderkey = o_orderkey"
 )
-CUSTOMER_TEXTS = _view(
+CUSTOMER_LENGTHS = _view(
     "'P' || l_partkey",
     "'U' || o_custkey",
-    """lineitem join orders on l_orderkey = o_orderkey left join documents
+    f"""lineitem join orders on l_orderkey = o_orderkey left join
+       (select doc_id, {_utf16("text")} as body_length from documents)
        on doc_id = (l_orderkey * 7 + l_linenumber) % (select count(*) from documents)""",
-    ", text",
+    ", body_length",
 )
 ORDERS = _view(
     "'P' || l_partkey || 'N' || s_nationkey",
@@ -265,11 +271,6 @@ select item_id, 'U' || k as user_id, '' as profile_name,
 from t"""
 
 
-def _utf16(text: str) -> str:
-    """UTF-16 units: one per character, and one more for each character above U+FFFF."""
-    return f"length({text}) + length(regexp_replace({text}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
-
-
 def oracle_sql() -> dict[str, str]:
     documents = _stanza_sql("documents", "source", "doc_id", "lang", "text")
     only = f"where item_id = '{ITEM}'"
@@ -280,10 +281,10 @@ def oracle_sql() -> dict[str, str]:
         "user_score": _sql(CUSTOMERS, "select user_id, avg(score) as mean_score from r group by 1"),
         "user_helpfulness": _sql(CUSTOMERS, HELP, "select user_id, help from h"),
         "length_helpfulness": _sql(
-            CUSTOMER_TEXTS,
-            f"""select '< ' || cast(bucket * 1024 as varchar) as length_class,
+            CUSTOMER_LENGTHS,
+            """select '< ' || cast(bucket * 1024 as varchar) as length_class,
                        cast(sum(pct) as bigint) // count(*) as mean_help
-                from (select ({_utf16("text")}) // 1024 as bucket, pct from r where pct is not null)
+                from (select body_length // 1024 as bucket, pct from r where pct is not null)
                 group by bucket order by bucket""",
         ),
         "item_year_score": _year(),

@@ -6,8 +6,9 @@ item matter, so pairs come from an equi-join on the item, never from user x user
 
 An item with m reviewers makes m * m pairs. Most items are small and that is fine; for the
 few that hold a large share of all reviews it is not. The largest, *hot* items stay out of
-the join (other large items are cut into slots). Users who treated every hot item alike form one *class*, and agreement on hot items
-is worked out once per pair of classes. Results for two users are then
+the join (other large items are cut into slots). Users who treated every hot item alike
+form one *class*, and agreement on hot items is worked out once per pair of classes. Results
+for two users are then
 
 * hot only: read off their classes, for whole classes at a time;
 * with a common ordinary item as well: the pair is listed by the join, and its class figure
@@ -20,14 +21,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plaudit.operators.averages import user_helpfulness
+from plaudit.functions.scalars import int_div
 from plaudit.schema import PEER_THRESHOLD
 from plaudit.sources.shared import saved
 
-# An item is hot from this many reviews on. At most MAX_HOT_ITEMS, the largest, are treated
-# so; any others take the ordinary join, which is exact too.
+# An item is large from this many reviews on. At most MAX_HOT_ITEMS, the largest, are hot;
+# any others take the ordinary join in slots, which is exact too.
 HOT_ITEM_REVIEWS = 20_000
 MAX_HOT_ITEMS = 16
 # A class lists each score a user gave a hot item. Items scored on a finer scale than this
@@ -40,43 +41,9 @@ def user_items(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("user_id", "item_id", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
-def latest_scores(reviews: DataFrame) -> DataFrame:
-    """Every (user, item) with the latest score (highest if tied) and its review count."""
-    latest = F.max_by("score", F.struct("review_time", "score"))
-    return reviews.groupBy("user_id", "item_id").agg(
-        latest.alias("score"), F.count(F.lit(1)).alias("n")
-    )
-
-
-def _large_items(reviews: DataFrame, least: int) -> DataFrame:
-    """Items with at least ``least`` reviews: ``reviews`` and distinct ``scores`` of each."""
-    return (
-        reviews.groupBy("item_id", "score")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("item_id")
-        .agg(F.sum("n").alias("reviews"), F.count(F.lit(1)).alias("scores"))
-        .filter(F.col("reviews") >= least)
-    )
-
-
-def _spread(
-    mine: DataFrame, theirs: DataFrame, large: DataFrame, least: int
-) -> tuple[DataFrame, DataFrame]:
-    """Cut each large item into slots of about ``least`` reviews on the first side and
-    repeat the second side in every slot, so that no task meets a whole large item."""
-    slots = large.select("item_id", F.ceil(F.col("reviews") / least).alias("slots"))
-    count = F.coalesce("slots", F.lit(1))
-    slot = F.pmod(F.xxhash64("user_id"), count)
-    each = F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))
-    return tuple(
-        side.join(slots, "item_id", "left").withColumn("slot", place).drop("slots")
-        for side, place in ((mine, slot), (theirs, each))
-    )
-
-
 @dataclass(frozen=True)
 class Crowd:
-    """Classes of users alike on the hot items: ``members`` (user_id, class_id) and
+    """Classes of users alike on the hot items: ``members`` (uid, class_id) and
     ``pairs`` (class_1, class_2, hot_gap, hot_n, hot_overlap)."""
 
     members: DataFrame
@@ -84,65 +51,113 @@ class Crowd:
 
 
 @dataclass(frozen=True)
-class Sides:
-    """What each user brings to a pair: ``mine`` as its first, ``theirs`` as its second."""
+class Ledger:
+    """What the reviews say, in the form that pairs are made from.
+
+    ``users`` (uid, user_id, reviews, help) numbers the users; ``entries`` (uid, item_id,
+    score, n, latest) has one row per score a user gave an item. ``first`` and ``second``
+    are the entries on ordinary items, in the shape each side of a pair takes them.
+    """
 
-    mine: DataFrame
-    theirs: DataFrame
-    light_mine: DataFrame
-    light_theirs: DataFrame
+    users: DataFrame
+    entries: DataFrame
+    first: DataFrame
+    second: DataFrame
     crowd: Crowd | None
 
 
-def both_sides(
-    reviews: DataFrame, hot_least: int = HOT_ITEM_REVIEWS, max_hot: int = MAX_HOT_ITEMS
-) -> Sides:
-    mine, theirs = user_items(reviews), latest_scores(reviews)
-    large = _large_items(reviews, hot_least)
-    coarse = F.col("scores") <= MAX_HOT_SCORES
-    top = large.orderBy(F.when(coarse, 0).otherwise(1), F.desc("reviews"), "item_id").limit(max_hot + 1)
-    top = top.withColumn("coarse", coarse).collect()
-    if not top:
-        return Sides(mine, theirs, mine, theirs, None)
-    hot = [row.item_id for row in top[:max_hot] if row.coarse]
-    is_hot = F.col("item_id").isin(hot)
-    light_mine, light_theirs, crowd = mine, theirs, None
-    if hot:
-        crowd = _crowd(mine.filter(is_hot), theirs.filter(is_hot))
-        light_mine, light_theirs = (
-            side.filter(~is_hot).join(crowd.members, "user_id", "left") for side in (mine, theirs)
+def open_ledger(
+    reviews: DataFrame,
+    with_help: bool = False,
+    hot_least: int = HOT_ITEM_REVIEWS,
+    max_hot: int = MAX_HOT_ITEMS,
+) -> Ledger:
+    """One pass over the reviews, written out small and by column; the rest reads that."""
+    pct = F.coalesce("helpful_pct", F.lit(0)) if with_help else F.lit(0)
+    scores = reviews.groupBy("user_id", "item_id", "score").agg(
+        F.count(F.lit(1)).alias("n"), F.max("review_time").alias("last"), F.sum(pct).alias("pct")
+    )
+    # A window of one user on one item: as many rows as there are different scores.
+    newest = Window.partitionBy("user_id", "item_id").orderBy(F.desc("last"), F.desc("score"))
+    kept = saved(
+        scores.withColumn("latest", F.row_number().over(newest) == 1).drop("last")
+    )
+    # Short numbers stand for user ids in all pairs. They are written out before use, since
+    # they must not change when a lost task is run again.
+    users = saved(
+        kept.groupBy("user_id")
+        .agg(
+            F.sum("n").alias("reviews"),
+            int_div(F.sum("pct"), F.sum("n")).cast("double").alias("help"),
         )
+        .withColumn("uid", F.monotonically_increasing_id())
+    )
+    numbers = users.select("user_id", "uid", *(["help"] if with_help else []))
+    entries = kept.drop("pct").join(numbers, "user_id").drop("user_id")
+
+    large = _large_items(kept, hot_least)
+    top = large.orderBy(F.desc("reviews"), "item_id").limit(max_hot + 1).collect()
+    hot = _coarse_items(kept, [row.item_id for row in top[:max_hot]])
+    first = second = entries
+    crowd = None
+    if hot:
+        is_hot = F.col("item_id").isin(hot)
+        crowd = _crowd(entries.filter(is_hot))
+        large = large.filter(~is_hot)
+        first = second = entries.filter(~is_hot).join(crowd.members, "uid", "left")
     if len(top) > len(hot):
-        rest = large.filter(~is_hot) if hot else large
-        light_mine, light_theirs = _spread(light_mine, light_theirs, rest, hot_least)
-    return Sides(mine, theirs, light_mine, light_theirs, crowd)
+        first, second = _slotted(first, large, hot_least)
+    return Ledger(users, entries, first, second, crowd)
+
+
+def _large_items(kept: DataFrame, least: int) -> DataFrame:
+    """Items with at least ``least`` reviews."""
+    sizes = kept.groupBy("item_id").agg(F.sum("n").alias("reviews"))
+    return sizes.filter(F.col("reviews") >= least)
+
+
+def _coarse_items(kept: DataFrame, items: list[str]) -> list[str]:
+    """Those of the few ``items`` that are scored on a scale of bounded length."""
+    if not items:
+        return []
+    scales = (
+        kept.filter(F.col("item_id").isin(items))
+        .select("item_id", "score")
+        .distinct()
+        .groupBy("item_id")
+        .count()
+        .filter(F.col("count") <= MAX_HOT_SCORES)
+    )
+    return [row.item_id for row in scales.collect()]
+
+
+def _slotted(entries: DataFrame, large: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Cut each large item into slots of about ``least`` reviews on the first side and
+    repeat the second side in every slot, so that no task meets a whole large item."""
+    slots = large.select("item_id", F.ceil(F.col("reviews") / least).alias("slots"))
+    count = F.coalesce("slots", F.lit(1))
+    sized = entries.join(slots, "item_id", "left")
+    first = sized.withColumn("slot", F.pmod(F.xxhash64("uid"), count))
+    each = F.sequence(F.lit(0).cast("bigint"), count - 1)
+    second = sized.withColumn("slot", F.explode(each))
+    return first.drop("slots"), second.drop("slots")
 
 
-def _crowd(mine: DataFrame, theirs: DataFrame) -> Crowd:
+def _crowd(entries: DataFrame) -> Crowd:
     """Number the distinct hot-item records and match them with each other.
 
-    A record is bounded by the hot items times their score scale. The numbering is written
-    out before use: ids must not change when a lost task is run again.
+    A record is bounded by the hot items times their score scale.
     """
-    latest = theirs.select("user_id", "item_id", F.col("score").alias("latest"), F.col("n").alias("all_n"))
-    entry = F.struct("item_id", "score", "n", "latest", "all_n")
-    records = (
-        mine.join(latest, ["user_id", "item_id"])
-        .groupBy("user_id")
-        .agg(F.sort_array(F.collect_list(entry)).alias("record"))
-    )
+    entry = F.struct("item_id", "score", "n", "latest")
+    records = entries.groupBy("uid").agg(F.sort_array(F.collect_list(entry)).alias("record"))
     classes = saved(
         records.select("record").distinct().withColumn("class_id", F.monotonically_increasing_id())
     )
-    members = saved(records.join(classes, "record").select("user_id", "class_id"))
-    entries = classes.select(F.col("class_id").alias("user_id"), F.explode("record").alias("e"))
-    own = entries.select("user_id", "e.item_id", "e.score", "e.n")
-    seen = entries.select(
-        "user_id", "e.item_id", F.col("e.latest").alias("score"), F.col("e.all_n").alias("n")
-    ).distinct()
-    pairs = _matched(own, seen).select(
-        F.col("user_1").alias("class_1"),
-        F.col("user_2").alias("class_2"),
+    members = saved(records.join(classes, "record").select("uid", "class_id"))
+    lines = classes.select(F.col("class_id").alias("uid"), F.inline("record"))
+    pairs = _directed(lines, lines, with_overlap=True).select(
+        F.col("uid_1").alias("class_1"),
+        F.col("uid_2").alias("class_2"),
         F.col("gap").alias("hot_gap"),
         F.col("n").alias("hot_n"),
         F.col("overlap").alias("hot_overlap"),
@@ -150,57 +165,105 @@ def _crowd(mine: DataFrame, theirs: DataFrame) -> Crowd:
     return Crowd(members, saved(pairs))
 
 
-def _matched(
-    mine: DataFrame,
-    theirs: DataFrame,
-    keep: Column | None = None,
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """Totals over the common items of each ordered pair that ``keep`` lets through."""
-
-    keys = ["item_id", "slot"] if "slot" in mine.columns else ["item_id"]
+def _meet(first: DataFrame, second: DataFrame) -> DataFrame:
+    keys = ["item_id", "slot"] if "slot" in first.columns else ["item_id"]
 
     def side(df: DataFrame, k: int) -> DataFrame:
-        return df.select(
-            *keys,
-            *[F.col(c).alias(f"{c}_{k}") for c in ("score", "n", *carry)],
-            F.col("user_id").alias(f"user_{k}"),
-        )
+        return df.withColumnsRenamed({c: f"{c}_{k}" for c in df.columns if c not in keys})
+
+    return side(first, 1).join(side(second, 2), keys)
+
+
+def _gap() -> Column:
+    return F.abs(F.col("score_1") - F.col("score_2"))
 
-    met = side(mine, 1).join(side(theirs, 2), keys)
+
+def _directed(
+    first: DataFrame, second: DataFrame, keep: Column | None = None, with_overlap: bool = False, **extra: Column
+) -> DataFrame:
+    """Totals over the common items of each ordered pair that ``keep`` lets through."""
+    met = _meet(first, second)
     if keep is not None:
         met = met.filter(keep)
-    return met.groupBy("user_1", "user_2").agg(
-        F.sum(F.col("n_1") * F.abs(F.col("score_1") - F.col("score_2"))).alias("gap"),
-        F.sum("n_1").alias("n"),
-        F.sum(F.col("n_1") * F.col("n_2")).alias("overlap"),
-        *[F.max(f"{c}_{k}").alias(f"{c}_{k}") for c in carry for k in (1, 2)],
+    if not with_overlap:
+        met = met.filter("latest_2")
+    latest = F.col("latest_2")
+    return met.groupBy("uid_1", "uid_2").agg(
+        F.sum(F.when(latest, F.col("n_1") * _gap()).otherwise(0.0)).alias("gap"),
+        F.sum(F.when(latest, F.col("n_1")).otherwise(0)).alias("n"),
+        *([F.sum(F.col("n_1") * F.col("n_2")).alias("overlap")] if with_overlap else []),
+        *[value.alias(name) for name, value in extra.items()],
     )
 
 
-def listed_pairs(sides: Sides, keep: Column, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of users with a common ordinary item: full ``degree`` and ``overlap``, and, with
-    a crowd, the ``hot_degree`` and ``hot_overlap`` their classes alone would give."""
-    crowd = sides.crowd
+def gaining_pairs(ledger: Ledger) -> DataFrame:
+    """Pairs with a common ordinary item whose second user is the more helpful: uid_1, uid_2,
+    ``gain``, ``degree`` and, with a crowd, ``hot_degree`` as their classes alone would have it.
+
+    Half of all pairs, and every self-pair, end at the join.
+    """
+    gain = F.col("help_2") - F.col("help_1")
+    classes = {}
+    if ledger.crowd is not None:
+        classes = {f"class_{k}": F.max(f"class_id_{k}") for k in (1, 2)}
+    pairs = _directed(ledger.first, ledger.second, gain > 0, gain=F.max(gain), **classes)
+    return _with_degree(pairs, ledger.crowd)
+
+
+def neighbour_pairs(ledger: Ledger, threshold: float) -> DataFrame:
+    """Pairs of different users with a common ordinary item: uid_1, uid_2, ``degree``,
+    ``overlap`` and, with a crowd, ``hot_degree`` and ``hot_overlap``. Without a crowd only
+    pairs up to ``threshold`` are given.
+
+    The join makes each pair once; totals for both directions come out of the same row.
+    """
+    crowd = ledger.crowd
+    classes = [] if crowd is None else ["class_id"]
+    totals = {"overlap": F.sum(F.col("n_1") * F.col("n_2"))}
+    for k, other in ((1, 2), (2, 1)):
+        latest, n = F.col(f"latest_{other}"), F.col(f"n_{k}")
+        totals[f"gap_{k}"] = F.sum(F.when(latest, n * _gap()).otherwise(0.0))
+        totals[f"n_{k}"] = F.sum(F.when(latest, n).otherwise(0))
+        totals |= {f"class_{k}": F.max(f"{c}_{k}") for c in classes}
+    met = (
+        _meet(ledger.first, ledger.second)
+        .filter(F.col("uid_1") < F.col("uid_2"))
+        .groupBy("uid_1", "uid_2")
+        .agg(*[value.alias(name) for name, value in totals.items()])
+    )
     if crowd is None:
-        return _matched(sides.light_mine, sides.light_theirs, keep, carry).withColumn(
-            "degree", F.col("gap") / F.col("n")
+        met = met.filter(
+            (F.col("gap_1") / F.col("n_1") <= threshold) | (F.col("gap_2") / F.col("n_2") <= threshold)
         )
-    light = _matched(sides.light_mine, sides.light_theirs, keep, (*carry, "class_id"))
-    pairs = light.withColumnsRenamed({"class_id_1": "class_1", "class_id_2": "class_2"}).join(
-        crowd.pairs, ["class_1", "class_2"], "left"
-    )
+
+    def direction(k: int, other: int) -> Column:
+        return F.struct(
+            F.col(f"uid_{k}").alias("uid_1"),
+            F.col(f"uid_{other}").alias("uid_2"),
+            F.col(f"gap_{k}").alias("gap"),
+            F.col(f"n_{k}").alias("n"),
+            "overlap",
+            *[F.col(f"class_{j}").alias(f"class_{i}") for i, j in ((1, k), (2, other)) if classes],
+        )
+
+    pairs = _with_degree(met.select(F.inline(F.array(direction(1, 2), direction(2, 1)))), crowd)
+    return pairs if crowd is not None else pairs.filter(F.col("degree") <= threshold)
+
+
+def _with_degree(pairs: DataFrame, crowd: Crowd | None) -> DataFrame:
+    """Replace ``gap`` and ``n`` by ``degree``, with what the classes of a pair add to it."""
+    if crowd is None:
+        return pairs.withColumn("degree", F.col("gap") / F.col("n")).drop("gap", "n")
     zero = F.lit(0)
-    return pairs.select(
-        "user_1",
-        "user_2",
-        *[f"{c}_{k}" for c in carry for k in (1, 2)],
-        (
-            (F.col("gap") + F.coalesce("hot_gap", zero)) / (F.col("n") + F.coalesce("hot_n", zero))
-        ).alias("degree"),
-        (F.col("overlap") + F.coalesce("hot_overlap", zero)).alias("overlap"),
-        (F.col("hot_gap") / F.col("hot_n")).alias("hot_degree"),
-        "hot_overlap",
+    gap = F.col("gap") + F.coalesce("hot_gap", zero)
+    n = F.col("n") + F.coalesce("hot_n", zero)
+    full = {"degree": gap / n, "hot_degree": F.col("hot_gap") / F.col("hot_n")}
+    if "overlap" in pairs.columns:
+        full["overlap"] = F.col("overlap") + F.coalesce("hot_overlap", zero)
+    return (
+        pairs.join(crowd.pairs, ["class_1", "class_2"], "left")
+        .withColumns(full)
+        .drop("gap", "n", "hot_gap", "hot_n", "class_1", "class_2")
     )
 
 
@@ -216,28 +279,28 @@ def agreement_edges(
     ``overlap`` counts the pairs of reviews of a common item. With helpfulness, ``help_1`` and
     ``help_diff`` (second minus first) are added; ``positive_only`` keeps gains.
     """
-    sides = both_sides(reviews, hot_least)
-    differ = F.col("user_1") != F.col("user_2")
-    listed = listed_pairs(sides, differ)
-    edges = listed.filter(F.col("degree") <= threshold).select("user_1", "user_2", "degree", "overlap")
-    if sides.crowd is not None:
-        members = sides.crowd.members
-        agreeing = sides.crowd.pairs.withColumn("degree", F.col("hot_gap") / F.col("hot_n"))
+    rated = with_helpfulness or positive_only
+    ledger = open_ledger(reviews, rated, hot_least)
+    listed = neighbour_pairs(ledger, threshold)
+    shape = ["uid_1", "uid_2", "degree", "overlap"]
+    edges = listed.filter(F.col("degree") <= threshold).select(shape)
+    if ledger.crowd is not None:
+        members = ledger.crowd.members
         hot_only = (
-            agreeing.filter(F.col("degree") <= threshold)
-            .join(members.select(F.col("user_id").alias("user_1"), F.col("class_id").alias("class_1")), "class_1")
-            .join(members.select(F.col("user_id").alias("user_2"), F.col("class_id").alias("class_2")), "class_2")
-            .filter(differ)
-            .join(listed, ["user_1", "user_2"], "left_anti")
+            ledger.crowd.pairs.withColumn("degree", F.col("hot_gap") / F.col("hot_n"))
+            .filter(F.col("degree") <= threshold)
+            .join(members.withColumnsRenamed({"uid": "uid_1", "class_id": "class_1"}), "class_1")
+            .join(members.withColumnsRenamed({"uid": "uid_2", "class_id": "class_2"}), "class_2")
+            .filter(F.col("uid_1") != F.col("uid_2"))
+            .join(listed, ["uid_1", "uid_2"], "left_anti")
+            .withColumn("overlap", F.col("hot_overlap"))
         )
-        edges = edges.unionByName(
-            hot_only.select("user_1", "user_2", "degree", F.col("hot_overlap").alias("overlap"))
-        )
-    if not (with_helpfulness or positive_only):
-        return edges
-    help_1 = user_helpfulness(reviews).select(F.col("user_id").alias("user_1"), F.col("help").alias("help_1"))
-    help_2 = user_helpfulness(reviews).select(F.col("user_id").alias("user_2"), F.col("help").alias("help_2"))
-    rated = edges.join(help_1, "user_1").join(help_2, "user_2").select(
-        "user_1", "user_2", "degree", "overlap", "help_1", (F.col("help_2") - F.col("help_1")).alias("help_diff")
-    )
-    return rated.filter(F.col("help_diff") > 0) if positive_only else rated
+        edges = edges.unionByName(hot_only.select(shape))
+    for k in (1, 2):
+        named = {"uid": f"uid_{k}", "user_id": f"user_{k}", "help": f"help_{k}"}
+        edges = edges.join(ledger.users.drop("reviews").withColumnsRenamed(named), f"uid_{k}")
+    help_diff = F.col("help_2") - F.col("help_1")
+    if positive_only:
+        edges = edges.filter(help_diff > 0)
+    columns = ["user_1", "user_2", "degree", "overlap"]
+    return edges.select(*columns, *(["help_1", help_diff.alias("help_diff")] if rated else []))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.operators.agreement import HOT_ITEM_REVIEWS, Crowd, both_sides, listed_pairs
-from plaudit.operators.averages import user_helpfulness
+from plaudit.operators.agreement import HOT_ITEM_REVIEWS, Ledger, gaining_pairs, open_ledger
 from plaudit.schema import PEER_THRESHOLD
 
 WEIGHTS = ("divergence", "agreement")
@@ -34,41 +31,35 @@ def peer_rank(
     """
     if weight not in WEIGHTS:
         raise ValueError(f"unknown weight: {weight}")
-    users = user_helpfulness(reviews)
-    sides = both_sides(reviews, hot_least)
-    sides = replace(
-        sides,
-        light_mine=sides.light_mine.join(users, "user_id"),
-        light_theirs=sides.light_theirs.join(users, "user_id"),
-    )
-    # A peer is more helpful, so half of all pairs, and every self-pair, end at the join.
-    gain = F.col("help_2") - F.col("help_1")
-    pairs = listed_pairs(sides, F.col("help_2") > F.col("help_1"), ("help",))
+    ledger = open_ledger(reviews, True, hot_least)
+    pairs = gaining_pairs(ledger)
 
     def terms(degree: Column) -> tuple[Column, Column]:
         peer = degree <= threshold
-        lift = F.when(peer, _lift(weight, degree, gain)).otherwise(F.lit(0).cast("decimal(24,12)"))
-        return lift, F.when(peer, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+        lift = F.when(peer, _lift(weight, degree, F.col("gain")))
+        none = F.lit(0).cast("decimal(24,12)")
+        return F.coalesce(lift, none), F.when(peer, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
 
     lift, peers = terms(F.col("degree"))
-    if sides.crowd is None:
-        gains = pairs.filter(F.col("degree") <= threshold)
+    if ledger.crowd is None:
+        pairs = pairs.filter(F.col("degree") <= threshold)
     else:
         hot_lift, hot_peers = terms(F.col("hot_degree"))
-        gains, lift, peers = pairs, lift - hot_lift, peers - hot_peers
-    total = gains.select(F.col("user_1").alias("user_id"), lift.alias("lift"), peers.alias("peers"))
-    if sides.crowd is not None:
-        total = total.unionByName(_crowd_gains(sides.crowd, users, weight, threshold))
-    total = total.groupBy("user_id").agg(F.sum("lift").alias("lift"), F.sum("peers").alias("peers"))
+        lift, peers = lift - hot_lift, peers - hot_peers
+    gains = pairs.select(F.col("uid_1").alias("uid"), lift.alias("lift"), peers.alias("peers"))
+    if ledger.crowd is not None:
+        gains = gains.unionByName(_crowd_gains(ledger, weight, threshold))
+    gains = gains.groupBy("uid").agg(F.sum("lift").alias("lift"), F.sum("peers").alias("peers"))
     raised = F.col("help") + F.col("lift").cast("double") / F.col("peers")
-    return users.join(total, "user_id", "left").select(
+    return ledger.users.join(gains, "uid", "left").select(
         "user_id", F.when(F.col("peers") > 0, raised).otherwise(F.col("help")).alias("rank")
     )
 
 
-def _crowd_gains(crowd: Crowd, users: DataFrame, weight: str, threshold: float) -> DataFrame:
+def _crowd_gains(ledger: Ledger, weight: str, threshold: float) -> DataFrame:
     """Gains over all peers by hot items alone, worked out per (class, helpfulness)."""
-    heads = crowd.members.join(users, "user_id")
+    crowd = ledger.crowd
+    heads = crowd.members.join(ledger.users.select("uid", "help"), "uid")
     tally = heads.groupBy("class_id", "help").agg(F.count(F.lit(1)).cast("decimal(13,0)").alias("m"))
     reach = (
         crowd.pairs.withColumn("degree", F.col("hot_gap") / F.col("hot_n"))
@@ -87,4 +78,4 @@ def _crowd_gains(crowd: Crowd, users: DataFrame, weight: str, threshold: float)
     )
     return heads.withColumnsRenamed({"class_id": "class_1", "help": "help_1"}).join(
         gains, ["class_1", "help_1"]
-    ).select("user_id", "lift", "peers")
+    ).select("uid", "lift", "peers")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.operators.agreement import HOT_ITEM_REVIEWS, Sides, both_sides, listed_pairs
+from plaudit.operators.agreement import HOT_ITEM_REVIEWS, Crowd, neighbour_pairs, open_ledger
 from plaudit.schema import SUGGEST_THRESHOLD
 
 NEIGHBOURS = ("all", "multi", "overlap")
@@ -28,70 +26,63 @@ def suggest(
     """
     if neighbours not in NEIGHBOURS:
         raise ValueError(f"unknown neighbours: {neighbours}")
-    sides = both_sides(reviews, hot_least)
-    givers = sides.mine
+    ledger = open_ledger(reviews, False, hot_least)
+    given = ledger.entries.select("uid", "item_id", "score", "n")
     if neighbours == "multi":
-        counts = reviews.groupBy("user_id").agg(F.count(F.lit(1)).alias("reviews"))
-        several = counts.filter(F.col("reviews") > 1).select("user_id")
-        sides = replace(sides, light_theirs=sides.light_theirs.join(several, "user_id", "left_semi"))
-        if sides.crowd is not None:
-            givers = givers.join(several, "user_id", "left_semi")
+        several = ledger.users.filter(F.col("reviews") > 1).select("uid")
+        given = given.join(several, "uid", "left_semi")
 
     def weight(degree: Column, overlap: Column) -> Column:
         share = overlap if neighbours == "overlap" else F.lit(1).cast("bigint")
         return F.when(degree <= threshold, share)
 
-    pairs = listed_pairs(sides, F.col("user_1") != F.col("user_2"))
+    pairs = neighbour_pairs(ledger, threshold)
     full = weight(F.col("degree"), F.col("overlap"))
-    if sides.crowd is None:
-        edges = pairs.filter(F.col("degree") <= threshold).select("user_1", "user_2", full.alias("w"))
-        votes = _votes(edges, givers)
-        w = F.col("votes")
+    if ledger.crowd is None:
+        edges = pairs.select("uid_1", "uid_2", full.alias("w"))
+        votes = _votes(edges, given)
     else:
         zero = F.lit(0).cast("bigint")
-        change = F.coalesce(full, zero) - F.coalesce(weight(F.col("hot_degree"), F.col("hot_overlap")), zero)
-        edges = pairs.select("user_1", "user_2", change.alias("w")).filter(F.col("w") != 0)
-        hot_weight = weight(F.col("hot_gap") / F.col("hot_n"), F.col("hot_overlap"))
+        by_class = weight(F.col("hot_degree"), F.col("hot_overlap"))
+        change = F.coalesce(full, zero) - F.coalesce(by_class, zero)
+        edges = pairs.select("uid_1", "uid_2", change.alias("w")).filter(F.col("w") != 0)
+        agreeing = ledger.crowd.pairs.select(
+            "class_1", "class_2", weight(F.col("hot_gap") / F.col("hot_n"), F.col("hot_overlap")).alias("w")
+        ).filter(F.col("w").isNotNull())
         # Whole counts per score: taking a neighbour back out leaves no rounding behind.
         votes = (
-            _votes(edges, givers)
-            .unionByName(_crowd_votes(sides, givers, hot_weight))
-            .groupBy("user_id", "item_id", "score")
+            _votes(edges, given)
+            .unionByName(_crowd_votes(ledger.crowd, agreeing, given))
+            .groupBy("uid", "item_id", "score")
             .agg(F.sum("votes").alias("votes"))
             .filter(F.col("votes") != 0)
         )
-        w = F.col("votes")
-    result = votes.groupBy("user_id", "item_id").agg(
-        (F.sum(F.col("score") * w) / F.sum(w)).alias("predicted")
-    )
+    mean = F.sum(F.col("score") * F.col("votes")) / F.sum("votes")
+    result = votes.groupBy("uid", "item_id").agg(mean.alias("predicted"))
     if exclude_seen:
-        seen = reviews.select("user_id", "item_id")
-        result = result.join(seen, ["user_id", "item_id"], "left_anti")
-    return result
+        seen = ledger.entries.select("uid", "item_id")
+        result = result.join(seen, ["uid", "item_id"], "left_anti")
+    return result.join(ledger.users, "uid").select("user_id", "item_id", "predicted")
 
 
-def _votes(edges: DataFrame, givers: DataFrame) -> DataFrame:
-    given = givers.withColumnRenamed("user_id", "user_2")
-    return edges.join(given, "user_2").select(
-        F.col("user_1").alias("user_id"), "item_id", "score", (F.col("w") * F.col("n")).alias("votes")
+def _votes(edges: DataFrame, given: DataFrame) -> DataFrame:
+    return edges.join(given.withColumnRenamed("uid", "uid_2"), "uid_2").select(
+        F.col("uid_1").alias("uid"), "item_id", "score", (F.col("w") * F.col("n")).alias("votes")
     )
 
 
-def _crowd_votes(sides: Sides, givers: DataFrame, hot_weight: Column) -> DataFrame:
+def _crowd_votes(crowd: Crowd, agreeing: DataFrame, given: DataFrame) -> DataFrame:
     """Votes from all neighbours by hot items alone, less each user's own."""
-    crowd = sides.crowd
-    agreeing = crowd.pairs.select("class_1", "class_2", hot_weight.alias("w")).filter(F.col("w").isNotNull())
-    given = givers.join(crowd.members, "user_id")
+    classed = given.join(crowd.members, "uid")
     offers = (
-        given.groupBy(F.col("class_id").alias("class_2"), "item_id", "score")
+        classed.groupBy(F.col("class_id").alias("class_2"), "item_id", "score")
         .agg(F.sum("n").alias("n"))
         .join(agreeing, "class_2")
         .groupBy(F.col("class_1").alias("class_id"), "item_id", "score")
         .agg(F.sum(F.col("w") * F.col("n")).alias("votes"))
     )
-    received = crowd.members.join(offers, "class_id").select("user_id", "item_id", "score", "votes")
+    received = crowd.members.join(offers, "class_id")
     own = agreeing.filter(F.col("class_1") == F.col("class_2")).select(F.col("class_1").alias("class_id"), "w")
-    own_votes = given.join(own, "class_id").select(
-        "user_id", "item_id", "score", (-F.col("w") * F.col("n")).alias("votes")
-    )
-    return received.unionByName(own_votes)
+    own_votes = classed.join(own, "class_id").withColumn("votes", -F.col("w") * F.col("n"))
+    columns = ["uid", "item_id", "score", "votes"]
+    return received.select(columns).unionByName(own_votes.select(columns))

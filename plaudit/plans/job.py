@@ -1,6 +1,6 @@
 """Run one named analysis as a Spark job and send the result to a sink.
 
-    spark-submit -m plaudit.plans.job PATH ANALYSIS [SAVE] [ITEM] [--out OUT] [--source stanza|parquet]
+    spark-submit plaudit/plans/job.py PATH ANALYSIS [SAVE] [ITEM] [--out OUT] [--source stanza|parquet]
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from plaudit.operators.peers import peer_rank
 from plaudit.operators.periods import item_period_score, item_year_score
 from plaudit.operators.suggestions import suggest
 from plaudit.sources.reviews import load_reviews
+from plaudit.sources.shared import drop_saved, saved
 from plaudit.sources.sinks import write_none, write_parts, write_single_csv
 
 log = logging.getLogger(__name__)
@@ -43,6 +44,10 @@ ANALYSES: dict[str, Analysis] = {
     "userhelpfulness": lambda reviews, item: user_helpfulness(reviews),
 }
 
+# These read the reviews several times: text is parsed once for them, and its narrow
+# columns are kept as a table. The pair analyses keep a smaller table of their own.
+SEVERAL_PASSES = ("pagerank_averageI", "pagerank_average")
+
 
 def run_job(
     spark: SparkSession,
@@ -66,6 +71,8 @@ def run_job(
         raise ValueError(f"save={save} needs an output path")
     start = time.monotonic()
     reviews = load_reviews(spark, path, source, mode, keep_blank)
+    if source == "stanza" and analysis in SEVERAL_PASSES:
+        reviews = saved(reviews.select("item_id", "user_id", "score", "helpful_pct"))
     result = ANALYSES[analysis](reviews, item).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = result.count()
@@ -101,17 +108,21 @@ def main(argv: list[str] | None = None) -> None:
         .config("spark.sql.ansi.enabled", "true")
         .getOrCreate()
     )
-    run_job(
-        spark,
-        args.path,
-        args.analysis,
-        args.save,
-        args.item,
-        args.out or f"/tmp/{args.analysis}",
-        args.source,
-        args.mode,
-        args.keep_blank,
-    )
+    try:
+        run_job(
+            spark,
+            args.path,
+            args.analysis,
+            args.save,
+            args.item,
+            args.out or f"/tmp/{args.analysis}",
+            args.source,
+            args.mode,
+            args.keep_blank,
+        )
+    finally:
+        drop_saved(spark)
+        spark.stop()
 
 
 if __name__ == "__main__":

@@ -1,4 +1,4 @@
-"""The folder that all executors can reach."""
+"""The folder that all executors can reach, and tables kept there for one application."""
 
 from __future__ import annotations
 
@@ -24,9 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/plaudit-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{shared_dir(spark).rstrip('/')}/plaudit/{name}-{uuid.uuid4().hex}"
+    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -38,3 +42,9 @@ def saved(df: DataFrame) -> DataFrame:
     path = fresh_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Delete what this application kept in the shared folder; its frames are void then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -41,9 +41,11 @@ PLANS = [(10**6, 16, 1), (100, 16, 2), (30, 16, 3), (6, 16, 4), (6, 1, 5), (6, 0
 
 @pytest.mark.parametrize("least,max_hot,seed", PLANS)
 def test_every_plan_gives_the_brute_force_result(spark, monkeypatch, least, max_hot, seed):
-    sides = agreement.both_sides
+    opened = agreement.open_ledger
     for name in ("agreement", "peers", "suggestions"):
-        monkeypatch.setattr(f"plaudit.operators.{name}.both_sides", lambda r, n: sides(r, n, max_hot))
+        monkeypatch.setattr(
+            f"plaudit.operators.{name}.open_ledger", lambda r, h, n: opened(r, h, n, max_hot)
+        )
     rows = skewed(seed)
     brute, reviews = Brute(rows), frame(spark, rows).cache()
     for threshold in (0.0, 0.9):
@@ -66,10 +68,10 @@ def test_every_plan_gives_the_brute_force_result(spark, monkeypatch, least, max_
 
 def test_hot_item_is_left_out_of_the_join(spark):
     reviews = frame(spark, skewed(3))
-    sides = agreement.both_sides(reviews, 100)
-    assert sides.crowd is not None
-    assert sides.light_mine.filter("item_id = 'hot'").isEmpty()
-    assert sides.crowd.members.count() == reviews.filter("item_id = 'hot'").select("user_id").distinct().count()
+    ledger = agreement.open_ledger(reviews, hot_least=100)
+    assert ledger.crowd is not None
+    assert ledger.first.filter("item_id = 'hot'").isEmpty()
+    assert ledger.crowd.members.count() == reviews.filter("item_id = 'hot'").select("user_id").distinct().count()
 
 
 def test_positive_edges_carry_helpfulness(spark):
