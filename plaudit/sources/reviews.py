@@ -25,27 +25,23 @@ def parse_stanzas(stanzas: DataFrame, keep_blank: bool = False) -> DataFrame:
     """
     rows = stanzas if keep_blank else stanzas.filter(strip_control(F.col("value")) != "")
 
-    def pair(line: Column) -> Column:
+    def keyed(line: Column) -> Column:
+        head = F.substring_index(line, ":", 1)
+        return F.struct(F.get(F.split(head, "/", 3), F.lit(1)).alias("k"), line.alias("line"))
+
+    def value(line: Column) -> Column:
         parts = F.split(line, ":")
-        key = F.get(F.split(F.get(parts, F.lit(0)), "/"), F.lit(1))
         rest = F.slice(parts, F.lit(2), F.size(parts))
-        return F.struct(
-            key.alias("k"),
-            F.array_join(F.transform(rest, strip_control), "").alias("v"),
-        )
-
-    def known(line: Column) -> Column:
-        head = F.substring_index(line, ":", 1)
-        return F.get(F.split(head, "/"), F.lit(1)).isin(*STANZA_DEFAULTS)
+        return F.array_join(F.transform(rest, strip_control), "")
 
-    lines = F.filter(F.split("value", "\n"), known)
-    pairs = rows.select(F.transform(lines, pair).alias("pairs"))
+    lines = rows.select(F.transform(F.split("value", "\n"), keyed).alias("lines"))
 
+    # Values are taken apart field by field, so a field nobody asks for costs nothing.
     def last(name: str) -> Column:
-        hits = F.filter("pairs", lambda p: p["k"] == name)
-        return F.try_element_at(hits, F.lit(-1))["v"].alias(name)
+        hits = F.filter("lines", lambda entry: entry["k"] == name)
+        return value(F.try_element_at(hits, F.lit(-1))["line"]).alias(name)
 
-    return pairs.select(*[last(name) for name in STANZA_DEFAULTS])
+    return lines.select(*[last(name) for name in STANZA_DEFAULTS])
 
 
 def to_reviews(fields: DataFrame, mode: str = "strict") -> DataFrame:
