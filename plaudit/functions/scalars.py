@@ -9,8 +9,20 @@ CONTROL_CHARS = "".join(chr(code) for code in range(0x21))
 
 
 def strip_control(text: Column) -> Column:
-    """Trim every character up to U+0020 (plain ``trim`` takes spaces only)."""
-    return F.trim(text, F.lit(CONTROL_CHARS))
+    """Trim every character up to U+0020 (plain ``trim`` takes spaces only).
+
+    Trimming a set of characters on the right walks the whole text, so it is done only
+    where the last byte calls for it.
+    """
+    chars = F.lit(CONTROL_CHARS)
+    left = F.ltrim(text, chars)
+    last = F.substring(left.cast("binary"), -1, 1)
+    return F.when(last <= F.lit(bytearray(b" ")), F.rtrim(left, chars)).otherwise(left)
+
+
+def is_blank(text: Column) -> Column:
+    """Nothing but characters up to U+0020."""
+    return F.ltrim(text, F.lit(CONTROL_CHARS)) == ""
 
 
 def int_div(num: Column, den: Column) -> Column:
@@ -29,8 +41,11 @@ def half_up_2dp(value: Column) -> Column:
 
 
 def utf16_length(text: Column) -> Column:
-    """Length in UTF-16 code units; ``length`` counts code points."""
-    return int_div(F.length(F.encode(text, "UTF-16BE")).cast("bigint"), F.lit(2).cast("bigint"))
+    """Length in UTF-16 code units; ``length`` counts code points. All-ASCII texts, one byte
+    per character, need no re-encoding."""
+    chars = F.length(text).cast("bigint")
+    units = int_div(F.length(F.encode(text, "UTF-16BE")).cast("bigint"), F.lit(2).cast("bigint"))
+    return F.when(F.octet_length(text) == chars, chars).otherwise(units)
 
 
 def year_text(epoch_seconds: Column) -> Column:

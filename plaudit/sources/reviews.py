@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from plaudit.functions.scalars import int_div, strip_control, utf16_length
+from plaudit.functions.scalars import int_div, is_blank, strip_control, utf16_length
 from plaudit.schema import REVIEW_SCHEMA, STANZA_DEFAULTS
 
 
@@ -23,7 +23,7 @@ def parse_stanzas(stanzas: DataFrame, keep_blank: bool = False) -> DataFrame:
     each colon-separated part. The last line with a key wins, other lines are ignored.
     A record of white space alone is dropped unless ``keep_blank``.
     """
-    rows = stanzas if keep_blank else stanzas.filter(strip_control(F.col("value")) != "")
+    rows = stanzas if keep_blank else stanzas.filter(~is_blank(F.col("value")))
 
     def keyed(line: Column) -> Column:
         head = F.substring_index(line, ":", 1)

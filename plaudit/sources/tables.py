@@ -110,6 +110,6 @@ def _stanzas(df: DataFrame, item: Column, number: Column, title: Column, text: C
             field("review/score", (number % 5 + 1).cast("double").cast("string")),
             field("review/time", (1000000000 + number * 86400).cast("string")),
             field("review/summary", F.concat(F.lit("About: "), title)),
-            field("review/text", F.translate(text, "\n", " ")),
+            field("review/text", F.replace(text, F.lit("\n"), F.lit(" "))),
         ).alias("value")
     )
