@@ -34,6 +34,8 @@ MAX_HOT_ITEMS = 16
 # A class lists each score a user gave a hot item. Items scored on a finer scale than this
 # take the ordinary join, which keeps those lists short.
 MAX_HOT_SCORES = 100
+# Records on one hot item that one task takes as first side when classes are matched.
+CLASS_SLOT = 256
 
 
 def user_items(reviews: DataFrame) -> DataFrame:
@@ -144,7 +146,7 @@ def _slotted(entries: DataFrame, large: DataFrame, least: int) -> tuple[DataFram
 
 
 def _crowd(entries: DataFrame) -> Crowd:
-    """Number the distinct hot-item records and match them with each other.
+    """Number the distinct hot-item records and match them with each other, in slots.
 
     A record is bounded by the hot items times their score scale.
     """
@@ -155,7 +157,9 @@ def _crowd(entries: DataFrame) -> Crowd:
     )
     members = saved(records.join(classes, "record").select("uid", "class_id"))
     lines = classes.select(F.col("class_id").alias("uid"), F.inline("record"))
-    pairs = _directed(lines, lines, with_overlap=True).select(
+    sizes = lines.groupBy("item_id").agg(F.count(F.lit(1)).alias("reviews"))
+    first, second = _slotted(lines, sizes, CLASS_SLOT)
+    pairs = _directed(first, second, with_overlap=True).select(
         F.col("uid_1").alias("class_1"),
         F.col("uid_2").alias("class_2"),
         F.col("gap").alias("hot_gap"),

@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from plaudit.operators.averages import item_score, length_helpfulness, user_helpfulness, user_score
 from plaudit.operators.consensus import consensus_rank
@@ -63,7 +63,8 @@ def run_job(
     """Load reviews, run ``analysis``, save the result and return its row count.
 
     ``save`` is ``local`` (CSV, one file if small), ``distributed`` or ``s3`` (one file per
-    partition at ``out``); anything else computes and saves nothing.
+    partition at ``out``); anything else computes and saves nothing. Except for ``local``,
+    rows are counted as they are written and the result is computed once.
     """
     if analysis not in ANALYSES:
         raise ValueError(f"unknown analysis: {analysis}; known: {', '.join(ANALYSES)}")
@@ -73,20 +74,29 @@ def run_job(
     reviews = load_reviews(spark, path, source, mode, keep_blank)
     if source == "stanza" and analysis in SEVERAL_PASSES:
         reviews = saved(reviews.select("item_id", "user_id", "score", "helpful_pct"))
-    result = ANALYSES[analysis](reviews, item).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = result.count()
-        counted = time.monotonic()
-        log.info("%s: %d rows in %d ms", analysis, rows, (counted - start) * 1000)
-        if save == "local":
-            write_single_csv(result, out, rows)
-        elif save in ("distributed", "s3"):
-            write_parts(result, out)
+    result = ANALYSES[analysis](reviews, item)
+    if save == "local":
+        rows = _save_local(result, out)
+    else:
+        counted = Observation()
+        watched = result.observe(counted, F.count(F.lit(1)).alias("rows"))
+        if save in ("distributed", "s3"):
+            write_parts(watched, out)
         else:
-            write_none(result)
-        log.info("%s: saved in %d ms", analysis, (time.monotonic() - counted) * 1000)
+            write_none(watched)
+        rows = counted.get["rows"]
+    log.info("%s: %d rows in %d ms", analysis, rows, (time.monotonic() - start) * 1000)
+    return rows
+
+
+def _save_local(result: DataFrame, out: str) -> int:
+    """The row count decides whether one file will do, so it is needed before writing."""
+    kept = result.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = kept.count()
+        write_single_csv(kept, out, rows)
     finally:
-        result.unpersist()
+        kept.unpersist()
     return rows
 
 

@@ -1,6 +1,9 @@
 """Sinks and whole jobs, written and read back."""
 
 import csv
+import os
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -70,6 +73,13 @@ def test_every_analysis_runs_as_a_job(spark, stanzas, tmp_path):
     }
 
 
+def test_no_reviews(spark, tmp_path):
+    path = tmp_path / "empty.txt"
+    path.write_text("\n\n\n")
+    for name in p.ANALYSES:
+        assert p.run_job(spark, str(path), name, "none") == 0
+
+
 def test_job_saves_where_told(spark, stanzas, tmp_path):
     for save in ("local", "distributed", "s3"):
         out = str(tmp_path / save)
@@ -90,6 +100,15 @@ def test_job_filters_one_item(spark, stanzas, tmp_path):
     assert lines(out) == {("B", "1970", "3.0"), ("B", "2008", "3.0"), ("B", "2009", "3.0")}
 
 
+def test_command_line(stanzas, tmp_path):
+    out = str(tmp_path / "cli")
+    root = Path(__file__).resolve().parents[1]
+    command = [sys.executable, "-m", "plaudit.plans.job", stanzas, "filmscore", "--out", out]
+    env = {**os.environ, "PYTHONPATH": str(root), "PYSPARK_SUBMIT_ARGS": "--conf spark.ui.enabled=false pyspark-shell"}
+    subprocess.run(command, check=True, env=env, cwd=tmp_path, timeout=120, capture_output=True)
+    assert lines(out) == MEANS
+
+
 def test_bad_requests(spark, stanzas):
     with pytest.raises(ValueError, match="unknown analysis"):
         p.run_job(spark, stanzas, "bestfilm")

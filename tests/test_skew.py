@@ -35,17 +35,23 @@ def near(want):
     return {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
 
 
+@pytest.fixture(autouse=True)
+def interpreted(spark):
+    """Many small plans run once each; compiled code is exercised by the other tests."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    yield
+    spark.conf.unset("spark.sql.codegen.wholeStage")
+
+
 # hot_least and number of hot items allowed: none hot, one, two, many, and slots only.
 PLANS = [(10**6, 16, 1), (100, 16, 2), (30, 16, 3), (6, 16, 4), (6, 1, 5), (6, 0, 6)]
 
 
 @pytest.mark.parametrize("least,max_hot,seed", PLANS)
 def test_every_plan_gives_the_brute_force_result(spark, monkeypatch, least, max_hot, seed):
-    opened = agreement.open_ledger
+    ledger = agreement.open_ledger(frame(spark, skewed(seed)), True, least, max_hot)
     for name in ("agreement", "peers", "suggestions"):
-        monkeypatch.setattr(
-            f"plaudit.operators.{name}.open_ledger", lambda r, h, n: opened(r, h, n, max_hot)
-        )
+        monkeypatch.setattr(f"plaudit.operators.{name}.open_ledger", lambda *_: ledger)
     rows = skewed(seed)
     brute, reviews = Brute(rows), frame(spark, rows).cache()
     for threshold in (0.0, 0.9):
