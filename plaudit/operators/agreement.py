@@ -27,9 +27,10 @@ from plaudit.functions.scalars import int_div
 from plaudit.schema import PEER_THRESHOLD
 from plaudit.sources.shared import saved
 
-# An item is large from this many reviews on. At most MAX_HOT_ITEMS, the largest, are hot;
-# any others take the ordinary join in slots, which is exact too.
-HOT_ITEM_REVIEWS = 20_000
+# An item is large from this many entries on (reviews, less repeats of a score by the same
+# user). At most MAX_HOT_ITEMS, the largest, are hot; any others take the ordinary join in
+# slots, which is exact too.
+HOT_ITEM_ENTRIES = 20_000
 MAX_HOT_ITEMS = 16
 # A class lists each score a user gave a hot item. Items scored on a finer scale than this
 # take the ordinary join, which keeps those lists short.
@@ -71,7 +72,7 @@ class Ledger:
 def open_ledger(
     reviews: DataFrame,
     with_help: bool = False,
-    hot_least: int = HOT_ITEM_REVIEWS,
+    hot_least: int = HOT_ITEM_ENTRIES,
     max_hot: int = MAX_HOT_ITEMS,
 ) -> Ledger:
     """One pass over the reviews, written out small and by column; the rest reads that."""
@@ -81,9 +82,7 @@ def open_ledger(
     )
     # A window of one user on one item: as many rows as there are different scores.
     newest = Window.partitionBy("user_id", "item_id").orderBy(F.desc("last"), F.desc("score"))
-    kept = saved(
-        scores.withColumn("latest", F.row_number().over(newest) == 1).drop("last")
-    )
+    kept = saved(scores.withColumn("latest", F.row_number().over(newest) == 1).drop("last"))
     # Short numbers stand for user ids in all pairs. They are written out before use, since
     # they must not change when a lost task is run again.
     users = saved(
@@ -98,7 +97,7 @@ def open_ledger(
     entries = kept.drop("pct").join(numbers, "user_id").drop("user_id")
 
     large = _large_items(kept, hot_least)
-    top = large.orderBy(F.desc("reviews"), "item_id").limit(max_hot + 1).collect()
+    top = large.orderBy(F.desc("entries"), "item_id").limit(max_hot + 1).collect()
     hot = _coarse_items(kept, [row.item_id for row in top[:max_hot]])
     first = second = entries
     crowd = None
@@ -113,9 +112,12 @@ def open_ledger(
 
 
 def _large_items(kept: DataFrame, least: int) -> DataFrame:
-    """Items with at least ``least`` reviews."""
-    sizes = kept.groupBy("item_id").agg(F.sum("n").alias("reviews"))
-    return sizes.filter(F.col("reviews") >= least)
+    """Items with at least ``least`` entries, which is what pairs grow with."""
+    return _sizes(kept).filter(F.col("entries") >= least)
+
+
+def _sizes(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("item_id").agg(F.count(F.lit(1)).alias("entries"))
 
 
 def _coarse_items(kept: DataFrame, items: list[str]) -> list[str]:
@@ -134,9 +136,9 @@ def _coarse_items(kept: DataFrame, items: list[str]) -> list[str]:
 
 
 def _slotted(entries: DataFrame, large: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Cut each large item into slots of about ``least`` reviews on the first side and
+    """Cut each large item into slots of about ``least`` entries on the first side and
     repeat the second side in every slot, so that no task meets a whole large item."""
-    slots = large.select("item_id", F.ceil(F.col("reviews") / least).alias("slots"))
+    slots = large.select("item_id", F.ceil(F.col("entries") / least).alias("slots"))
     count = F.coalesce("slots", F.lit(1))
     sized = entries.join(slots, "item_id", "left")
     first = sized.withColumn("slot", F.pmod(F.xxhash64("uid"), count))
@@ -157,8 +159,7 @@ def _crowd(entries: DataFrame) -> Crowd:
     )
     members = saved(records.join(classes, "record").select("uid", "class_id"))
     lines = classes.select(F.col("class_id").alias("uid"), F.inline("record"))
-    sizes = lines.groupBy("item_id").agg(F.count(F.lit(1)).alias("reviews"))
-    first, second = _slotted(lines, sizes, CLASS_SLOT)
+    first, second = _slotted(lines, _sizes(lines), CLASS_SLOT)
     pairs = _directed(first, second, with_overlap=True).select(
         F.col("uid_1").alias("class_1"),
         F.col("uid_2").alias("class_2"),
@@ -183,7 +184,11 @@ def _gap() -> Column:
 
 
 def _directed(
-    first: DataFrame, second: DataFrame, keep: Column | None = None, with_overlap: bool = False, **extra: Column
+    first: DataFrame,
+    second: DataFrame,
+    keep: Column | None = None,
+    with_overlap: bool = False,
+    **extra: Column,
 ) -> DataFrame:
     """Totals over the common items of each ordered pair that ``keep`` lets through."""
     met = _meet(first, second)
@@ -276,7 +281,7 @@ def agreement_edges(
     threshold: float = PEER_THRESHOLD,
     with_helpfulness: bool = False,
     positive_only: bool = False,
-    hot_least: int = HOT_ITEM_REVIEWS,
+    hot_least: int = HOT_ITEM_ENTRIES,
 ) -> DataFrame:
     """Ordered pairs of different users whose ``degree`` is at most ``threshold``.
 

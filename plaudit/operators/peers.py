@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.operators.agreement import HOT_ITEM_REVIEWS, Ledger, gaining_pairs, open_ledger
+from plaudit.operators.agreement import HOT_ITEM_ENTRIES, Ledger, gaining_pairs, open_ledger
 from plaudit.schema import PEER_THRESHOLD
 
 WEIGHTS = ("divergence", "agreement")
@@ -21,7 +21,7 @@ def peer_rank(
     reviews: DataFrame,
     weight: str = "agreement",
     threshold: float = PEER_THRESHOLD,
-    hot_least: int = HOT_ITEM_REVIEWS,
+    hot_least: int = HOT_ITEM_ENTRIES,
 ) -> DataFrame:
     """Helpfulness per user plus the mean weighted gain over agreeing, more helpful users.
 

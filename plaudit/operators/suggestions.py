@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.operators.agreement import HOT_ITEM_REVIEWS, Crowd, neighbour_pairs, open_ledger
+from plaudit.operators.agreement import HOT_ITEM_ENTRIES, Crowd, neighbour_pairs, open_ledger
 from plaudit.schema import SUGGEST_THRESHOLD
 
 NEIGHBOURS = ("all", "multi", "overlap")
@@ -15,7 +15,7 @@ def suggest(
     neighbours: str = "all",
     exclude_seen: bool = False,
     threshold: float = SUGGEST_THRESHOLD,
-    hot_least: int = HOT_ITEM_REVIEWS,
+    hot_least: int = HOT_ITEM_ENTRIES,
 ) -> DataFrame:
     """Mean score per (user, item) over the reviews of the user's neighbours.
 

@@ -44,7 +44,7 @@ def interpreted(spark):
 
 
 # hot_least and number of hot items allowed: none hot, one, two, many, and slots only.
-PLANS = [(10**6, 16, 1), (100, 16, 2), (30, 16, 3), (6, 16, 4), (6, 1, 5), (6, 0, 6)]
+PLANS = [(10**6, 16, 1), (60, 16, 2), (20, 16, 3), (6, 16, 4), (6, 1, 5), (6, 0, 6)]
 
 
 @pytest.mark.parametrize("least,max_hot,seed", PLANS)
@@ -74,7 +74,7 @@ def test_every_plan_gives_the_brute_force_result(spark, monkeypatch, least, max_
 
 def test_hot_item_is_left_out_of_the_join(spark):
     reviews = frame(spark, skewed(3))
-    ledger = agreement.open_ledger(reviews, hot_least=100)
+    ledger = agreement.open_ledger(reviews, hot_least=60)
     assert ledger.crowd is not None
     assert ledger.first.filter("item_id = 'hot'").isEmpty()
     assert ledger.crowd.members.count() == reviews.filter("item_id = 'hot'").select("user_id").distinct().count()
