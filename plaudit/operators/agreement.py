@@ -57,11 +57,13 @@ class Crowd:
 class Ledger:
     """What the reviews say, in the form that pairs are made from.
 
-    ``users`` (uid, user_id, reviews, help) numbers the users; ``entries`` (uid, item_id,
-    score, n, latest) has one row per score a user gave an item. ``first`` and ``second``
-    are the entries on ordinary items, in the shape each side of a pair takes them.
+    ``kept`` (user_id, item_id, score, n, latest) has one row per score a user gave an item.
+    ``users`` (uid, user_id, reviews, help) numbers the users, and ``entries`` are the kept
+    rows with the number instead of the id. ``first`` and ``second`` are the entries on
+    ordinary items, in the shape each side of a pair takes them.
     """
 
+    kept: DataFrame
     users: DataFrame
     entries: DataFrame
     first: DataFrame
@@ -108,7 +110,7 @@ def open_ledger(
         first = second = entries.filter(~is_hot).join(crowd.members, "uid", "left")
     if len(top) > len(hot):
         first, second = _slotted(first, large, hot_least)
-    return Ledger(users, entries, first, second, crowd)
+    return Ledger(kept, users, entries, first, second, crowd)
 
 
 def _large_items(kept: DataFrame, least: int) -> DataFrame:

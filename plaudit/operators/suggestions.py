@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.operators.agreement import HOT_ITEM_ENTRIES, Crowd, neighbour_pairs, open_ledger
+from plaudit.operators.agreement import HOT_ITEM_ENTRIES, neighbour_pairs, open_ledger
 from plaudit.schema import SUGGEST_THRESHOLD
 
 NEIGHBOURS = ("all", "multi", "overlap")
@@ -36,44 +36,46 @@ def suggest(
         share = overlap if neighbours == "overlap" else F.lit(1).cast("bigint")
         return F.when(degree <= threshold, share)
 
-    pairs = neighbour_pairs(ledger, threshold)
+    # Names go in before neighbours' reviews multiply the rows, not after.
+    names = ledger.users.select("uid", "user_id")
+    pairs = neighbour_pairs(ledger, threshold).join(names.withColumnRenamed("uid", "uid_1"), "uid_1")
     full = weight(F.col("degree"), F.col("overlap"))
     if ledger.crowd is None:
-        edges = pairs.select("uid_1", "uid_2", full.alias("w"))
+        edges = pairs.select("user_id", "uid_2", full.alias("w"))
         votes = _votes(edges, given)
     else:
         zero = F.lit(0).cast("bigint")
         by_class = weight(F.col("hot_degree"), F.col("hot_overlap"))
         change = F.coalesce(full, zero) - F.coalesce(by_class, zero)
-        edges = pairs.select("uid_1", "uid_2", change.alias("w")).filter(F.col("w") != 0)
+        edges = pairs.select("user_id", "uid_2", change.alias("w")).filter(F.col("w") != 0)
         agreeing = ledger.crowd.pairs.select(
             "class_1", "class_2", weight(F.col("hot_gap") / F.col("hot_n"), F.col("hot_overlap")).alias("w")
         ).filter(F.col("w").isNotNull())
         # Whole counts per score: taking a neighbour back out leaves no rounding behind.
         votes = (
             _votes(edges, given)
-            .unionByName(_crowd_votes(ledger.crowd, agreeing, given))
-            .groupBy("uid", "item_id", "score")
+            .unionByName(_crowd_votes(ledger.crowd.members.join(names, "uid"), agreeing, given))
+            .groupBy("user_id", "item_id", "score")
             .agg(F.sum("votes").alias("votes"))
             .filter(F.col("votes") != 0)
         )
     mean = F.sum(F.col("score") * F.col("votes")) / F.sum("votes")
-    result = votes.groupBy("uid", "item_id").agg(mean.alias("predicted"))
+    result = votes.groupBy("user_id", "item_id").agg(mean.alias("predicted"))
     if exclude_seen:
-        seen = ledger.entries.select("uid", "item_id")
-        result = result.join(seen, ["uid", "item_id"], "left_anti")
-    return result.join(ledger.users, "uid").select("user_id", "item_id", "predicted")
+        seen = ledger.kept.select("user_id", "item_id")
+        result = result.join(seen, ["user_id", "item_id"], "left_anti")
+    return result
 
 
 def _votes(edges: DataFrame, given: DataFrame) -> DataFrame:
     return edges.join(given.withColumnRenamed("uid", "uid_2"), "uid_2").select(
-        F.col("uid_1").alias("uid"), "item_id", "score", (F.col("w") * F.col("n")).alias("votes")
+        "user_id", "item_id", "score", (F.col("w") * F.col("n")).alias("votes")
     )
 
 
-def _crowd_votes(crowd: Crowd, agreeing: DataFrame, given: DataFrame) -> DataFrame:
+def _crowd_votes(members: DataFrame, agreeing: DataFrame, given: DataFrame) -> DataFrame:
     """Votes from all neighbours by hot items alone, less each user's own."""
-    classed = given.join(crowd.members, "uid")
+    classed = given.join(members, "uid")
     offers = (
         classed.groupBy(F.col("class_id").alias("class_2"), "item_id", "score")
         .agg(F.sum("n").alias("n"))
@@ -81,8 +83,8 @@ def _crowd_votes(crowd: Crowd, agreeing: DataFrame, given: DataFrame) -> DataFra
         .groupBy(F.col("class_1").alias("class_id"), "item_id", "score")
         .agg(F.sum(F.col("w") * F.col("n")).alias("votes"))
     )
-    received = crowd.members.join(offers, "class_id")
+    received = members.join(offers, "class_id")
     own = agreeing.filter(F.col("class_1") == F.col("class_2")).select(F.col("class_1").alias("class_id"), "w")
     own_votes = classed.join(own, "class_id").withColumn("votes", -F.col("w") * F.col("n"))
-    columns = ["uid", "item_id", "score", "votes"]
+    columns = ["user_id", "item_id", "score", "votes"]
     return received.select(columns).unionByName(own_votes.select(columns))

@@ -31,6 +31,8 @@ def test_query_equals_sql(spark, base, name):
     assert sorted(df.columns) == sorted(columns)
     got = sorted((tuple(r) for r in df.select(columns).collect()), key=repr)
     assert got and got == sorted(result.fetchall(), key=repr)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [word for word in ("CartesianProduct", "NestedLoop", "Python") if word in plan]
 
 
 def test_entry_gives_rows(spark):
