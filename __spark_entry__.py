@@ -11,6 +11,15 @@ from plaudit.functions.scalars import CONTROL_CHARS
 from plaudit.sources import tables
 from plaudit.sources.shared import fresh_path
 
+try:
+    from plaudit.llm import queries as llm
+
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("plaudit.llm", "corpus_pipeline")):
+        raise
+    llm = corpus_pipeline = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The item of the single-item queries; present at every scale.
@@ -88,6 +97,20 @@ def _job(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return {**_review_queries(), **_llm_queries()}
+
+
+def _llm_queries() -> dict[str, Query]:
+    """The pipeline and the operators of the llm subpackage, where it is there."""
+    return {} if llm is None else {"pipeline": corpus_pipeline.run, **llm.QUERIES}
+
+
+def _llm_sql() -> dict[str, str]:
+    whole = getattr(corpus_pipeline, "ORACLE_SQL", None)
+    return {} if llm is None else {**({"pipeline": whole} if whole else {}), **llm.ORACLE_SQL}
+
+
+def _review_queries() -> dict[str, Query]:
     customers, orders = tables.customer_reviews, tables.order_reviews
     return {
         "item_score": _on(customers, p.item_score),
@@ -272,6 +295,10 @@ from t"""
 
 
 def oracle_sql() -> dict[str, str]:
+    return {**_review_sql(), **_llm_sql()}
+
+
+def _review_sql() -> dict[str, str]:
     documents = _stanza_sql("documents", "source", "doc_id", "lang", "text")
     only = f"where item_id = '{ITEM}'"
     seen = "and not exists (select 1 from r s where s.user_id = user_1 and s.item_id = r.item_id)"
