@@ -7,16 +7,35 @@ from pyspark.sql import DataFrame, SparkSession
 from plaudit.llm import sql
 from plaudit.llm.common import table
 from plaudit.llm.minhash import near_duplicates
+from plaudit.llm.mixing import mixed
+from plaudit.llm.packing import packed
+from plaudit.llm.sharding import shard_by_bytes
 
 
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op2_minimax_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_by_bytes(table(spark, folder, "documents"))
+
+
+def op3_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
+
+
+def op8_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents")).drop("copies", "row_key")
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_minimax_sharding": op2_minimax_sharding,
+    "op3_nnls_packing": op3_nnls_packing,
+    "op8_pareto_mixing": op8_pareto_mixing,
 }
 
 ORACLE_SQL = {
     "op1_minhash_dedup": sql.NEAR_DUPLICATES,
+    "op8_pareto_mixing": sql.mixing(),
 }

@@ -39,3 +39,52 @@ select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(label, d.doc_id) as comp
        coalesce(label, d.doc_id) = d.doc_id as kept
 from documents d left join sizes using (doc_id) left join reach on node = d.doc_id
 """
+
+
+def mixing(fills: int = 4) -> str:
+    """The mix, with plain running sums and as many rounds of filling."""
+    rounds = ""
+    for i in range(fills):
+        rounds += f"""
+best{i} as (select source_key, max({{'size': size, 'row_key': row_key}}) as best from drawn join gaps{i} using (source_key)
+  where not drawn and size > 0 and size <= gap and not list_contains(filled, row_key) group by 1),
+gaps{i + 1} as (select source_key, gap - coalesce(best.size, 0) as gap,
+    case when best is null then filled else list_append(filled, best.row_key) end as filled
+  from gaps{i} left join best{i} using (source_key)),"""
+    return f"""
+with t as (
+  select doc_id, text, coalesce('0' || source, '1') as source_key,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
+         coalesce(doc_id::varchar, '-') || ':' || coalesce(md5(text), '-') as ident
+  from documents),
+rows_ as (
+  select *, ident || ':' || row_number() over (partition by source_key, ident order by size) as row_key from t),
+numbered as (select *, (('0x' || substr(md5(row_key), 1, 12))::bigint::double + 0.5) / 281474976710656.0 as u from rows_),
+sizes as (select source_key, sum(size)::bigint as source_size from numbered group by 1),
+weighed as (
+  select *, [5, 2, 1][(row_number() over (order by source_key) - 1) % 3 + 1] as weight, 3 * source_size as room from sizes),
+running as (
+  select *, sum(source_size) over () as whole, sum(weight) over () as weights,
+         coalesce(sum(room) over before, 0) as full_room, coalesce(sum(weight) over before, 0) as full_weight
+  from weighed window before as (order by room / weight, source_key rows between unbounded preceding and 1 preceding)),
+levels as (select *, (whole - full_room)::double / (weights - full_weight)::double as level from running),
+level_ as (select max(level) as best_level from levels where level * weight <= room),
+plan as (
+  select *, greatest(0.0, target - certain * source_size) as left_
+  from (select source_key, source_size, target,
+               floor(case when source_size > 0 then target / source_size else 0 end + 1e-12)::bigint as certain
+        from (select source_key, source_size,
+                     least(room::double, coalesce(best_level * weight, room::double)) as target
+              from running, level_))),
+drawn as (
+  select doc_id, n.source_key, row_key, size,
+         sum(size) over (partition by n.source_key order by u, row_key rows unbounded preceding) <= left_ as drawn
+  from numbered n join plan using (source_key)),
+gaps0 as (
+  select source_key, any_value(left_) - coalesce(sum(size) filter (where drawn), 0) as gap, []::varchar[] as filled
+  from drawn join plan using (source_key) group by 1),{rounds}
+last as (select 1)
+select doc_id, size::bigint as size, source_size, target,
+       (size * (certain + (drawn or list_contains(filled, row_key))::int))::bigint as taken
+from drawn join plan using (source_key) join gaps{fills} using (source_key)
+"""
