@@ -10,6 +10,8 @@ from plaudit.llm.minhash import near_duplicates
 from plaudit.llm.mixing import mixed
 from plaudit.llm.packing import packed
 from plaudit.llm.sharding import shard_by_bytes
+from plaudit.llm.templates import main_texts
+from plaudit.llm.toxicity import toxicity_scores
 
 
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +26,14 @@ def op3_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
 
 
+def op5_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op7_template_removal(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(table(spark, folder, "pages"))
+
+
 def op8_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(table(spark, folder, "documents")).drop("copies", "row_key")
 
@@ -32,6 +42,8 @@ QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_nnls_packing": op3_nnls_packing,
+    "op5_weak_toxicity": op5_weak_toxicity,
+    "op7_template_removal": op7_template_removal,
     "op8_pareto_mixing": op8_pareto_mixing,
 }
 
