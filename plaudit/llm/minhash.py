@@ -20,8 +20,9 @@ HASHES = BANDS * ROWS
 # Pairs whose signatures agree in a smaller share are not compared further. At a true 0.8 the
 # share has a standard deviation of 0.024, so this is six of them below.
 SIGNATURE_FLOOR = 0.66
-# Rows of a bucket that one task compares at a time.
+# Rows, and shingles of rows, that one task compares with as many others at a time.
 BLOCK = 2048
+BLOCK_SHINGLES = 4_000_000
 # Words whose hashes a task keeps; a speed setting only.
 WORDS_KEPT = 400_000
 
@@ -152,51 +153,130 @@ def _ordered(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def _strangers(bands: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Every pair that shares a band, lies in different components and agrees in signature.
+def _blocked(rows: DataFrame, group: str, stats: DataFrame, payload: list[str]) -> DataFrame:
+    """``block, guest`` and the payload: every block of a group's rows beside every block of its guests.
 
-    In a bucket only rows outside its commonest component ("guests") can add anything; each is
-    compared with all rows. Rows and guests are dealt into blocks, and each task compares one
-    block of either kind, so neither a large bucket nor many guests meet in one task. A pair is
-    given by the first band that it shares only.
+    ``stats(group, top, rows_in, guests_in)`` says how many blocks there are. Guests are rows
+    outside the group's commonest component: only they can add a link between components.
     """
-    b = bands.join(labels, "node")
-    per_label = b.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    stats = (
-        per_label.groupBy("bucket")
-        .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
-        .where("labels > 1")
-        .select("bucket", "top", F.ceil(F.col("n") / BLOCK).alias("rows_in"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("guests_in"))
+    rows = rows.join(stats, group)
+    spot, zero = F.xxhash64("node"), F.lit(0).cast("long")
+    mine = rows.select(
+        group, *payload, F.lit(0).alias("guest"), F.pmod(spot, "rows_in").alias("i"), F.explode(F.sequence(zero, F.col("guests_in") - 1)).alias("j")
     )
-    b = b.join(stats, "bucket").join(sigs, "node")
-    spot = F.xxhash64("node")
-    fixed = ["bucket", "band", "node", "label", "sig"]
-    rows = b.select(*fixed, F.lit(0).alias("guest"), F.pmod(spot, "rows_in").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("guests_in") - 1)).alias("j"))
-    guests = b.where("label <> top").select(*fixed, F.lit(1).alias("guest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows_in") - 1)).alias("i"), F.pmod(spot, "guests_in").alias("j"))
-    blocks = rows.unionByName(guests).select(F.concat_ws(":", "bucket", "i", "j").alias("block"), "band", "node", "label", "sig", "guest")
+    guests = rows.where("label <> top").select(
+        group, *payload, F.lit(1).alias("guest"), F.explode(F.sequence(zero, F.col("rows_in") - 1)).alias("i"), F.pmod(spot, "guests_in").alias("j")
+    )
+    block = F.concat_ws(":", F.col(group).cast("string") if group == "bucket" else F.hex(group), "i", "j")
+    return mine.unionByName(guests).select(block.alias("block"), "guest", *payload)
+
+
+def _stats(rows: DataFrame, group: str, size: str) -> DataFrame:
+    per_label = rows.groupBy(group, "label").agg(F.count("*").alias("n"), F.sum(size).alias("size"))
+    most = F.max_by(F.struct("label", "n", "size"), F.struct("n", "label"))
+    whole = per_label.groupBy(group).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), most.alias("most"), F.count("*").alias("labels"))
+
+    def blocks(n, size):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("long")
+
+    return whole.where("labels > 1").select(
+        group,
+        F.col("most.label").alias("top"),
+        blocks(F.col("n"), F.col("size")).alias("rows_in"),
+        blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("guests_in"),
+    )
+
+
+class _Forest:
+    """Joins the things of one block; says which joins were new."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _codes(block: pa.Table) -> tuple[np.ndarray, np.ndarray, _Forest]:
+    """Guests, a number for each row's component, and a forest that knows these components."""
+    names: dict[bytes, int] = {}
+    codes = np.array([names.setdefault(x, len(names)) for x in block["label"].to_pylist()])
+    return block["guest"].to_numpy().astype(bool), codes, _Forest(len(names))
+
+
+def _edges(found: list[tuple[int, int]], nodes: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([nodes[x] for x, _ in found], pa.binary()), pa.array([nodes[y] for _, y in found], pa.binary())], names=["a", "b"]
+    )
+
+
+def _maybe(bands: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` that join components whose rows share a band and agree in signature.
+
+    Not all such pairs: each block gives a spanning forest of them.
+    """
+    rows = bands.join(labels, "node").withColumn("size", F.lit(0))
+    blocks = _blocked(rows.join(sigs, "node"), "bucket", _stats(rows, "bucket", "size"), ["node", "label", "sig"])
 
     def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        guest = block["guest"].to_numpy().astype(bool)
-        if guest.all() or not guest.any():
-            return
+        guest, codes, forest = _codes(block)
         sigs_ = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
-        nodes, labels_ = block["node"].to_pylist(), block["label"].to_pylist()
-        code = {x: k for k, x in enumerate(dict.fromkeys(labels_))}
-        codes = np.array([code[x] for x in labels_])
-        band = block["band"][0].as_py()
-        left, right = [], []
-        rows_at = np.flatnonzero(~guest)
-        for g in np.flatnonzero(guest):
+        rows_at, found = np.flatnonzero(~guest), []
+        for g in np.flatnonzero(guest).tolist():
             others = rows_at[codes[rows_at] != codes[g]]
-            same = sigs_[others] == sigs_[g]
-            near = same.mean(1) >= SIGNATURE_FLOOR
-            first = same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
-            for k in others[near][first]:
-                left.append(nodes[g])
-                right.append(nodes[k])
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["x", "y"])
+            near = others[(sigs_[others] == sigs_[g]).sum(1) >= SIGNATURE_FLOOR * HASHES]
+            for code, at in zip(*np.unique(codes[near], return_index=True), strict=True):
+                if forest.join(int(codes[g]), int(code)):
+                    found.append((g, int(near[at])))
+        yield _edges(found, block["node"].to_pylist())
 
-    return in_groups(blocks, "block", compare, "x binary, y binary").select(*_ordered("x", "y")).distinct()
+    return in_groups(blocks, "block", compare, "a binary, b binary").select(*_ordered("a", "b")).distinct()
+
+
+def _bridges(maybe: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join components, by comparing the full sets within each cluster of what may be linked.
+
+    A cluster holds all rows that links and ``maybe`` edges connect. Its guests are compared with
+    all its rows, block by block, over an index of the block's shingles, and a block gives a
+    spanning forest of the links found.
+    """
+    reached = components(links.unionByName(maybe)).withColumnRenamed("label", "cluster")
+    rows = saved(labels.join(reached, "node").join(sets.select("node", F.size("shingles").cast("long").alias("size")), "node"))
+    blocks = _blocked(rows.join(sets, "node"), "cluster", _stats(rows, "cluster", "size"), ["node", "label", "shingles"])
+
+    def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        guest, codes, forest = _codes(block)
+        sets_ = block["shingles"].combine_chunks()
+        starts = sets_.offsets.to_numpy()
+        values = sets_.values.to_numpy()
+        rows_at, found = np.flatnonzero(~guest), []
+        own = [values[starts[i] : starts[i + 1]] for i in range(len(guest))]
+        sizes = np.diff(starts)
+        if len(rows_at) and guest.any():
+            index = np.concatenate([own[i] for i in rows_at])
+            owner = np.repeat(np.arange(len(rows_at)), sizes[rows_at])
+            order = np.argsort(index, kind="stable")
+            index, owner = index[order], owner[order]
+            for g in np.flatnonzero(guest).tolist():
+                low, high = np.searchsorted(index, own[g], "left"), np.searchsorted(index, own[g], "right")
+                many = high - low
+                hits = np.repeat(low - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+                both = np.bincount(owner[hits], minlength=len(rows_at))
+                linked = rows_at[100 * both >= percent * (sizes[rows_at] + sizes[g] - both)]
+                for code, at in zip(*np.unique(codes[linked], return_index=True), strict=True):
+                    if forest.join(int(codes[g]), int(code)):
+                        found.append((g, int(linked[at])))
+        yield _edges(found, block["node"].to_pylist())
+
+    return in_groups(blocks, "block", compare, "a binary, b binary").select(*_ordered("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -206,8 +286,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     are one node. Each node gets 288 universal hash minima in 48 bands. Every band's bucket links
     its rows with its smallest and its largest node; pairs that pass the signature check are
     confirmed on the full sets. What the buckets hold besides, pairs of different components, is
-    compared block by block and confirmed the same way, so no link that joins two components is
-    lost in a large bucket, and no bucket is expanded into all pairs.
+    compared by signature and then on the full sets inside tasks, block by block, and only edges
+    that join components come out: no link that does is lost in a large bucket, and no bucket is
+    expanded into pairs.
 
     Null or wordless texts have no shingles and link with nothing. Repeated rows are repeated in
     the result. A null doc_id takes part, is no component's id while another has one, and is never
@@ -235,8 +316,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     links = saved(_confirmed(pairs, sigs, sets, percent))
     found = components(links)
     labels = sigs.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    open_pairs = _strangers(bands.select("node", "band", "bucket"), saved(labels), sigs)
-    more = saved(_confirmed(open_pairs.join(pairs, ["a", "b"], "left_anti"), sigs, sets, percent))
+    labels = saved(labels)
+    maybe = saved(_maybe(bands.select("node", "bucket"), labels, sigs))
+    more = saved(_bridges(maybe, links, labels, sets, percent))
     if more.limit(1).count():
         found = components(links.unionByName(more))
 
