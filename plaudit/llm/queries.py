@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plaudit.llm import sql
 from plaudit.llm.common import table
+from plaudit.llm.cover_tree import threshold_links
 from plaudit.llm.minhash import near_duplicates
 from plaudit.llm.mixing import mixed
 from plaudit.llm.packing import packed
@@ -30,6 +31,10 @@ def op5_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op6_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return threshold_links(table(spark, folder, "embeddings"))
+
+
 def op7_template_removal(spark: SparkSession, folder: str) -> DataFrame:
     return main_texts(table(spark, folder, "pages"))
 
@@ -43,11 +48,13 @@ QUERIES = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_nnls_packing": op3_nnls_packing,
     "op5_weak_toxicity": op5_weak_toxicity,
+    "op6_cover_tree": op6_cover_tree,
     "op7_template_removal": op7_template_removal,
     "op8_pareto_mixing": op8_pareto_mixing,
 }
 
 ORACLE_SQL = {
     "op1_minhash_dedup": sql.NEAR_DUPLICATES,
+    "op6_cover_tree": sql.THRESHOLD_LINKS,
     "op8_pareto_mixing": sql.mixing(),
 }

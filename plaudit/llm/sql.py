@@ -88,3 +88,24 @@ select doc_id, size::bigint as size, source_size, target,
        (size * (certain + (drawn or list_contains(filled, row_key))::int))::bigint as taken
 from drawn join plan using (source_key) join gaps{fills} using (source_key)
 """
+
+
+# The checks of a vector, and its doubles.
+_USABLE = """
+  (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings
+   where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+     and len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+THRESHOLD_LINKS = f"""
+with recursive good as (
+  select vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from {_USABLE} where label is not null),
+links as (
+  select x.vec_id as a, y.vec_id as b from good x join good y
+  on x.label = y.label and len(x.v) = len(y.v) and x.vec_id <> y.vec_id
+  where list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.93),
+{labelled("links")}
+select e.vec_id, coalesce(n, 0) as n_links, coalesce(label_, e.vec_id) as component_id,
+       coalesce(label_, e.vec_id) = e.vec_id as kept
+from embeddings e left join (select a, count(*) as n from links group by 1) on a = e.vec_id
+     left join (select node, label as label_ from reach) on node = e.vec_id
+"""
