@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plaudit.sources.shared import saved
 
@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def row_ident() -> Column:
+    """Same for the same doc_id and text, and for nothing else."""
+    return F.concat_ws(
+        ":",
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
+        F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")),
+    )
+
+
 def shares(df: DataFrame, rows: int) -> int:
     """How many shares of about ``rows`` rows ``df`` has; at least one."""
     return max(1, -(-df.count() // rows))
@@ -94,3 +103,19 @@ def in_groups(
             yield from work(pa.Table.from_batches(kept))
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int = 20_000) -> DataFrame:
+    """``df`` with each row's number, from 0, among the rows of its ``keys``, in one order.
+
+    Rows are counted in shares of about ``rows`` rows by the hash of ``order``, and numbered
+    within each, so that a key with most of the rows is numbered by many tasks. The order is by
+    share, then by ``order``: the same in every run, and any rows that tie are alike in it.
+    """
+    placed = df.withColumn("_share", F.pmod(F.xxhash64(*order), F.lit(shares(df, rows))))
+    before = Window.partitionBy(*keys).orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*keys, "_share").agg(F.count("*").alias("_n"))
+    starts = starts.select(*keys, "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_share").orderBy(*order)) - 1
+    joined = placed.withColumn("_own", own).join(starts, [*keys, "_share"])
+    return joined.withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).select(*df.columns, name)

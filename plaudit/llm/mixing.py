@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plaudit.llm.common import shares
+from plaudit.llm.common import row_ident, shares
 from plaudit.sources.shared import saved
 
 # Weights of the sources in code-point order, repeating; copies of a source or
@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def source_key() -> Column:
+    """Sources in code-point order, the null source last."""
+    return F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """``sizes(source_key, source_size)`` with ``target``.
 
@@ -60,7 +65,7 @@ def random_number(key: Column) -> Column:
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies, row_key`` for each row of ``docs(doc_id, text, source)``.
+    """``doc_id, size, source_size, target, taken, copies, source_key, ident`` for each row of ``docs(doc_id, text, source)``.
 
     A source that needs r times its words takes floor(r) whole copies of each document for
     certain. For the rest, p = r - floor(r), documents are ranked by random odds over inclusion
@@ -75,17 +80,14 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
     rows are drawn apart; a random number belongs to (doc_id, text, number of the repeat). An
     empty table gives no rows. Other columns are ignored.
     """
-    source = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    ident = F.concat_ws(
-        ":",
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-        F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")),
-    )
     rows = docs.select(
-        F.col("doc_id").cast("long"), source.alias("source_key"), words(F.col("text")).alias("size"), ident.alias("ident")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        source_key().alias("source_key"),
+        words(F.col("text")).alias("size"),
+        row_ident().alias("ident"),
     )
     repeat = F.row_number().over(Window.partitionBy("source_key", "ident").orderBy("size"))
-    rows = rows.withColumn("row_key", F.concat_ws(":", "ident", repeat)).drop("ident")
+    rows = rows.withColumn("row_key", F.concat_ws(":", "ident", repeat))
     rows = saved(rows.withColumn("u", random_number(F.col("row_key"))))
 
     sizes = rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))
@@ -109,7 +111,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
     drawn = saved(
         placed.join(whole, ["source_key", "share"], "left")
         .join(edge, ["source_key", "row_key"], "left")
-        .select("doc_id", "source_key", "row_key", "size", F.coalesce("in_whole", "in_edge", F.lit(False)).alias("drawn"))
+        .select("doc_id", "source_key", "ident", "row_key", "size", F.coalesce("in_whole", "in_edge", F.lit(False)).alias("drawn"))
     )
 
     taken = drawn.groupBy("source_key").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("words"))
@@ -136,6 +138,6 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
         .join(gaps, "source_key")
         .withColumn("copies", F.col("certain") + once)
         .select(
-            "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "row_key"
+            "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source_key", "ident"
         )
     )

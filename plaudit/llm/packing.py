@@ -8,9 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from plaudit.llm.common import shares
+from plaudit.llm.common import row_ident, shares
 from plaudit.sources.shared import saved
 
 CONTEXT = 2048
@@ -68,15 +68,6 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def row_ident() -> Column:
-    """Same for the same doc_id and text, and for nothing else."""
-    return F.concat_ws(
-        ":",
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-        F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")),
-    )
-
-
 def _crc(ids: bytes, start: int, length: int) -> int:
     return zlib.crc32(ids[4 * start : 4 * (start + length)])
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plaudit.llm import sql
+from plaudit.llm.chats import TURN_SCHEMAS, calls_of_turns, linked_calls
 from plaudit.llm.common import table
 from plaudit.llm.cover_tree import threshold_links
+from plaudit.llm.hilbert import nearest
 from plaudit.llm.minhash import near_duplicates
 from plaudit.llm.mixing import mixed
 from plaudit.llm.packing import packed
 from plaudit.llm.sharding import shard_by_bytes
 from plaudit.llm.templates import main_texts
+from plaudit.llm.token_counts import token_counts
 from plaudit.llm.toxicity import toxicity_scores
 
 
@@ -27,6 +30,10 @@ def op3_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
 
 
+def op4_viterbi_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"))
+
+
 def op5_weak_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -40,17 +47,29 @@ def op7_template_removal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_pareto_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed(table(spark, folder, "documents")).drop("copies", "row_key")
+    return mixed(table(spark, folder, "documents")).drop("copies", "source_key", "ident")
+
+
+def op9_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"))
+
+
+def op10_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = calls_of_turns(table(spark, folder, "conversations"))
+    return linked_calls(calls, results, TURN_SCHEMAS)
 
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_nnls_packing": op3_nnls_packing,
+    "op4_viterbi_counts": op4_viterbi_counts,
     "op5_weak_toxicity": op5_weak_toxicity,
     "op6_cover_tree": op6_cover_tree,
     "op7_template_removal": op7_template_removal,
     "op8_pareto_mixing": op8_pareto_mixing,
+    "op9_hilbert_neighbours": op9_hilbert_neighbours,
+    "op10_tool_calls": op10_tool_calls,
 }
 
 ORACLE_SQL = {

@@ -6,15 +6,13 @@ import bisect
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from plaudit.llm.common import shares
+from plaudit.llm.common import numbered
 from plaudit.sources.shared import saved
 
 # Hexadecimal digits of a group's key that a refinement looks further each time.
 DIGITS = 3
-# Rows that are numbered together.
-ROWS_TOGETHER = 20_000
 # Digits of a text's fingerprint.
 WHOLE = 32
 
@@ -140,28 +138,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
         shard = shard + (F.col("key") >= start).cast("int")
     for number, giant in enumerate(alone):
         shard = F.when(F.col("key") == giant, F.lit(number)).otherwise(shard)
-    placed = rows.withColumn("shard", shard.cast("int")).withColumn(
-        "share", F.pmod(F.xxhash64("doc_id", "key"), F.lit(shares(rows, ROWS_TOGETHER)))
-    )
-    before = Window.partitionBy("shard").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "share")
-        .agg(F.count("*").alias("n"))
-        .select("shard", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    )
-    within = Window.partitionBy("shard", "share").orderBy("doc_id", "key")
-    return (
-        placed.withColumn("place", F.row_number().over(within) - 1)
-        .join(offsets, ["shard", "share"])
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.lit("bytes").alias("law"),
-            "shard",
-            (F.col("offset") + F.col("place")).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
+    placed = numbered(rows.withColumn("shard", shard.cast("int")), ["shard"], ["doc_id", "key"], "slot")
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

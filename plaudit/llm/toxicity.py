@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plaudit.sources.shared import saved
 
@@ -231,36 +232,38 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
     return fit(lexicon, [sorted(r["fired"]) for r in rows], np.array([r["toxic"] for r in rows], np.float64))
 
 
-def scored(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """``doc_id, score`` of every row, from its whole text."""
+def scored(docs: DataFrame, weights: dict[str, float], name: str = "score") -> DataFrame:
+    """``docs``, which has no column ``name``, with the score of every row's whole ``text`` in it."""
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = [(p, weights[name]) for name, p in PATTERNS.items() if weights.get(name)]
+        patterns = [(p, weights[entry]) for entry, p in PATTERNS.items() if weights.get(entry)]
         known_stems = {e.rstrip("23") for e in weights if e[-2:-1] == "-"}
         known: dict[str, tuple[str, ...]] = {}
+
+        def score(text: str) -> float:
+            stems: Counter = Counter()
+            for word in set(_WORD.findall(text.lower())):
+                own = known.get(word)
+                if own is None:
+                    if len(known) >= WORDS_KEPT:
+                        known.clear()
+                    own = tuple(e for e in entries(word) if e in known_stems or e in weights)
+                    if len(word) < 64:
+                        known[word] = own
+                if own:
+                    stems.update(own)
+            found = {e for e in (*stems, *repeated(stems)) if e in weights}
+            z = weights[""] + sum(sorted(weights[e] for e in found)) + sum(w for p, w in patterns if p.search(text))
+            return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                scores = []
-                for text in part.column(1).to_pylist():
-                    text = text or ""
-                    stems: Counter = Counter()
-                    for word in set(_WORD.findall(text.lower())):
-                        own = known.get(word)
-                        if own is None:
-                            if len(known) >= WORDS_KEPT:
-                                known.clear()
-                            own = tuple(e for e in entries(word) if e in known_stems or e in weights)
-                            if len(word) < 64:
-                                known[word] = own
-                        if own:
-                            stems.update(own)
-                    found = {e for e in (*stems, *repeated(stems)) if e in weights}
-                    z = weights[""] + sum(sorted(weights[e] for e in found)) + sum(w for p, w in patterns if p.search(text))
-                    scores.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+                scores = [score(text or "") for text in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -277,7 +280,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     or 1, or of unknown documents are ignored; a document labelled both ways is toxic. Without
     labels every score is low. Repeated rows stay. Other columns are ignored.
     """
-    result = scored(docs, train(docs, labels))
+    result = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs, labels))
     return result.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
