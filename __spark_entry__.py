@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # The item of the single-item queries; present at every scale.
 ITEM = "P7"
-# Makes the item that holds a third of the returns view a hot one at every scale.
+# The item that holds a third of the returns view is large at every scale, and hot where so many are.
 HOT_LEAST = 1000
 
 
@@ -57,6 +57,15 @@ def _suggest(*args, **options) -> Callable[[DataFrame], DataFrame]:
     return lambda reviews: p.suggest(reviews, *args, **options)
 
 
+def _for_some(analysis: Callable[[DataFrame, DataFrame], DataFrame], view: Query) -> Query:
+    """For the users whose number ends in 7."""
+
+    def run(reviews: DataFrame) -> DataFrame:
+        return analysis(reviews, reviews.filter("user_id like '%7'").select("user_id").distinct())
+
+    return _on(view, run)
+
+
 def _text_file(stanzas: Query) -> Query:
     """Write the records as text files, read them back and type them. A review without
     votes shows -1 here, so that the column holds whole numbers only."""
@@ -88,6 +97,35 @@ def _written(write: Callable[[DataFrame, str], None], fmt: str = "csv") -> Query
     return run
 
 
+# Results of the named jobs, as their CSV files are read back.
+JOBS = {
+    "filmscore": "item_id string, mean_score double",
+    "userscore": "user_id string, mean_score double",
+    "userhelpfulness": "user_id string, help double",
+    "filmdatescore": "item_id string, year string, mean_score double",
+    "filmdatescore_aggregated": "item_id string, period string, mean_score double",
+    "pagerank_average": "user_id string, rank double",
+    "pagerank_naive": "user_id string, rank double",
+    "pagerank_optimized": "user_id string, rank double",
+    "usersuggestion_naive": "user_id string, item_id string, predicted double",
+    "usersuggestion_improved": "user_id string, item_id string, predicted double",
+    "usersuggestion_optimized": "user_id string, item_id string, predicted double",
+}
+
+
+def _named_job(name: str, view: Query, save: str) -> Query:
+    """The job from text records to files, read back."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        source, out = fresh_path(spark, "stanzas"), fresh_path(spark, "result")
+        tables.review_stanzas(view(spark, folder)).write.option("lineSep", "\n\n").text(source)
+        p.run_job(spark, source, name, save, out=out)
+        result = spark.read.schema(JOBS[name]).csv(out)
+        return result.withColumn("rank", F.round("rank", 6)) if "rank" in result.columns else result
+
+    return run
+
+
 def _job(spark: SparkSession, folder: str) -> DataFrame:
     """The whole job: reviews from a stored table, the analysis by name, files out."""
     source, out = fresh_path(spark, "reviews"), fresh_path(spark, "scores")
@@ -131,6 +169,7 @@ def _review_queries() -> dict[str, Query]:
         "peer_rank_divergence": _on(customers, _rank("divergence")),
         "peer_rank_agreement": _on(customers, _rank("agreement")),
         "peer_rank_hot_item": _on(tables.returns_reviews, _rank("agreement", hot_least=HOT_LEAST)),
+        "peer_rank_slots": _on(tables.returns_reviews, _rank("agreement", hot_least=HOT_LEAST, hot_count=0)),
         "user_items": _on(customers, p.user_items),
         "suggest_all": _on(orders, _suggest()),
         "suggest_multi": _on(orders, _suggest("multi")),
@@ -139,10 +178,18 @@ def _review_queries() -> dict[str, Query]:
         "stanza_parse": _text_file(tables.document_stanzas),
         "stanza_parse_pages": _text_file(tables.page_stanzas),
         "review_preview": _preview,
-        "sink_csv_roundtrip": _written(p.write_single_csv),
+        "sink_csv_roundtrip": _written(p.write_quoted_csv),
         "sink_parts_roundtrip": _written(p.write_parts),
         "sink_parquet_roundtrip": _written(lambda df, path: p.write_parts(df, path, "parquet"), "parquet"),
         "job_roundtrip": _job,
+        **{
+            f"job_{name}": _named_job(name, orders if name.startswith("usersug") else customers, save)
+            for name, save in zip(JOBS, ("local", "distributed", "s3") * len(JOBS), strict=False)
+        },
+        "suggest_some_users": _for_some(lambda r, users: p.suggest(r, "overlap", users=users), orders),
+        "agreement_edges_some_users": _for_some(
+            lambda r, users: p.agreement_edges(r, with_helpfulness=True, users=users), customers
+        ),
     }
 
 
@@ -209,6 +256,10 @@ def _sql(*parts: str) -> str:
 ITEM_SCORE = _sql(CUSTOMERS, "select item_id, avg(score) as mean_score from r group by 1")
 
 
+USER_SCORE = _sql(CUSTOMERS, "select user_id, avg(score) as mean_score from r group by 1")
+USER_HELP = _sql(CUSTOMERS, HELP, "select user_id, help from h")
+
+
 def _year(where: str = "") -> str:
     return _sql(
         CUSTOMERS,
@@ -241,6 +292,17 @@ def _edges_sql(condition: str) -> str:
     )
 
 
+def _rank_average_sql(digits: str = "") -> str:
+    mean = "avg(case when help < mean_help then (help + mean_help) / 2 else help end)"
+    return _sql(
+        CUSTOMERS,
+        HELP,
+        VOTED,
+        f"""select user_id, {f"round({mean}, {digits})" if digits else mean} as rank
+            from r join h using (user_id) join g using (item_id, score) group by 1""",
+    )
+
+
 def _rank_sql(view: str, weight: str, user: str = "h.user_id") -> str:
     return _sql(
         view,
@@ -305,8 +367,8 @@ def _review_sql() -> dict[str, str]:
     several = "and user_2 in (select user_id from r group by 1 having count(*) > 1)"
     return {
         "item_score": ITEM_SCORE,
-        "user_score": _sql(CUSTOMERS, "select user_id, avg(score) as mean_score from r group by 1"),
-        "user_helpfulness": _sql(CUSTOMERS, HELP, "select user_id, help from h"),
+        "user_score": USER_SCORE,
+        "user_helpfulness": USER_HELP,
         "length_helpfulness": _sql(
             CUSTOMER_LENGTHS,
             """select '< ' || cast(bucket * 1024 as varchar) as length_class,
@@ -328,14 +390,7 @@ def _review_sql() -> dict[str, str]:
                        as lifted_help
                 from r join h using (user_id) join g using (item_id, score) {only}""",
         ),
-        "consensus_rank": _sql(
-            CUSTOMERS,
-            HELP,
-            VOTED,
-            """select user_id, avg(case when help < mean_help then (help + mean_help) / 2 else help end)
-                      as rank
-               from r join h using (user_id) join g using (item_id, score) group by 1""",
-        ),
+        "consensus_rank": _rank_average_sql(),
         "agreement_edges_similar": _sql(
             CUSTOMERS, LATEST, PAIRS, "select user_1, user_2, degree, overlap from pairs where degree <= 0"
         ),
@@ -344,6 +399,7 @@ def _review_sql() -> dict[str, str]:
         "peer_rank_divergence": _rank_sql(CUSTOMERS, "degree"),
         "peer_rank_agreement": _rank_sql(CUSTOMERS, "1 - degree"),
         "peer_rank_hot_item": _rank_sql(RETURNS, "1 - degree", "'O' || h.user_id"),
+        "peer_rank_slots": _rank_sql(RETURNS, "1 - degree", "'O' || h.user_id"),
         "user_items": _sql(
             CUSTOMERS, "select user_id, item_id, score, count(*) as n from r group by 1, 2, 3"
         ),
@@ -360,4 +416,17 @@ def _review_sql() -> dict[str, str]:
         "sink_parts_roundtrip": ITEM_SCORE,
         "sink_parquet_roundtrip": ITEM_SCORE,
         "job_roundtrip": ITEM_SCORE,
+        "job_filmscore": ITEM_SCORE,
+        "job_userscore": USER_SCORE,
+        "job_userhelpfulness": USER_HELP,
+        "job_filmdatescore": _year(),
+        "job_filmdatescore_aggregated": _period(),
+        "job_pagerank_average": _rank_average_sql("6"),
+        "job_pagerank_naive": _rank_sql(CUSTOMERS, "degree"),
+        "job_pagerank_optimized": _rank_sql(CUSTOMERS, "1 - degree"),
+        "job_usersuggestion_naive": _suggest_sql(),
+        "job_usersuggestion_improved": _suggest_sql(givers=several),
+        "job_usersuggestion_optimized": _suggest_sql("overlap"),
+        "suggest_some_users": _suggest_sql("overlap", where="and user_1 like '%7'"),
+        "agreement_edges_some_users": _edges_sql("user_1 like '%7'"),
     }

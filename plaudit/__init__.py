@@ -15,7 +15,7 @@ from plaudit.operators.preview import review_preview
 from plaudit.operators.suggestions import suggest
 from plaudit.plans.job import ANALYSES, run_job
 from plaudit.sources.reviews import load_reviews, parse_stanzas, read_stanzas, to_reviews
-from plaudit.sources.sinks import write_none, write_parts, write_single_csv
+from plaudit.sources.sinks import write_none, write_parts, write_quoted_csv
 
 __all__ = [
     "ANALYSES",
@@ -40,5 +40,5 @@ __all__ = [
     "user_score",
     "write_none",
     "write_parts",
-    "write_single_csv",
+    "write_quoted_csv",
 ]

@@ -4,9 +4,9 @@
 user's scores and the second user's latest score on the same item. Only pairs with a common
 item matter, so pairs come from an equi-join on the item, never from user x user.
 
-An item with m reviewers makes m * m pairs. Most items are small and that is fine; for the
-few that hold a large share of all reviews it is not. The largest, *hot* items stay out of
-the join (other large items are cut into slots). Users who treated every hot item alike
+An item with m reviewers makes m * m pairs. Most items are small and that is fine; for those
+that hold a large share of all reviews it is not. The largest, *hot* items stay out of the join
+(other large items are cut into slots); how many is decided by what either way costs. Users who treated every hot item alike
 form one *class*, and agreement on hot items is worked out once per pair of classes. Results
 for two users are then
 
@@ -28,13 +28,10 @@ from plaudit.schema import PEER_THRESHOLD
 from plaudit.sources.shared import saved
 
 # An item is large from this many entries on (reviews, less repeats of a score by the same
-# user). At most MAX_HOT_ITEMS, the largest, are hot; any others take the ordinary join in
-# slots, which is exact too.
-HOT_ITEM_ENTRIES = 20_000
-MAX_HOT_ITEMS = 16
-# A class lists each score a user gave a hot item. Items scored on a finer scale than this
-# take the ordinary join, which keeps those lists short.
-MAX_HOT_SCORES = 100
+# user); the ordinary join cuts it into slots of that size.
+HOT_ITEM_ENTRIES = 2_048
+# Numbers of largest items that are weighed against each other as the hot ones.
+HOT_COUNTS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 256)
 # Records on one hot item that one task takes as first side when classes are matched.
 CLASS_SLOT = 256
 
@@ -75,15 +72,20 @@ def open_ledger(
     reviews: DataFrame,
     with_help: bool = False,
     hot_least: int = HOT_ITEM_ENTRIES,
-    max_hot: int = MAX_HOT_ITEMS,
+    hot_count: int | None = None,
 ) -> Ledger:
-    """One pass over the reviews, written out small and by column; the rest reads that."""
+    """One pass over the reviews, written out small and by column; the rest reads that.
+
+    ``hot_count`` of the large items are hot, or the number that costs least. Results are the same.
+    """
     pct = F.coalesce("helpful_pct", F.lit(0)) if with_help else F.lit(0)
     scores = reviews.groupBy("user_id", "item_id", "score").agg(
         F.count(F.lit(1)).alias("n"), F.max("review_time").alias("last"), F.sum(pct).alias("pct")
     )
     # A window of one user on one item: as many rows as there are different scores.
-    newest = Window.partitionBy("user_id", "item_id").orderBy(F.desc("last"), F.desc("score"))
+    newest = Window.partitionBy("user_id", "item_id").orderBy(
+        F.col("score").isNull(), F.desc("last"), F.desc("score")
+    )
     kept = saved(scores.withColumn("latest", F.row_number().over(newest) == 1).drop("last"))
     # Short numbers stand for user ids in all pairs. They are written out before use, since
     # they must not change when a lost task is run again.
@@ -96,11 +98,17 @@ def open_ledger(
         .withColumn("uid", F.monotonically_increasing_id())
     )
     numbers = users.select("user_id", "uid", *(["help"] if with_help else []))
-    entries = kept.drop("pct").join(numbers, "user_id").drop("user_id")
-
-    large = _large_items(kept, hot_least)
-    top = large.orderBy(F.desc("entries"), "item_id").limit(max_hot + 1).collect()
-    hot = _coarse_items(kept, [row.item_id for row in top[:max_hot]])
+    # A review whose score could not be read counts as a review of its user, but agrees with none.
+    scored = kept.drop("pct").filter(F.col("score").isNotNull())
+    entries = scored.join(numbers, "user_id").drop("user_id")
+
+    large = _large_items(scored, hot_least)
+    most = max(HOT_COUNTS) if hot_count is None else hot_count
+    top = large.orderBy(F.desc("entries"), "item_id").limit(most + 1).collect()
+    if hot_count is None and top:
+        squares = float(large.agg(F.sum(F.col("entries").cast("double") ** 2)).first()[0])
+        hot_count = _cheapest(entries, top[:most], squares)
+    hot = [row.item_id for row in top[: hot_count or 0]]
     first = second = entries
     crowd = None
     if hot:
@@ -122,19 +130,30 @@ def _sizes(entries: DataFrame) -> DataFrame:
     return entries.groupBy("item_id").agg(F.count(F.lit(1)).alias("entries"))
 
 
-def _coarse_items(kept: DataFrame, items: list[str]) -> list[str]:
-    """Those of the few ``items`` that are scored on a scale of bounded length."""
-    if not items:
-        return []
-    scales = (
-        kept.filter(F.col("item_id").isin(items))
-        .select("item_id", "score")
-        .distinct()
-        .groupBy("item_id")
-        .count()
-        .filter(F.col("count") <= MAX_HOT_SCORES)
-    )
-    return [row.item_id for row in scales.collect()]
+def _cheapest(entries: DataFrame, top: list, squares: float) -> int:
+    """How many of the ``top`` items, largest first, to take out of the join.
+
+    An item in the join makes as many pairs as the square of its entries. Hot items make pairs of
+    classes instead: users alike on all of them. Classes multiply with every further item, so
+    their number is estimated for each candidate, in one pass over the top items' entries.
+    """
+    counts = [k for k in HOT_COUNTS if k < len(top)] + [len(top)]
+    ranks = F.create_map(*[F.lit(x) for i, row in enumerate(top) for x in (row.item_id, i)])
+    ranked = entries.filter(F.col("item_id").isin([row.item_id for row in top])).withColumn("i", ranks[F.col("item_id")])
+    entry = F.struct("i", "score", "n", "latest")
+    records = ranked.groupBy("uid").agg(F.sort_array(F.collect_list(entry)).alias("record"))
+
+    def classes(k: int) -> Column:
+        own = F.filter("record", lambda e: e["i"] < k)
+        return F.approx_count_distinct(F.when(F.size(own) > 0, F.xxhash64(own))).alias(f"k{k}")
+
+    found = records.agg(*map(classes, counts)).first()
+    sizes = [float(row.entries) for row in top]
+    costs = {}
+    for k in counts:
+        n = float(found[f"k{k}"])
+        costs[k] = n * n + sum(min(n, m) ** 2 for m in sizes[:k]) + squares - sum(m * m for m in sizes[:k])
+    return min(counts, key=costs.get)
 
 
 def _slotted(entries: DataFrame, large: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +171,7 @@ def _slotted(entries: DataFrame, large: DataFrame, least: int) -> tuple[DataFram
 def _crowd(entries: DataFrame) -> Crowd:
     """Number the distinct hot-item records and match them with each other, in slots.
 
-    A record is bounded by the hot items times their score scale.
+    A record is one user's scores of the hot items.
     """
     entry = F.struct("item_id", "score", "n", "latest")
     records = entries.groupBy("uid").agg(F.sort_array(F.collect_list(entry)).alias("record"))
@@ -221,14 +240,29 @@ def gaining_pairs(ledger: Ledger) -> DataFrame:
     return _with_degree(pairs, ledger.crowd)
 
 
-def neighbour_pairs(ledger: Ledger, threshold: float) -> DataFrame:
+def numbers_of(ledger: Ledger, users: DataFrame | None) -> DataFrame | None:
+    """The numbers of the users asked for, ``users(user_id)``; None for everybody."""
+    if users is None:
+        return None
+    return saved(ledger.users.join(users.select("user_id"), "user_id", "left_semi").select("uid"))
+
+
+def neighbour_pairs(ledger: Ledger, threshold: float, chosen: DataFrame | None = None) -> DataFrame:
     """Pairs of different users with a common ordinary item: uid_1, uid_2, ``degree``,
     ``overlap`` and, with a crowd, ``hot_degree`` and ``hot_overlap``. Without a crowd only
-    pairs up to ``threshold`` are given.
+    pairs up to ``threshold`` are given, and with ``chosen(uid)`` only pairs whose first user is
+    among them: the other first users end before the join.
 
-    The join makes each pair once; totals for both directions come out of the same row.
+    For everybody, the join makes each pair once, and totals for both directions come out of
+    the same row.
     """
     crowd = ledger.crowd
+    if chosen is not None:
+        first = ledger.first.join(chosen, "uid", "left_semi")
+        extra = {} if crowd is None else {f"class_{k}": F.max(f"class_id_{k}") for k in (1, 2)}
+        pairs = _directed(first, ledger.second, F.col("uid_1") != F.col("uid_2"), with_overlap=True, **extra)
+        pairs = _with_degree(pairs, crowd)
+        return pairs if crowd is not None else pairs.filter(F.col("degree") <= threshold)
     classes = [] if crowd is None else ["class_id"]
     totals = {"overlap": F.sum(F.col("n_1") * F.col("n_2"))}
     for k, other in ((1, 2), (2, 1)):
@@ -271,6 +305,10 @@ def _with_degree(pairs: DataFrame, crowd: Crowd | None) -> DataFrame:
     full = {"degree": gap / n, "hot_degree": F.col("hot_gap") / F.col("hot_n")}
     if "overlap" in pairs.columns:
         full["overlap"] = F.col("overlap") + F.coalesce("hot_overlap", zero)
+    # Pairs without two classes meet none: numbers below 0, which no class has, part them.
+    apart = -1 - F.pmod(F.xxhash64("uid_1", "uid_2"), F.lit(1 << 30))
+    classed = F.col("class_1").isNotNull() & F.col("class_2").isNotNull()
+    pairs = pairs.withColumn("class_1", F.when(classed, F.col("class_1")).otherwise(apart))
     return (
         pairs.join(crowd.pairs, ["class_1", "class_2"], "left")
         .withColumns(full)
@@ -284,23 +322,29 @@ def agreement_edges(
     with_helpfulness: bool = False,
     positive_only: bool = False,
     hot_least: int = HOT_ITEM_ENTRIES,
+    users: DataFrame | None = None,
+    hot_count: int | None = None,
 ) -> DataFrame:
     """Ordered pairs of different users whose ``degree`` is at most ``threshold``.
 
     ``overlap`` counts the pairs of reviews of a common item. With helpfulness, ``help_1`` and
-    ``help_diff`` (second minus first) are added; ``positive_only`` keeps gains.
+    ``help_diff`` (second minus first) are added; ``positive_only`` keeps gains. ``users(user_id)``
+    asks for pairs with these first users only; the result for everybody is pairwise and can be
+    as large as that.
     """
     rated = with_helpfulness or positive_only
-    ledger = open_ledger(reviews, rated, hot_least)
-    listed = neighbour_pairs(ledger, threshold)
+    ledger = open_ledger(reviews, rated, hot_least, hot_count)
+    chosen = numbers_of(ledger, users)
+    listed = neighbour_pairs(ledger, threshold, chosen)
     shape = ["uid_1", "uid_2", "degree", "overlap"]
     edges = listed.filter(F.col("degree") <= threshold).select(shape)
     if ledger.crowd is not None:
         members = ledger.crowd.members
+        firsts = members if chosen is None else members.join(chosen, "uid", "left_semi")
         hot_only = (
             ledger.crowd.pairs.withColumn("degree", F.col("hot_gap") / F.col("hot_n"))
             .filter(F.col("degree") <= threshold)
-            .join(members.withColumnsRenamed({"uid": "uid_1", "class_id": "class_1"}), "class_1")
+            .join(firsts.withColumnsRenamed({"uid": "uid_1", "class_id": "class_1"}), "class_1")
             .join(members.withColumnsRenamed({"uid": "uid_2", "class_id": "class_2"}), "class_2")
             .filter(F.col("uid_1") != F.col("uid_2"))
             .join(listed, ["uid_1", "uid_2"], "left_anti")

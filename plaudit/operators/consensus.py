@@ -14,11 +14,13 @@ def _lifted(own: Column, group: Column) -> Column:
 def consensus_lift(reviews: DataFrame, item: str) -> DataFrame:
     """One row per review of ``item``: its author's helpfulness, lifted halfway to the mean
     of the reviews that gave the item the same score. Scores nobody voted on give no row."""
+    chosen = reviews.filter(F.col("item_id") == item).select("user_id", "score")
+    # Only the item's reviewers are averaged, so other users' reviews end before the shuffle
+    # where the list of reviewers is small, and before the aggregate anyhow.
+    theirs = reviews.join(chosen.select("user_id").distinct(), "user_id", "left_semi")
     return (
-        reviews.filter(F.col("item_id") == item)
-        .select("user_id", "score")
-        .join(helpfulness_by_score(reviews, item), "score")
-        .join(user_helpfulness(reviews), "user_id")
+        chosen.join(helpfulness_by_score(reviews, item), "score")
+        .join(user_helpfulness(theirs), "user_id")
         .select("user_id", _lifted(F.col("help"), F.col("mean_help")).alias("lifted_help"))
     )
 

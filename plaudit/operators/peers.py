@@ -22,6 +22,7 @@ def peer_rank(
     weight: str = "agreement",
     threshold: float = PEER_THRESHOLD,
     hot_least: int = HOT_ITEM_ENTRIES,
+    hot_count: int | None = None,
 ) -> DataFrame:
     """Helpfulness per user plus the mean weighted gain over agreeing, more helpful users.
 
@@ -31,7 +32,7 @@ def peer_rank(
     """
     if weight not in WEIGHTS:
         raise ValueError(f"unknown weight: {weight}")
-    ledger = open_ledger(reviews, True, hot_least)
+    ledger = open_ledger(reviews, True, hot_least, hot_count)
     pairs = gaining_pairs(ledger)
 
     def terms(degree: Column) -> tuple[Column, Column]:

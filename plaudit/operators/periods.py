@@ -30,13 +30,14 @@ def item_period_score(
     """Mean score per (item, period), two decimals.
 
     The first period ends with ``first_last`` itself, the second with ``second_last``;
-    the outer two are open, so every review falls in exactly one.
+    the outer two are open, so every review with a time falls in exactly one. Reviews without
+    a time are a period of their own, null.
     """
     time = F.col("review_time")
     period = (
         F.when(time <= first_last, PERIOD_LABELS[0])
         .when(time > second_last, PERIOD_LABELS[2])
-        .otherwise(PERIOD_LABELS[1])
+        .when(time > first_last, PERIOD_LABELS[1])
     )
     return (
         _only(reviews, item)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.operators.agreement import HOT_ITEM_ENTRIES, neighbour_pairs, open_ledger
+from plaudit.operators.agreement import HOT_ITEM_ENTRIES, neighbour_pairs, numbers_of, open_ledger
 from plaudit.schema import SUGGEST_THRESHOLD
 
 NEIGHBOURS = ("all", "multi", "overlap")
@@ -16,17 +16,20 @@ def suggest(
     exclude_seen: bool = False,
     threshold: float = SUGGEST_THRESHOLD,
     hot_least: int = HOT_ITEM_ENTRIES,
+    users: DataFrame | None = None,
+    hot_count: int | None = None,
 ) -> DataFrame:
     """Mean score per (user, item) over the reviews of the user's neighbours.
 
     A neighbour is another user with ``degree`` at most ``threshold``. ``all`` takes each one
     once, ``multi`` only those with more than one review, ``overlap`` weighs each by the
     number of review pairs on common items. Items the user already reviewed are kept unless
-    ``exclude_seen``.
+    ``exclude_seen``. ``users(user_id)`` asks for predictions for these users only; the result
+    for everybody is users times items at worst.
     """
     if neighbours not in NEIGHBOURS:
         raise ValueError(f"unknown neighbours: {neighbours}")
-    ledger = open_ledger(reviews, False, hot_least)
+    ledger = open_ledger(reviews, False, hot_least, hot_count)
     given = ledger.entries.select("uid", "item_id", "score", "n")
     if neighbours == "multi":
         several = ledger.users.filter(F.col("reviews") > 1).select("uid")
@@ -38,7 +41,8 @@ def suggest(
 
     # Names go in before neighbours' reviews multiply the rows, not after.
     names = ledger.users.select("uid", "user_id")
-    pairs = neighbour_pairs(ledger, threshold).join(names.withColumnRenamed("uid", "uid_1"), "uid_1")
+    chosen = numbers_of(ledger, users)
+    pairs = neighbour_pairs(ledger, threshold, chosen).join(names.withColumnRenamed("uid", "uid_1"), "uid_1")
     full = weight(F.col("degree"), F.col("overlap"))
     if ledger.crowd is None:
         edges = pairs.select("user_id", "uid_2", full.alias("w"))
@@ -51,10 +55,12 @@ def suggest(
         agreeing = ledger.crowd.pairs.select(
             "class_1", "class_2", weight(F.col("hot_gap") / F.col("hot_n"), F.col("hot_overlap")).alias("w")
         ).filter(F.col("w").isNotNull())
+        members = ledger.crowd.members.join(names, "uid")
+        asked = members if chosen is None else members.join(chosen, "uid", "left_semi")
         # Whole counts per score: taking a neighbour back out leaves no rounding behind.
         votes = (
             _votes(edges, given)
-            .unionByName(_crowd_votes(ledger.crowd.members.join(names, "uid"), agreeing, given))
+            .unionByName(_crowd_votes(members, asked, agreeing, given))
             .groupBy("user_id", "item_id", "score")
             .agg(F.sum("votes").alias("votes"))
             .filter(F.col("votes") != 0)
@@ -73,8 +79,8 @@ def _votes(edges: DataFrame, given: DataFrame) -> DataFrame:
     )
 
 
-def _crowd_votes(members: DataFrame, agreeing: DataFrame, given: DataFrame) -> DataFrame:
-    """Votes from all neighbours by hot items alone, less each user's own."""
+def _crowd_votes(members: DataFrame, asked: DataFrame, agreeing: DataFrame, given: DataFrame) -> DataFrame:
+    """Votes for the users ``asked`` from all neighbours by hot items alone, less each user's own."""
     classed = given.join(members, "uid")
     offers = (
         classed.groupBy(F.col("class_id").alias("class_2"), "item_id", "score")
@@ -83,8 +89,8 @@ def _crowd_votes(members: DataFrame, agreeing: DataFrame, given: DataFrame) -> D
         .groupBy(F.col("class_1").alias("class_id"), "item_id", "score")
         .agg(F.sum(F.col("w") * F.col("n")).alias("votes"))
     )
-    received = members.join(offers, "class_id")
+    received = asked.join(offers, "class_id")
     own = agreeing.filter(F.col("class_1") == F.col("class_2")).select(F.col("class_1").alias("class_id"), "w")
-    own_votes = classed.join(own, "class_id").withColumn("votes", -F.col("w") * F.col("n"))
+    own_votes = given.join(asked, "uid").join(own, "class_id").withColumn("votes", -F.col("w") * F.col("n"))
     columns = ["user_id", "item_id", "score", "votes"]
     return received.select(columns).unionByName(own_votes.select(columns))

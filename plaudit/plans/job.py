@@ -10,7 +10,6 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from plaudit.operators.averages import item_score, length_helpfulness, user_helpfulness, user_score
@@ -19,8 +18,8 @@ from plaudit.operators.peers import peer_rank
 from plaudit.operators.periods import item_period_score, item_year_score
 from plaudit.operators.suggestions import suggest
 from plaudit.sources.reviews import load_reviews
-from plaudit.sources.shared import drop_saved, saved
-from plaudit.sources.sinks import write_none, write_parts, write_single_csv
+from plaudit.sources.shared import drop_saved, saved, scratch
+from plaudit.sources.sinks import write_none, write_parts, write_quoted_csv
 
 log = logging.getLogger(__name__)
 
@@ -44,6 +43,27 @@ ANALYSES: dict[str, Analysis] = {
     "userhelpfulness": lambda reviews, item: user_helpfulness(reviews),
 }
 
+SAVED = ("local", "distributed", "s3")
+
+# What each analysis reads besides item_id and user_id; a stored table has to have it.
+_PEER = ("score", "review_time", "helpful_pct")
+COLUMNS: dict[str, tuple[str, ...]] = {
+    "pagerank_averageI": ("score", "helpful_pct"),
+    "pagerank_average": ("score", "helpful_pct"),
+    "pagerank_naive": _PEER,
+    "pagerank_medium": _PEER,
+    "pagerank_optimized": _PEER,
+    "usersuggestion_naive": ("score", "review_time"),
+    "usersuggestion_improved": ("score", "review_time"),
+    "usersuggestion_optimized": ("score", "review_time"),
+    "filmdatescore": ("score", "review_time"),
+    "filmdatescore_aggregated": ("score", "review_time"),
+    "filmscore": ("score",),
+    "lengthhelpfulness": ("helpful_pct", "body_length"),
+    "userscore": ("score",),
+    "userhelpfulness": ("helpful_pct",),
+}
+
 # These read the reviews several times: text is parsed once for them, and its narrow
 # columns are kept as a table. The pair analyses keep a smaller table of their own.
 SEVERAL_PASSES = ("pagerank_averageI", "pagerank_average")
@@ -62,44 +82,33 @@ def run_job(
 ) -> int:
     """Load reviews, run ``analysis``, save the result and return its row count.
 
-    ``save`` is ``local`` (CSV, one file if small), ``distributed`` or ``s3`` (one file per
-    partition at ``out``); anything else computes and saves nothing. Except for ``local``,
-    rows are counted as they are written and the result is computed once.
+    ``save`` is ``local`` (quoted CSV), ``distributed`` or ``s3`` (plain CSV), each with one file
+    per partition at ``out``; anything else computes and saves nothing. The result is computed
+    once, its rows are counted as they are written, and tables kept meanwhile are deleted.
     """
     if analysis not in ANALYSES:
         raise ValueError(f"unknown analysis: {analysis}; known: {', '.join(ANALYSES)}")
-    if save in ("local", "distributed", "s3") and out is None:
+    if save in SAVED and out is None:
         raise ValueError(f"save={save} needs an output path")
     start = time.monotonic()
-    reviews = load_reviews(spark, path, source, mode, keep_blank)
-    if source == "stanza" and analysis in SEVERAL_PASSES:
-        reviews = saved(reviews.select("item_id", "user_id", "score", "helpful_pct"))
-    result = ANALYSES[analysis](reviews, item)
-    if save == "local":
-        rows = _save_local(result, out)
-    else:
+    with scratch(spark):
+        columns = ["item_id", "user_id", *COLUMNS[analysis]]
+        reviews = load_reviews(spark, path, source, mode, keep_blank, columns)
+        if source == "stanza" and analysis in SEVERAL_PASSES:
+            reviews = saved(reviews.select("item_id", "user_id", "score", "helpful_pct"))
         counted = Observation()
-        watched = result.observe(counted, F.count(F.lit(1)).alias("rows"))
-        if save in ("distributed", "s3"):
-            write_parts(watched, out)
+        result = ANALYSES[analysis](reviews, item).observe(counted, F.count(F.lit(1)).alias("rows"))
+        if save == "local":
+            write_quoted_csv(result, out)
+        elif save in SAVED:
+            write_parts(result, out)
         else:
-            write_none(watched)
+            write_none(result)
         rows = counted.get["rows"]
     log.info("%s: %d rows in %d ms", analysis, rows, (time.monotonic() - start) * 1000)
     return rows
 
 
-def _save_local(result: DataFrame, out: str) -> int:
-    """The row count decides whether one file will do, so it is needed before writing."""
-    kept = result.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = kept.count()
-        write_single_csv(kept, out, rows)
-    finally:
-        kept.unpersist()
-    return rows
-
-
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="plaudit")
     parser.add_argument("path")
@@ -111,6 +120,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--mode", default="strict", choices=["strict", "permissive"])
     parser.add_argument("--keep-blank", action="store_true")
     args = parser.parse_args(argv)
+    if args.save in SAVED and not args.out:
+        # A default would lie on each executor's own disk.
+        parser.error(f"{args.save} needs --out")
     logging.basicConfig(level=logging.INFO)
     spark = (
         SparkSession.builder.appName("plaudit")
@@ -125,7 +137,7 @@ def main(argv: list[str] | None = None) -> None:
             args.analysis,
             args.save,
             args.item,
-            args.out or f"/tmp/{args.analysis}",
+            args.out,
             args.source,
             args.mode,
             args.keep_blank,

@@ -96,15 +96,23 @@ def load_reviews(
     source: str = "stanza",
     mode: str = "strict",
     keep_blank: bool = False,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Reviews from text records (``stanza``) or from a table saved earlier (``parquet``).
 
     Parsing text once and saving the result as Parquet lets later analyses read only the
-    few narrow columns they need.
+    few narrow columns they need. A stored table must have the ``columns`` asked for (default:
+    all of a review), with their types; else this is an error, not a column of nulls.
     """
     if source == "stanza":
         return to_reviews(parse_stanzas(read_stanzas(spark, path), keep_blank), mode)
     if source == "parquet":
         paths = [path] if isinstance(path, str) else path
-        return spark.read.schema(REVIEW_SCHEMA).parquet(*paths)
+        wanted = REVIEW_SCHEMA.names if columns is None else columns
+        stored = spark.read.parquet(*paths)
+        kinds, found = {f.name: f.dataType for f in REVIEW_SCHEMA}, {f.name: f.dataType for f in stored.schema}
+        wrong = [name for name in wanted if found.get(name) != kinds[name]]
+        if wrong:
+            raise ValueError(f"stored reviews without, or with another type of: {', '.join(wrong)}")
+        return stored.select(*wanted)
     raise ValueError(f"unknown source: {source}")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="")
+
+
 def _app_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/plaudit-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
-    return f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_app_dir(spark)}{_scope.get()}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -44,7 +50,22 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is kept in here is deleted at the end; frames that live outside stay as they are."""
+    token = _scope.set(f"{_scope.get()}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _app_dir(spark) + _scope.get())
+        _scope.reset(token)
+
+
 def drop_saved(spark: SparkSession) -> None:
     """Delete what this application kept in the shared folder; its frames are void then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    _delete(spark, _app_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

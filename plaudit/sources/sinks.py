@@ -4,29 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Results up to this many rows fit one CSV file written by one task.
-SINGLE_FILE_ROWS = 1_000_000
-
-
 def _as_text(df: DataFrame) -> DataFrame:
     return df.select([F.col(name).cast("string").alias(name) for name in df.columns])
 
 
-def write_single_csv(
-    df: DataFrame, path: str, rows: int | None = None, max_rows: int = SINGLE_FILE_ROWS
-) -> None:
-    """Quoted CSV without a header, as one file while the result is small.
-
-    ``rows`` is the result's known row count; it is counted when not given. Above
-    ``max_rows`` the same rows are written as several files, in parallel.
-    """
-    count = df.count() if rows is None else rows
-    out = _as_text(df)
-    if count <= max_rows:
-        # One task writes; the rows still come out of parallel tasks, in their order.
-        numbered = out.withColumn("_row", F.monotonically_increasing_id())
-        out = numbered.repartition(1).sortWithinPartitions("_row").drop("_row")
-    out.write.mode("overwrite").option("quoteAll", True).csv(path)
+def write_quoted_csv(df: DataFrame, path: str) -> None:
+    """Quoted CSV without a header: one file per partition, files and rows in the result's order."""
+    _as_text(df).write.mode("overwrite").option("quoteAll", True).csv(path)
 
 
 def write_parts(df: DataFrame, path: str, fmt: str = "csv") -> None:

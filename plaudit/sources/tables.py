@@ -36,9 +36,9 @@ def _review(item: Column, user: Column) -> list[Column]:
 
 
 def customer_reviews(
-    spark: SparkSession, folder: str, body: bool = False, length: bool = False
+    spark: SparkSession, folder: str, length: bool = False
 ) -> DataFrame:
-    """Customers reviewing parts. ``body`` adds the text, ``length`` only its size.
+    """Customers reviewing parts. ``length`` adds the size of a text.
 
     The size is taken from the documents before they are joined, so no text is shuffled
     for an analysis that needs only the size.
@@ -49,15 +49,14 @@ def customer_reviews(
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")),
         F.concat(F.lit("U"), F.col("o_custkey").cast("string")),
     )
-    if not (body or length):
+    if not length:
         return lines.select(columns)
     documents = _table(spark, folder, "documents")
     total = documents.count()
-    texts = documents.select("doc_id", utf16_length(F.col("text")).alias("body_length"), F.col("text").alias("body"))
+    texts = documents.select("doc_id", utf16_length(F.col("text")).alias("body_length"))
     number = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % total
-    wanted = (["body"] if body else []) + ["body_length"]
     return lines.join(texts, number == F.col("doc_id"), "left").select(
-        *columns, F.lit("").alias("summary"), *wanted
+        *columns, F.lit("").alias("summary"), "body_length"
     )
 
 
@@ -80,6 +79,20 @@ def _order() -> Column:
     return F.concat(F.lit("O"), F.col("l_orderkey").cast("string"))
 
 
+def review_stanzas(reviews: DataFrame) -> DataFrame:
+    """One text record per review of a view, without texts."""
+    return reviews.select(
+        F.concat_ws(
+            "\n",
+            _field("product/productId", F.col("item_id")),
+            _field("review/userId", F.col("user_id")),
+            _field("review/helpfulness", F.col("helpfulness")),
+            _field("review/score", F.col("score").cast("string")),
+            _field("review/time", F.col("review_time").cast("string")),
+        ).alias("value")
+    )
+
+
 def document_stanzas(spark: SparkSession, folder: str) -> DataFrame:
     """One text record per document."""
     number = F.col("doc_id")
@@ -95,21 +108,21 @@ def page_stanzas(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _stanzas(df: DataFrame, item: Column, number: Column, title: Column, text: Column) -> DataFrame:
-    """Line breaks in the texts become spaces, since one line holds one field."""
+def _field(key: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{key}: "), value)
 
-    def field(key: str, value: Column) -> Column:
-        return F.concat(F.lit(f"{key}: "), value)
 
+def _stanzas(df: DataFrame, item: Column, number: Column, title: Column, text: Column) -> DataFrame:
+    """Line breaks in the texts become spaces, since one line holds one field."""
     return df.select(
         F.concat_ws(
             "\n",
-            field("product/productId", item),
-            field("review/userId", F.concat(F.lit("U"), number.cast("string"))),
-            field("review/helpfulness", F.concat_ws("/", (number % 7).cast("string"), (number % 11).cast("string"))),
-            field("review/score", (number % 5 + 1).cast("double").cast("string")),
-            field("review/time", (1000000000 + number * 86400).cast("string")),
-            field("review/summary", F.concat(F.lit("About: "), title)),
-            field("review/text", F.replace(text, F.lit("\n"), F.lit(" "))),
+            _field("product/productId", item),
+            _field("review/userId", F.concat(F.lit("U"), number.cast("string"))),
+            _field("review/helpfulness", F.concat_ws("/", (number % 7).cast("string"), (number % 11).cast("string"))),
+            _field("review/score", (number % 5 + 1).cast("double").cast("string")),
+            _field("review/time", (1000000000 + number * 86400).cast("string")),
+            _field("review/summary", F.concat(F.lit("About: "), title)),
+            _field("review/text", F.replace(text, F.lit("\n"), F.lit(" "))),
         ).alias("value")
     )

@@ -20,10 +20,10 @@ def base():
 
 
 def test_each_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry._review_queries()) == set(entry._review_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry._review_queries()))
 def test_query_equals_sql(spark, base, name):
     df = entry.queries()[name](spark, str(FOLDER))
     result = base.execute(entry.oracle_sql()[name])

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 from fixtures import MICRO, frame
+from pyspark.sql import functions as F
 
 import plaudit as p
 from plaudit.sources.shared import drop_saved, saved, shared_dir
@@ -36,17 +37,14 @@ def stanzas(tmp_path):
     return str(path)
 
 
-def test_single_csv(spark, scores, tmp_path):
-    out = str(tmp_path / "one")
-    p.write_single_csv(scores, out)
-    assert lines(out) == MEANS and len(list(Path(out).glob("part-*"))) == 1
-    assert '"A","4.6"' in "".join(f.read_text() for f in Path(out).glob("part-*"))
-
-
-def test_large_results_are_written_in_parts(spark, scores, tmp_path):
-    out = str(tmp_path / "many")
-    p.write_single_csv(scores.repartition(3), out, max_rows=2)
-    assert lines(out) == MEANS and len(list(Path(out).glob("part-*"))) == 3
+@pytest.mark.parametrize("rows", [2, 200_000])
+def test_quoted_csv_is_written_alike_at_any_size(spark, tmp_path, rows):
+    out = str(tmp_path / "quoted")
+    p.write_quoted_csv(spark.range(0, rows, 1, 3).selectExpr("id", "id / 4 as quarter"), out)
+    parts = sorted(Path(out).glob("part-*"))
+    assert len(parts) == min(rows, 3)
+    text = "".join(f.read_text() for f in parts)
+    assert text.startswith('"0","0.0"\n"1","0.25"\n') and text.count("\n") == rows
 
 
 @pytest.mark.parametrize("fmt", ["csv", "parquet"])
@@ -90,8 +88,8 @@ def test_job_saves_where_told(spark, stanzas, tmp_path):
 def test_job_keeps_the_order_of_length_classes(spark, stanzas, tmp_path):
     out = str(tmp_path / "lengths")
     p.run_job(spark, stanzas, "lengthhelpfulness", out=out)
-    (part,) = Path(out).glob("part-*")
-    assert [row[0] for row in csv.reader(part.open())] == ["< 0", "< 1024", "< 2048", "< 4096"]
+    parts = sorted(Path(out).glob("part-*"))
+    assert [row[0] for part in parts for row in csv.reader(part.open())] == ["< 0", "< 1024", "< 2048", "< 4096"]
 
 
 def test_job_filters_one_item(spark, stanzas, tmp_path):
@@ -116,6 +114,24 @@ def test_bad_requests(spark, stanzas):
         p.run_job(spark, stanzas, "filmscore", "s3")
 
 
+def test_stored_tables_need_their_columns(spark, tmp_path):
+    path = str(tmp_path / "thin")
+    frame(spark, MICRO).drop("body_length").withColumn("score", F.col("score").cast("float")).write.parquet(path)
+    assert p.run_job(spark, path, "userhelpfulness", "none", source="parquet") == 5
+    for analysis, column in (("lengthhelpfulness", "body_length"), ("filmscore", "score")):
+        with pytest.raises(ValueError, match=column):
+            p.run_job(spark, path, analysis, "none", source="parquet")
+    with pytest.raises(ValueError, match="summary"):
+        p.load_reviews(spark, path, "parquet")
+
+
+def test_a_job_leaves_other_frames_alone(spark, stanzas):
+    mine = saved(spark.range(3))
+    before = set(Path(shared_dir(spark)).rglob("*"))
+    p.run_job(spark, stanzas, "pagerank_optimized", "none")
+    assert mine.count() == 3 and set(Path(shared_dir(spark)).rglob("*")) == before
+
+
 def test_saved_tables_live_in_the_shared_folder_and_can_be_dropped(spark):
     df = saved(spark.range(10))
     folder = Path(shared_dir(spark))

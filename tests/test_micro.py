@@ -1,7 +1,7 @@
 """Hand-checked results on thirteen reviews."""
 
 import pytest
-from fixtures import MICRO, Brute, frame
+from fixtures import MICRO, SCHEMA, Brute, frame
 
 import plaudit as p
 
@@ -138,3 +138,19 @@ def test_unknown_options(reviews):
         p.peer_rank(reviews, "naive")
     with pytest.raises(ValueError):
         p.suggest(reviews, "some")
+
+
+def test_unreadable_scores_and_times(spark):
+    """A null score counts as a review, agrees with nothing and predicts nothing."""
+    rows = [("A", "u1", 5.0, 1, 2, 5, 0), ("A", "u2", 4.0, 1, 1, 5, 0), ("B", "u1", 3.0, 0, 0, 5, 0)]
+    rows += [("C", "u3", 2.0, 0, 0, 7, 0), ("B", "u3", 3.0, 0, 0, None, 0), ("F", "u3", 2.0, 0, 0, 9, 0)]
+    data = [(i, u, s, up, total, t, n, up * 100 // total if total else None) for i, u, s, up, total, t, n in rows]
+    data += [("B", "u2", None, 0, 0, 9, 0, None), ("F", "u3", None, 0, 0, 99, 0, None), ("A", "u2", None, 0, 4, 99, 0, 0)]
+    reviews = spark.createDataFrame(data, SCHEMA)
+    edges = {(r.user_1, r.user_2): r.degree for r in p.agreement_edges(reviews, 9.0).collect()}
+    assert edges == {("u1", "u2"): 1.0, ("u2", "u1"): 1.0, ("u1", "u3"): 0.0, ("u3", "u1"): 0.0}
+    got = {(r.user_id, r.item_id): r.predicted for r in p.suggest(reviews).collect()}
+    assert got == {("u1", "C"): 2.0, ("u1", "B"): 3.0, ("u1", "F"): 2.0, ("u3", "A"): 5.0, ("u3", "B"): 3.0}
+    assert {r.user_id: r.help for r in p.user_helpfulness(reviews).collect()} == {"u1": 25.0, "u2": 33.0, "u3": 0.0}
+    periods = {(r.item_id, r.period): r.mean_score for r in p.item_period_score(reviews, "B").collect()}
+    assert periods == {("B", "1997-2002"): 3.0, ("B", None): 3.0}

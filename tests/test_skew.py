@@ -43,38 +43,43 @@ def interpreted(spark):
     spark.conf.unset("spark.sql.codegen.wholeStage")
 
 
-# hot_least and number of hot items allowed: none hot, one, two, many, and slots only.
-PLANS = [(10**6, 16, 1), (60, 16, 2), (20, 16, 3), (6, 16, 4), (6, 1, 5), (6, 0, 6)]
+# hot_least and number of hot items: none large, one, two, many, slots only, and by cost.
+PLANS = [(10**6, None, 1), (60, 1, 2), (20, 2, 3), (4, 40, 4), (6, 0, 6), (6, None, 7)]
 
 
-@pytest.mark.parametrize("least,max_hot,seed", PLANS)
-def test_every_plan_gives_the_brute_force_result(spark, monkeypatch, least, max_hot, seed):
-    ledger = agreement.open_ledger(frame(spark, skewed(seed)), True, least, max_hot)
-    for name in ("agreement", "peers", "suggestions"):
-        monkeypatch.setattr(f"plaudit.operators.{name}.open_ledger", lambda *_: ledger)
+@pytest.mark.parametrize("least,count,seed", PLANS)
+def test_every_plan_gives_the_brute_force_result(spark, least, count, seed):
+    plan = {"hot_least": least, "hot_count": count}
     rows = skewed(seed)
     brute, reviews = Brute(rows), frame(spark, rows).cache()
     for threshold in (0.0, 0.9):
-        edges = p.agreement_edges(reviews, threshold, hot_least=least)
+        edges = p.agreement_edges(reviews, threshold, **plan)
         assert as_dict(edges.select("user_1", "user_2", "degree"), "user_1", "user_2") == near(
             brute.edges(threshold)
         )
         overlaps = as_dict(edges.select("user_1", "user_2", "overlap"), "user_1", "user_2")
         assert overlaps == {pair: brute.overlap(*pair) for pair in brute.edges(threshold)}
     for weight in ("divergence", "agreement"):
-        got = as_dict(p.peer_rank(reviews, weight, hot_least=least), "user_id")
+        got = as_dict(p.peer_rank(reviews, weight, **plan), "user_id")
         assert got == near({(u,): v for u, v in brute.peer_rank(weight).items()})
     for neighbours in ("all", "multi", "overlap"):
-        got = as_dict(p.suggest(reviews, neighbours, hot_least=least), "user_id", "item_id")
+        got = as_dict(p.suggest(reviews, neighbours, **plan), "user_id", "item_id")
         assert got == near(brute.suggest(neighbours))
-    unseen = as_dict(p.suggest(reviews, exclude_seen=True, hot_least=least), "user_id", "item_id")
+    some = reviews.filter("user_id in ('u0', 'u3', 'u17')").select("user_id").distinct()
+    asked = as_dict(p.suggest(reviews, "overlap", users=some, **plan), "user_id", "item_id")
+    assert asked == near({k: v for k, v in brute.suggest("overlap").items() if k[0] in ("u0", "u3", "u17")})
+    edges = p.agreement_edges(reviews, 0.9, users=some, **plan).select("user_1", "user_2", "degree")
+    assert as_dict(edges, "user_1", "user_2") == near(
+        {k: v for k, v in brute.edges(0.9).items() if k[0] in ("u0", "u3", "u17")}
+    )
+    unseen = as_dict(p.suggest(reviews, exclude_seen=True, **plan), "user_id", "item_id")
     assert unseen == near(brute.suggest("all", exclude_seen=True))
     reviews.unpersist()
 
 
 def test_hot_item_is_left_out_of_the_join(spark):
     reviews = frame(spark, skewed(3))
-    ledger = agreement.open_ledger(reviews, hot_least=60)
+    ledger = agreement.open_ledger(reviews, hot_least=60, hot_count=1)
     assert ledger.crowd is not None
     assert ledger.first.filter("item_id = 'hot'").isEmpty()
     assert ledger.crowd.members.count() == reviews.filter("item_id = 'hot'").select("user_id").distinct().count()
