@@ -20,45 +20,23 @@ SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 # Combinations of three lengths are enumerated among so many of the commonest lengths.
 LENGTHS_IN_TRIPLES = 200
 STEPS = 400
-# Documents that are numbered together, and pieces of text whose ids a task keeps.
+# Documents that are numbered together.
 ROWS_TOGETHER = 20_000
-WORDS_KEPT = 400_000
 
 
 class Encoder:
-    """Text to ids as little-endian unsigned 32-bit bytes.
-
-    The vocabulary's own pattern cuts a text, and a piece's ids depend on the piece alone, so
-    they are kept by piece: most words of a corpus are repeated ones.
-    """
+    """Text to ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        import regex
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._whole = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._cut = regex.compile(pattern).findall
-        self._kept: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self._kept.get(piece)
-        if ids is None:
-            if len(self._kept) >= WORDS_KEPT:
-                self._kept.clear()
-            ids = np.array(self._whole.encode_ordinary(piece), "<u4").tobytes()
-            if len(piece) < 64:
-                self._kept[piece] = ids
-        return ids
-
-    def __call__(self, text: str | None) -> bytes:
-        parts = (text or "").split(SPECIAL)
-        special = np.array([SPECIAL_ID], "<u4").tobytes()
-        return special.join(b"".join(map(self._piece, self._cut(part))) for part in parts)
+        self._whole = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
     def document(self, text: str | None) -> bytes:
-        return self(text) + np.array([END_ID], "<u4").tobytes()
+        ids = self._whole.encode_to_numpy(text or "", allowed_special="all")
+        return np.append(ids, END_ID).astype("<u4").tobytes()
 
 
 def default_vocabulary() -> tuple[str, str]:
