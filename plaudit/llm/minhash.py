@@ -241,14 +241,14 @@ def _maybe(bands: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
     return in_groups(blocks, "block", compare, "a binary, b binary").select(*_ordered("a", "b")).distinct()
 
 
-def _bridges(maybe: DataFrame, links: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _bridges(maybe: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join components, by comparing the full sets within each cluster of what may be linked.
 
-    A cluster holds all rows that links and ``maybe`` edges connect. Its guests are compared with
+    A cluster holds all rows that ``stars`` of linked rows and ``maybe`` edges connect. Its guests are compared with
     all its rows, block by block, over an index of the block's shingles, and a block gives a
     spanning forest of the links found.
     """
-    reached = components(links.unionByName(maybe)).withColumnRenamed("label", "cluster")
+    reached = components(stars.unionByName(maybe)).withColumnRenamed("label", "cluster")
     rows = saved(labels.join(reached, "node").join(sets.select("node", F.size("shingles").cast("long").alias("size")), "node"))
     blocks = _blocked(rows.join(sets, "node"), "cluster", _stats(rows, "cluster", "size"), ["node", "label", "shingles"])
 
@@ -318,9 +318,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     labels = sigs.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     labels = saved(labels)
     maybe = saved(_maybe(bands.select("node", "bucket"), labels, sigs))
-    more = saved(_bridges(maybe, links, labels, sets, percent))
+    # Stars stand for the links they come from: far fewer, and most rounds are behind them.
+    stars = saved(found.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+    more = saved(_bridges(maybe, stars, labels, sets, percent))
     if more.limit(1).count():
-        found = components(links.unionByName(more))
+        found = components(stars.unionByName(more))
 
     labelled = classes.select("node", "first_id").join(found, "node", "left").select(
         "node", "first_id", F.coalesce("label", "node").alias("label")
