@@ -17,6 +17,8 @@ from plaudit.sources.shared import saved
 BLOCK = 2048
 CENTRES = 4096
 LEAF = 48
+# Pairs of vectors that are compared in the time of one step of the traversal.
+PAIRS_PER_STEP = 800
 # Slack of bounds on distances, far above their rounding errors.
 SLACK = 1e-6
 
@@ -81,6 +83,11 @@ def leaf_pairs(one: Tree, two: Tree, reach: float) -> Iterator[tuple[np.ndarray,
         apart = np.sqrt(np.maximum(0, 2 - 2 * (one.centres[below_a] @ two.centres[below_b].T)))
         near = apart <= reach + one.radii[below_a][:, None] + two.radii[below_b][None, :] + SLACK
         left, right = np.nonzero(near)
+        if len(left) * PAIRS_PER_STEP > len(one.members[a]) * len(two.members[b]):
+            # Little is pruned here, and less will be below: compare the vectors at once.
+            if len(left):
+                yield one.members[a], two.members[b]
+            continue
         waiting.extend(zip(below_a[left].tolist(), below_b[right].tolist(), strict=True))
 
 
