@@ -15,7 +15,7 @@ MOST = 3
 DIGITS = 12
 # Documents of a source that are ranked together.
 ROWS_TOGETHER = 20_000
-# Rounds that fill what the drawn documents leave of a source's target.
+# Largest fitting documents that come first into what the drawn ones leave of a source's target.
 FILLS = 4
 
 
@@ -64,6 +64,25 @@ def random_number(key: Column) -> Column:
     return (digits + 0.5) / float(16**DIGITS)
 
 
+def _within(placed: DataFrame, goals: DataFrame) -> DataFrame:
+    """``source_key, row_key``: documents whose running words in Pareto order stay within ``goals(source_key, left, p)``.
+
+    ``placed(source_key, row_key, u, share, size)``: shares are summed, and only the one in which
+    ``left`` is reached is ordered.
+    """
+    before = Window.partitionBy("source_key").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("source_key", "share").agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).join(goals, "source_key")
+    reached = sums.where("start <= left and start + words > left").select("source_key", "share", "start", "left", "p")
+    whole = sums.where("start + words <= left").select("source_key", "share")
+    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(F.col("p"), 1 - F.col("p")))
+    running = F.sum("size").over(Window.partitionBy("source_key", "share").orderBy("rank", "row_key"))
+    edge = placed.join(reached, ["source_key", "share"]).withColumn("rank", odds).withColumn("running", running)
+    edge = edge.where(F.col("start") + F.col("running") <= F.col("left"))
+    in_whole = placed.join(whole, ["source_key", "share"], "left_semi")
+    return in_whole.select("source_key", "row_key").unionByName(edge.select("source_key", "row_key"))
+
+
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies, source_key, ident`` for each row of ``docs(doc_id, text, source)``.
 
@@ -71,7 +90,9 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
     certain. For the rest, p = r - floor(r), documents are ranked by random odds over inclusion
     odds, U / (1 - U) over p / (1 - p), and drawn in that order while their words fit: Pareto
     order sampling of a size fixed in words. What the first one that does not fit leaves open
-    goes, ``FILLS`` times, to the largest document not drawn that fits.
+    goes, ``FILLS`` times, to the largest document not drawn that fits. From then on documents
+    larger than what is open are left out and the others drawn on in Pareto order, round by round
+    until no document with words fits.
 
     Ranks need running sums of one source's words: the random numbers are cut into equal shares,
     these are summed, and only the share in which the target is reached is ordered.
@@ -99,19 +120,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
     # p is the same within a source, so the rank follows U, and shares of U are runs of ranks.
     pieces = shares(rows, ROWS_TOGETHER)
     placed = rows.withColumn("share", F.floor(F.col("u") * pieces).cast("long"))
-    before = Window.partitionBy("source_key").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("source_key", "share").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).join(plan, "source_key")
-    reached = sums.where("start <= left and start + words > left").select("source_key", "share", "start", "left", "p")
-    whole = sums.where("start + words <= left").select("source_key", "share", F.lit(True).alias("in_whole"))
-    odds = F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(F.col("p"), 1 - F.col("p")))
-    running = F.sum("size").over(Window.partitionBy("source_key", "share").orderBy("rank", "row_key"))
-    edge = placed.join(reached, ["source_key", "share"]).withColumn("rank", odds).withColumn("running", running)
-    edge = edge.where(F.col("start") + F.col("running") <= F.col("left")).select("source_key", "row_key", F.lit(True).alias("in_edge"))
+    first = _within(placed, plan.select("source_key", "left", "p")).withColumn("in_first", F.lit(True))
     drawn = saved(
-        placed.join(whole, ["source_key", "share"], "left")
-        .join(edge, ["source_key", "row_key"], "left")
-        .select("doc_id", "source_key", "ident", "row_key", "size", F.coalesce("in_whole", "in_edge", F.lit(False)).alias("drawn"))
+        placed.join(first, ["source_key", "row_key"], "left")
+        .select("doc_id", "source_key", "ident", "row_key", "size", "u", "share", F.coalesce("in_first", F.lit(False)).alias("drawn"))
     )
 
     taken = drawn.groupBy("source_key").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("words"))
@@ -132,6 +144,27 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
                 .alias("filled"),
             )
         )
+    # Every round draws at least the first document that fits, so rounds end.
+    goals = gaps.select("source_key", F.col("gap").alias("left")).join(plan.select("source_key", "p"), "source_key")
+    rest = drawn.join(gaps, "source_key").where("not drawn and size > 0 and not array_contains(filled, row_key)")
+    rest = rest.select("source_key", "row_key", "u", "share", "size")
+    late = None
+    while True:
+        fitting = saved(rest.join(goals, "source_key").where("size <= left").select(rest.columns))
+        if not fitting.limit(1).count():
+            break
+        more = saved(_within(fitting, goals))
+        late = more if late is None else late.unionByName(more)
+        words_in = fitting.join(more, ["source_key", "row_key"]).groupBy("source_key").agg(F.sum("size").alias("words"))
+        goals = saved(
+            goals.join(words_in, "source_key", "left").select(
+                "source_key", (F.col("left") - F.coalesce("words", F.lit(0))).alias("left"), "p"
+            )
+        )
+        rest = fitting.join(more, ["source_key", "row_key"], "left_anti")
+    if late is not None:
+        drawn = drawn.join(late.withColumn("late", F.lit(True)), ["source_key", "row_key"], "left")
+        drawn = drawn.withColumn("drawn", F.col("drawn") | F.coalesce("late", F.lit(False)))
     once = (F.col("drawn") | F.array_contains("filled", F.col("row_key"))).cast("long")
     return (
         drawn.join(plan, "source_key")

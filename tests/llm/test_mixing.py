@@ -57,6 +57,21 @@ def test_targets_are_met(spark):
         assert 0 <= target - taken[source] <= 30, source
 
 
+def test_documents_behind_a_long_one_are_drawn(spark):
+    # Beside whole copies "a" takes 17,143 words more, into which its 20,000 words do not fit.
+    rows = [row(i, t) for i, t in enumerate(texts(7, 200, 100))] + [row(900, " ".join(texts(8, 1, 20_000)))]
+    rows += [row(2000 + i, t, "b") for i, t in enumerate(texts(9, 200, 100))]
+    rows += [row(3000, " ".join(texts(10, 1, 20_000)), "b")]
+    found = mixed(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    want, taken = check(rows, found)
+    for source, target in want.items():
+        gap = target - taken[source]
+        ours = [r for r in found if r.source_key == "0" + source]
+        fewest = min(r.copies for r in ours)
+        assert gap >= 0 and not [r for r in ours if r.copies == fewest and r["size"] <= gap], source
+        assert gap < 100, source
+
+
 def test_empty_table_and_wordless_rows(spark):
     assert mixed(spark.createDataFrame([], DOCUMENTS)).count() == 0
     found = mixed(spark.createDataFrame([row(1, None), row(2, " ")], DOCUMENTS)).collect()
