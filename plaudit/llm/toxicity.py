@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from plaudit.llm.minhash import near_duplicates
 from plaudit.sources.shared import saved
 
 # The classifier is fitted on so many labelled rows at most, those with the least hashed doc_id;
@@ -155,7 +155,12 @@ def fit(lexicon: list[str], fired: list[list[int]], toxic: np.ndarray) -> dict[s
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``toxic, text`` of the training rows, one per family of near copies."""
+    """``toxic, text`` of the training rows: of near copies, one of each label.
+
+    Copies, texts that differ in case and white space only, are one row, toxic if any is, with the
+    text of the least hashed doc_id. Of a class of near copies the least hashed text of each label
+    stays: where labels differ, what parts the texts is what they teach.
+    """
     train = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -165,22 +170,15 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .limit(TRAINING_ROWS)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                families = []
-                for text in part.column(1).to_pylist():
-                    hashes = sorted({xxhash.xxh3_64_intdigest(w) >> 1 for w in text.encode().lower().split()})
-                    families.append(":".join(map(str, hashes[:2])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(families, pa.string())], names=["toxic", "text", "family"]
-                )
-
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
     # At most TRAINING_ROWS pairs of numbers, so broadcasting them is safe at every size.
-    rows = texts.join(F.broadcast(train), "doc_id").select("toxic", "text")
-    return rows.mapInArrow(mark, "toxic int, text string, family string").dropDuplicates(["family"])
+    rows = texts.join(F.broadcast(train), "doc_id").withColumn("copy", F.shiftrightunsigned(F.xxhash64(plain), 1))
+    first = F.min_by("text", F.struct(F.xxhash64("doc_id"), "doc_id", "text")).alias("text")
+    rows = saved(rows.groupBy("copy").agg(F.max("toxic").alias("toxic"), first))
+    near = near_duplicates(rows.select(F.col("copy").alias("doc_id"), "text"))
+    classes = rows.select("copy", "toxic").join(near.select(F.col("doc_id").alias("copy"), "component_id"), "copy")
+    kept = classes.groupBy("component_id", "toxic").agg(F.min("copy").alias("copy")).select("copy")
+    return rows.join(kept, "copy", "left_semi").select("toxic", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
@@ -273,7 +271,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     patterns are the voters. The label model estimates how often each speaks on clean and toxic
     texts and how far voters repeat each other, taking the given label as one more voter of known accuracy. A
     logistic regression on the entries learns its posteriors and scores every text. Held-out
-    rows, by the checksum of doc_id, teach nothing; near copies of a labelled text teach once.
+    rows, by the checksum of doc_id, teach nothing; near copies of a labelled text, by ``near_duplicates``, teach once for each label.
     At most ``TRAINING_ROWS`` labelled rows are used, fewer where there are fewer.
 
     Null and empty texts get the score of a text without any entry. Labels that are null, not 0

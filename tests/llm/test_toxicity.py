@@ -1,8 +1,10 @@
 import random
 import zlib
 
-from helpers import DOCUMENTS, row, texts
+import xxhash
+from helpers import DOCUMENTS, near_copy, row, texts
 
+from plaudit.llm import toxicity
 from plaudit.llm.toxicity import features, fit_label_model, toxicity_scores
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -53,6 +55,25 @@ def test_held_out_labels_teach_nothing(spark):
     assert one == two
 
 
+def test_only_near_copies_are_thinned(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    # Two words whose hashes are below those of all others.
+    least = sorted((f"w{i}" for i in range(20_000)), key=lambda w: xxhash.xxh3_64_intdigest(w) >> 1)[:2]
+    unlike = [f"{t} {' '.join(least)}" for t in texts(13, 60, 40)]
+    rows = [row(i, t) for i, t in zip(ids, unlike)]
+    labels = [(i, 1, int(n % 2), "") for n, i in enumerate(ids)]
+    # A copy and near copies of the first text: even places are clean, odd ones toxic.
+    copies = [unlike[0].upper().replace(" ", "  "), unlike[0], near_copy(unlike[0], 1, 1), near_copy(unlike[0], 2, 1)]
+    rows += [row(i, t) for i, t in zip(ids[60::2], [copies[0], copies[2], copies[3]])] + [row(ids[63], near_copy(unlike[1], 3, 1))]
+    docs, labels = spark.createDataFrame(rows, DOCUMENTS), spark.createDataFrame(labels, LABELS)
+    found = toxicity._sample(docs, labels).collect()
+    assert len(found) == 60 and sum(r.toxic for r in found) == 30
+    # A copy labelled otherwise is toxic; a near copy labelled otherwise stays beside the clean one.
+    more = docs.union(spark.createDataFrame([row(ids[65], copies[1]), row(ids[67], near_copy(unlike[2], 4, 1))], DOCUMENTS))
+    found = toxicity._sample(more, labels).collect()
+    assert len(found) == 62 and sum(r.toxic for r in found) == 32
+
+
 def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], LABELS)
     assert toxicity_scores(docs, labels).count() == 0
