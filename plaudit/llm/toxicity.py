@@ -19,7 +19,9 @@ from plaudit.sources.shared import saved
 # lexicons hold so many entries at most. Both bound what reaches the driver.
 TRAINING_ROWS = 20_000
 LEXICON_ENTRIES = 3_000
+# Voters at most; families beyond them share the last few.
 VOTERS = 256
+JOINT_VOTERS = 8
 # Lengths of word beginnings that count as entries beside whole words: a stem's many endings.
 STEMS = (4, 5, 6, 7, 8)
 # A beginning is one more entry when so many different words of a text share it.
@@ -130,10 +132,18 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, n: int, width: int, goal:
 
 
 def voters_of(lexicon: list[str]) -> np.ndarray:
-    """The voter of each entry: entries that begin alike share one, a pattern has its own."""
+    """The voter of each entry: entries that begin alike share one, a pattern has its own.
+
+    Of more than ``VOTERS`` the last are put together, neighbours in the lexicon's order, into
+    ``JOINT_VOTERS``.
+    """
     names = [e if e.startswith("!") else e.rstrip("-23")[:FAMILY] + e[-1] * e.endswith(("-2", "-3")) for e in lexicon]
     number = {name: i for i, name in enumerate(dict.fromkeys(names))}
-    return np.array([number[name] for name in names], np.int64)
+    voter = np.array([number[name] for name in names], np.int64)
+    own = VOTERS - JOINT_VOTERS
+    if len(number) > VOTERS:
+        voter = np.where(voter < own, voter, own + (voter - own) * JOINT_VOTERS // (len(number) - own))
+    return voter
 
 
 def fit(lexicon: list[str], fired: list[list[int]], toxic: np.ndarray) -> dict[str, float]:
@@ -142,9 +152,8 @@ def fit(lexicon: list[str], fired: list[list[int]], toxic: np.ndarray) -> dict[s
     rows = np.repeat(np.arange(n), [len(f) for f in fired])
     columns = np.array([c for f in fired for c in f], np.int64)
     voter = voters_of(lexicon)
-    votes = np.zeros((n, min(VOTERS, voter.max() + 1 if width else 0) + 1), np.float32)
-    own = voter[columns] < votes.shape[1] - 1 if len(columns) else np.zeros(0, bool)
-    votes[rows[own], voter[columns[own]]] = 1
+    votes = np.zeros((n, (voter.max() + 1 if width else 0) + 1), np.float32)
+    votes[rows, voter[columns]] = 1
     # The given label is a voter too, as it may be wrong.
     votes[:, -1] = toxic
     if not n:
@@ -212,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict[str, float]:
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .withColumn("lower", lower)
         .where((F.col("lower") > LIFT * base) | F.col("entry").isin(list(PATTERNS)))
-        .orderBy(F.desc("lower"), "entry")
+        .orderBy(F.desc(F.col("entry").isin(list(PATTERNS))), F.desc("lower"), "entry")
         .limit(LEXICON_ENTRIES)
         .select("entry")
     )
@@ -272,7 +281,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts and how far voters repeat each other, taking the given label as one more voter of known accuracy. A
     logistic regression on the entries learns its posteriors and scores every text. Held-out
     rows, by the checksum of doc_id, teach nothing; near copies of a labelled text, by ``near_duplicates``, teach once for each label.
-    At most ``TRAINING_ROWS`` labelled rows are used, fewer where there are fewer.
+    At most ``TRAINING_ROWS`` labelled rows are used, fewer where there are fewer. The lexicon
+    holds ``LEXICON_ENTRIES`` entries at most, patterns first; they vote as at most ``VOTERS``
+    voters, the last of which are joint ones of several families.
 
     Null and empty texts get the score of a text without any entry. Labels that are null, not 0
     or 1, or of unknown documents are ignored; a document labelled both ways is toxic. Without

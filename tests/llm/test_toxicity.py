@@ -74,6 +74,24 @@ def test_only_near_copies_are_thinned(spark):
     assert len(found) == 62 and sum(r.toxic for r in found) == 32
 
 
+def test_patterns_and_all_families_vote(spark, monkeypatch):
+    names = [f"{i:04d}x" for i in range(400)]
+    voter = toxicity.voters_of(["!shout", *names])
+    assert set(voter) == set(range(toxicity.VOTERS)) and (voter[1:] >= 1).all()
+    fired = [[1 + i] for i in range(400)] * 2
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_label_model", lambda votes, start: seen.append(votes) or fit_label_model(votes, start))
+    toxicity.fit(["!shout", *names], fired, toxicity.np.zeros(800))
+    assert (seen[0][:, :-1].sum(1) == 1).all()
+
+    monkeypatch.setattr(toxicity, "LEXICON_ENTRIES", 5)
+    rows, labels = corpus()
+    rows[1] = row(1, rows[1][1] + " well!!")
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    weights = toxicity.train(docs, spark.createDataFrame(labels, LABELS))
+    assert "!exclaim" in weights and len(weights) == 6
+
+
 def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], LABELS)
     assert toxicity_scores(docs, labels).count() == 0
