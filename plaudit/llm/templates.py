@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from plaudit.sources.shared import saved
 
-# A subtree is a site's template from so many pages of a host and so large a share of them on.
+# A subtree is a site's template from so many pages of a host on. On fewer it needs a large share of
+# a small host, and where authors may repeat text a share of any host.
 LEAST_PAGES = 10
 LEAST_SHARE = 0.2
+SMALL_PAGES = 4
+SMALL_SHARE = 0.5
 
 # Names of HTML elements and words in their classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,21 +149,30 @@ def _walk(root: Node) -> Iterator[Node]:
             waiting.extend(child for child in reversed(node.children) if not isinstance(child, str))
 
 
-def candidates(root: Node) -> set[int]:
-    """Digests of the subtrees that may be a site's template: text blocks of an article are not."""
-    return {
-        node.digest
-        for node in _walk(root)
-        if not node.clutter
-        and node.tag not in INLINE
-        and node.tag not in ("html", "body", "article", "main")
-        and not (node.inside and node.tag in TEXT_BLOCKS)
-        and node.children
-    }
+def candidates(root: Node) -> dict[int, bool]:
+    """Digests of the subtrees that may be a site's template, and whether they stand as a container outside articles.
 
-
-def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
-    """Text of the articles, else of ``main``, else of the page, without clutter and template."""
+    Text blocks of an article are not among them.
+    """
+    found: dict[int, bool] = {}
+    for node in _walk(root):
+        if (
+            not node.clutter
+            and node.tag not in INLINE
+            and node.tag not in ("html", "body", "article", "main")
+            and not (node.inside and node.tag in TEXT_BLOCKS)
+            and node.children
+        ):
+            outside = not node.inside and node.tag not in TEXT_BLOCKS
+            found[node.digest] = found.get(node.digest, False) or outside
+    return found
+
+
+def main_text(root: Node, template: frozenset[int] = frozenset(), outside: frozenset[int] = frozenset()) -> str:
+    """Text of the articles, else of ``main``, else of the page, without clutter and template.
+
+    ``outside`` is template outside articles only.
+    """
     tops: list[Node] = []
     for wanted in ("article", "main", "body"):
         waiting = [root]
@@ -190,7 +202,11 @@ def main_text(root: Node, template: frozenset[int] = frozenset()) -> str:
             block.append(node)
         elif node.tag == "br":
             block.append(" ")
-        elif not node.clutter and not (node.digest in template and not (node.inside and node.tag in TEXT_BLOCKS)):
+        elif (
+            not node.clutter
+            and not (node.digest in template and not (node.inside and node.tag in TEXT_BLOCKS))
+            and not (node.digest in outside and not node.inside)
+        ):
             if node.tag not in INLINE:
                 flush()
                 waiting.append(None)
@@ -205,9 +221,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages(page_id, url, html)``.
 
     Every page gives the digests of its element subtrees, once each; Spark counts them per host.
-    A subtree on at least ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of a host's pages is template
-    and goes, except text blocks of an article, which authors may repeat; so do menus, headers,
-    footers and the like by their tags, roles and classes. A host's template is a short list,
+    A container outside articles on at least ``LEAST_PAGES`` different pages is template and goes,
+    on a host of any size; on fewer, from ``SMALL_PAGES`` on, if it is on ``SMALL_SHARE`` of the
+    pages. Text blocks outside articles and containers inside, which authors may repeat, need
+    ``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's; text blocks of an article always stay.
+    Equal pages are one different page. Menus, headers,
+    footers and the like go by their tags, roles and classes. A host's template is a short list,
     joined to its pages; Spark broadcasts the lists only while they are small.
 
     A null or empty page has an empty text; a null url is a host of its own. Repeated rows stay,
@@ -215,34 +234,49 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
+    # Each of n equal pages counts as the nth part of a different one.
+    marked = pages.select("host", "html", F.xxhash64("html").alias("mark"))
+    copies = marked.groupBy("host", "mark").count().where("count > 1").withColumnRenamed("count", "copies")
+    marked = marked.join(saved(copies), ["host", "mark"], "left").select("host", "html", (1 / F.coalesce("copies", F.lit(1))).alias("part"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                hosts, found = [], []
-                for name, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                hosts, found, parts = [], [], []
+                for name, page, share in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     own = candidates(parse(page or ""))
                     hosts += [name] * (len(own) + 1)
                     found += [None, *(d - (1 << 64) if d >> 63 else d for d in own)]
+                    parts += [share, *(share if outside else 0.0 for outside in own.values())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "digest"]
+                    [pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(parts, pa.float64())],
+                    names=["host", "digest", "part"],
                 )
 
     # A null digest stands for the page itself.
-    counts = pages.select("host", "html").mapInArrow(digests, "host string, digest long").groupBy("host", "digest").count()
-    counts = saved(counts.where((F.col("count") >= LEAST_PAGES) | F.col("digest").isNull()))
-    sizes = counts.where("digest is null").select("host", F.col("count").alias("pages"))
-    common = counts.where("digest is not null").join(sizes, "host").where(F.col("count") >= LEAST_SHARE * F.col("pages"))
-    template = saved(common.groupBy("host").agg(F.collect_list("digest").alias("template")))
+    counts = marked.mapInArrow(digests, "host string, digest long, part double").groupBy("host", "digest")
+    counts = counts.agg(F.count("*").alias("count"), F.round(F.sum("part"), 3).alias("different"))
+    counts = saved(counts.where((F.col("count") >= SMALL_PAGES) | F.col("digest").isNull()))
+    sizes = counts.where("digest is null").select("host", F.col("count").alias("pages"), F.col("different").alias("all_different"))
+    everywhere = (F.col("count") >= LEAST_PAGES) & (F.col("count") >= LEAST_SHARE * F.col("pages"))
+    small = (F.col("different") >= SMALL_PAGES) & (F.col("different") >= SMALL_SHARE * F.col("all_different"))
+    outside = (F.col("different") >= LEAST_PAGES) | small
+    common = counts.where("digest is not null").join(sizes, "host").where(everywhere | outside)
+    template = saved(
+        common.groupBy("host").agg(
+            F.collect_list(F.when(everywhere, F.col("digest"))).alias("template"),
+            F.collect_list(F.when(outside & ~everywhere, F.col("digest"))).alias("outside"),
+        )
+    )
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 found = []
-                for page, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    found.append(main_text(parse(page or ""), frozenset(d % (1 << 64) for d in own or ())))
+                for page, *own in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True):
+                    found.append(main_text(parse(page or ""), *(frozenset(d % (1 << 64) for d in x or ()) for x in own)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],
@@ -251,6 +285,6 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
     return (
         pages.join(template, "host", "left")
-        .select("page_id", "url", "html", "template")
+        .select("page_id", "url", "html", "template", "outside")
         .mapInArrow(texts, f"page_id {kind}, url string, text string, n_chars long")
     )

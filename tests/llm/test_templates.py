@@ -43,5 +43,20 @@ def test_templates_of_a_host(spark):
     assert by_id[210].text == "Same words" and by_id[300].text == by_id[301].text == "" and by_id[None].text == "y"
 
 
+def test_templates_of_few_pages_of_a_hot_host(spark):
+    def body(i):
+        x = "<div class='x1'><p>Of one section</p></div>" * (i % 10 == 0) + "<div class='x2'>Rotating</div>" * (i % 100 == 1)
+        yes = "<p>Yes</p>" * (i % 100 in (1, 10))
+        return f"<body>{x}<div><p>Story {i}</p>{yes}</div></body>" if i % 100 < 90 else f"<article><div>Set words</div><p>Story {i}</p></article>"
+
+    rows = [(i, "http://hot.example/", body(i), "", 0, "") for i in range(1200)]
+    # One page stored many times is not a template; a small host has some.
+    rows += [(2000 + i, "http://hot.example/", "<body><div><p>One page</p></div></body>", "", 0, "") for i in range(20)]
+    rows += [(3000 + i, "http://small.example/", f"<body><div>About us</div><p>Small {i}</p></body>", "", 0, "") for i in range(5)]
+    by_id = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert by_id[10] == "Story 10 Yes" and by_id[101] == "Story 101 Yes"
+    assert by_id[95] == "Set words Story 95" and by_id[2003] == "One page" and by_id[3002] == "Small 2"
+
+
 def test_empty_table(spark):
     assert main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
