@@ -9,6 +9,7 @@ from plaudit.llm.chats import TURN_SCHEMAS, calls_of_turns, linked_calls
 from plaudit.llm.common import table
 from plaudit.llm.cover_tree import threshold_links
 from plaudit.llm.hilbert import nearest
+from plaudit.llm.merkle import audited
 from plaudit.llm.minhash import near_duplicates
 from plaudit.llm.mixing import mixed
 from plaudit.llm.packing import packed
@@ -59,6 +60,10 @@ def op10_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     return linked_calls(calls, results, TURN_SCHEMAS)
 
 
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return audited(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -70,10 +75,12 @@ QUERIES = {
     "op8_pareto_mixing": op8_pareto_mixing,
     "op9_hilbert_neighbours": op9_hilbert_neighbours,
     "op10_tool_calls": op10_tool_calls,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op1_minhash_dedup": sql.NEAR_DUPLICATES,
     "op6_cover_tree": sql.THRESHOLD_LINKS,
     "op8_pareto_mixing": sql.mixing(),
+    "op13_merkle_manifest": sql.MERKLE,
 }

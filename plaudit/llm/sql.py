@@ -109,3 +109,67 @@ select e.vec_id, coalesce(n, 0) as n_links, coalesce(label_, e.vec_id) as compon
 from embeddings e left join (select a, count(*) as n from links group by 1) on a = e.vec_id
      left join (select node, label as label_ from reach) on node = e.vec_id
 """
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::varchar) || ':' || {f}::varchar, '-')" for f in fields) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """CTEs over ``leaves(tree, pos, n, digest)``: all nodes, their runs, and a climb from every leaf."""
+    return f"""
+{name}_nodes(tree, level, pos, n, digest) as (
+  select tree, 0, pos, n, digest from {leaves}
+  union all
+  select tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by pos))
+  from {name}_nodes where n > 1 group by tree, level, n, pos // 3),
+{name}_runs as (
+  select tree, level, pos // 3 as run, list(digest order by pos) as digests from {name}_nodes where n > 1 group by 1, 2, 3),
+{name}_climb(tree, leaf_pos, level, pos, lefts, rights) as (
+  select tree, pos, 0, pos, []::varchar[], []::varchar[] from {leaves}
+  union all
+  select tree, leaf_pos, level + 1, c.pos // 3, list_append(lefts, array_to_string(digests[:c.pos % 3], '')),
+         list_append(rights, array_to_string(digests[c.pos % 3 + 2:], ''))
+  from {name}_climb c join {name}_runs r using (tree, level) where run = c.pos // 3),
+{name}_paths as (
+  select tree, leaf_pos as pos, arg_max(lefts, level) as lefts, arg_max(rights, level) as rights from {name}_climb group by 1, 2),
+{name}_tops as (select tree, digest from {name}_nodes where n = 1)"""
+
+
+# CRC-32 by its rule: the polynomial 0xEDB88320, bit by bit for a table of bytes, then byte by byte.
+MERKLE = f"""
+with recursive bytes as (
+  select list(list_reduce([i::bigint] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)
+              order by i) as of_byte
+  from range(256) r(i)),
+chosen as (
+  select d.*, xor(list_reduce([4294967295] || list_transform(range(length(doc_id::varchar)), lambda i: ascii((doc_id::varchar)[i + 1])::bigint),
+                              lambda c, b: xor(c >> 8, of_byte[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 as hit
+  from documents d, bytes),
+rows_ as (
+  select doc_id, coalesce('1' || source, '0') as tree, {_leaf("text")} as digest,
+         {_leaf("(case when hit then replace(text, chr(10), '') else text end)")} as found
+  from chosen),
+leaves as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, digest) - 1 as pos,
+         count(*) over (partition by tree) as n
+  from rows_),
+{_tree("own", "leaves")},
+subroots as (
+  select '' as tree, tree as key, digest, row_number() over (order by tree) - 1 as pos, count(*) over () as n from own_tops),
+{_tree("top", "subroots")},
+proved as (
+  select doc_id, l.digest as leaf, found, s.digest as subroot, r.digest as root, list_concat(p.lefts, q.lefts) as lefts,
+         list_concat(p.rights, q.rights) as rights
+  from leaves l join own_paths p on p.tree = l.tree and p.pos = l.pos join subroots s on s.key = l.tree
+       join top_paths q on q.pos = s.pos join top_tops r on true),
+folded as (
+  select *, list_reduce([found] || list_transform(range(len(lefts)), lambda i: lefts[i + 1] || chr(0) || rights[i + 1]),
+                        lambda now, pair: sha256(split_part(pair, chr(0), 1) || now || split_part(pair, chr(0), 2))) as folded_root
+  from proved)
+select doc_id, leaf, subroot, root,
+       sha256(array_to_string(list_transform(range(len(lefts)), lambda i: lefts[i + 1] || rights[i + 1]), '')) as proof_sha256,
+       folded_root, folded_root = root as verified
+from folded
+"""
