@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plaudit.llm import sql
+from plaudit.llm.alignment import aligned, link_counts, with_counts
 from plaudit.llm.chats import TURN_SCHEMAS, calls_of_turns, linked_calls
 from plaudit.llm.common import table
 from plaudit.llm.cover_tree import threshold_links
@@ -14,9 +15,11 @@ from plaudit.llm.minhash import near_duplicates
 from plaudit.llm.mixing import mixed
 from plaudit.llm.packing import packed
 from plaudit.llm.sharding import shard_by_bytes
+from plaudit.llm.substrings import without_repeats
 from plaudit.llm.templates import main_texts
 from plaudit.llm.token_counts import token_counts
 from plaudit.llm.toxicity import toxicity_scores
+from plaudit.sources.shared import saved
 
 
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +63,18 @@ def op10_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     return linked_calls(calls, results, TURN_SCHEMAS)
 
 
+def op11_pointer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    rows = aligned(table(spark, folder, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = saved(rows.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256"))
+    return with_counts(rows, link_counts(rows))
+
+
+def op12_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = without_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return audited(table(spark, folder, "documents"))
 
@@ -75,6 +90,8 @@ QUERIES = {
     "op8_pareto_mixing": op8_pareto_mixing,
     "op9_hilbert_neighbours": op9_hilbert_neighbours,
     "op10_tool_calls": op10_tool_calls,
+    "op11_pointer_alignment": op11_pointer_alignment,
+    "op12_difference_cover": op12_difference_cover,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -82,5 +99,6 @@ ORACLE_SQL = {
     "op1_minhash_dedup": sql.NEAR_DUPLICATES,
     "op6_cover_tree": sql.THRESHOLD_LINKS,
     "op8_pareto_mixing": sql.mixing(),
+    "op12_difference_cover": sql.REPEATS,
     "op13_merkle_manifest": sql.MERKLE,
 }

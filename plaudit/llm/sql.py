@@ -173,3 +173,21 @@ select doc_id, leaf, subroot, root,
        folded_root, folded_root = root as verified
 from folded
 """
+
+
+REPEATS = r"""
+with w as (
+  select row_number() over () as row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents),
+grams as (
+  select row_id, doc_id, i, array_to_string(words[i:i + 12], ' ') as gram
+  from (select *, unnest(generate_series(1, len(words) - 12)) as i from w where doc_id is not null)),
+least as (select gram, min(doc_id) as first_id from grams group by 1),
+gone as (
+  select distinct row_id, i + k as i from grams join least using (gram), range(13) r(k) where first_id < doc_id),
+kept as (
+  select row_id, string_agg(word, ' ' order by i) as text, count(*) as n
+  from (select row_id, unnest(words) as word, generate_subscripts(words, 1) as i from w) anti join gone using (row_id, i)
+  group by 1)
+select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from w left join kept using (row_id)
+"""

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
 ROWS_OF = {
     "op1_minhash_dedup": "documents", "op2_minimax_sharding": "documents", "op4_viterbi_counts": "documents",
     "op5_weak_toxicity": "documents", "op6_cover_tree": "embeddings", "op7_template_removal": "pages", "op8_pareto_mixing": "documents",
-    "op13_merkle_manifest": "documents",
+    "op11_pointer_alignment": "documents", "op12_difference_cover": "documents", "op13_merkle_manifest": "documents",
 }
 
 
