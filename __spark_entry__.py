@@ -15,9 +15,8 @@ try:
     from plaudit.llm import queries as llm
 
     import corpus_pipeline
-except ModuleNotFoundError as missing:
-    if not (missing.name or "").startswith(("plaudit.llm", "corpus_pipeline")):
-        raise
+except ImportError:
+    # Without the subpackage, or a library that only it needs, the other queries still work.
     llm = corpus_pipeline = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ITEM = "P7"
 # The item that holds a third of the returns view is large at every scale, and hot where so many are.
 HOT_LEAST = 1000
+# Cuts each batch of returns into three slots.
+SLOT = 50
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -57,11 +58,11 @@ def _suggest(*args, **options) -> Callable[[DataFrame], DataFrame]:
     return lambda reviews: p.suggest(reviews, *args, **options)
 
 
-def _for_some(analysis: Callable[[DataFrame, DataFrame], DataFrame], view: Query) -> Query:
-    """For the users whose number ends in 7."""
+def _for_some(analysis: Callable[[DataFrame, DataFrame], DataFrame], view: Query, ending: str = "7") -> Query:
+    """For the users whose number ends in 7, or otherwise."""
 
     def run(reviews: DataFrame) -> DataFrame:
-        return analysis(reviews, reviews.filter("user_id like '%7'").select("user_id").distinct())
+        return analysis(reviews, reviews.filter(F.col("user_id").endswith(ending)).select("user_id").distinct())
 
     return _on(view, run)
 
@@ -78,6 +79,15 @@ def _text_file(stanzas: Query) -> Query:
     return run
 
 
+def _permissive(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with unreadable numbers, from text files; what could not be read shows -1."""
+    path = fresh_path(spark, "stanzas")
+    tables.damaged_stanzas(tables.customer_reviews(spark, folder)).write.option("lineSep", "\n\n").text(path)
+    reviews = p.load_reviews(spark, path, mode="permissive")
+    numbers = ["score", "review_time", "up_votes", "total_votes", "down_votes", "helpful_pct"]
+    return reviews.select("item_id", "user_id", "helpfulness", *numbers).fillna(-1, numbers)
+
+
 def _preview(spark: SparkSession, folder: str) -> DataFrame:
     return p.review_preview(p.to_reviews(p.parse_stanzas(tables.document_stanzas(spark, folder))))
 
@@ -104,7 +114,10 @@ JOBS = {
     "userhelpfulness": "user_id string, help double",
     "filmdatescore": "item_id string, year string, mean_score double",
     "filmdatescore_aggregated": "item_id string, period string, mean_score double",
+    "lengthhelpfulness": "length_class string, mean_help long",
     "pagerank_average": "user_id string, rank double",
+    "pagerank_averageI": "user_id string, rank double",
+    "pagerank_medium": "user_id string, rank double",
     "pagerank_naive": "user_id string, rank double",
     "pagerank_optimized": "user_id string, rank double",
     "usersuggestion_naive": "user_id string, item_id string, predicted double",
@@ -113,12 +126,20 @@ JOBS = {
 }
 
 
-def _named_job(name: str, view: Query, save: str) -> Query:
+def _records(name: str) -> Query:
+    """The text records that a named job reads: with texts where their length matters."""
+    if name == "lengthhelpfulness":
+        return tables.document_stanzas
+    view = tables.order_reviews if name.startswith("usersuggestion") else tables.customer_reviews
+    return lambda spark, folder: tables.review_stanzas(view(spark, folder))
+
+
+def _named_job(name: str, save: str) -> Query:
     """The job from text records to files, read back."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         source, out = fresh_path(spark, "stanzas"), fresh_path(spark, "result")
-        tables.review_stanzas(view(spark, folder)).write.option("lineSep", "\n\n").text(source)
+        _records(name)(spark, folder).write.option("lineSep", "\n\n").text(source)
         p.run_job(spark, source, name, save, out=out)
         result = spark.read.schema(JOBS[name]).csv(out)
         return result.withColumn("rank", F.round("rank", 6)) if "rank" in result.columns else result
@@ -126,6 +147,15 @@ def _named_job(name: str, view: Query, save: str) -> Query:
     return run
 
 
+def _saved_nowhere(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs that compute every row and keep none: how many rows each had."""
+    source = fresh_path(spark, "reviews")
+    tables.customer_reviews(spark, folder).write.parquet(source)
+    names = ("filmscore", "userscore", "filmdatescore")
+    rows = [(name, p.run_job(spark, source, name, "none", source="parquet")) for name in names]
+    return spark.createDataFrame(rows, "analysis string, row_count long")
+
+
 def _job(spark: SparkSession, folder: str) -> DataFrame:
     """The whole job: reviews from a stored table, the analysis by name, files out."""
     source, out = fresh_path(spark, "reviews"), fresh_path(spark, "scores")
@@ -169,7 +199,8 @@ def _review_queries() -> dict[str, Query]:
         "peer_rank_divergence": _on(customers, _rank("divergence")),
         "peer_rank_agreement": _on(customers, _rank("agreement")),
         "peer_rank_hot_item": _on(tables.returns_reviews, _rank("agreement", hot_least=HOT_LEAST)),
-        "peer_rank_slots": _on(tables.returns_reviews, _rank("agreement", hot_least=HOT_LEAST, hot_count=0)),
+        "peer_rank_slots": _on(tables.batch_reviews, _rank("agreement", hot_least=SLOT, hot_count=0)),
+        "consensus_rank_hot_item": _on(tables.returns_reviews, p.consensus_rank),
         "user_items": _on(customers, p.user_items),
         "suggest_all": _on(orders, _suggest()),
         "suggest_multi": _on(orders, _suggest("multi")),
@@ -177,19 +208,28 @@ def _review_queries() -> dict[str, Query]:
         "suggest_unseen": _on(orders, _suggest(exclude_seen=True)),
         "stanza_parse": _text_file(tables.document_stanzas),
         "stanza_parse_pages": _text_file(tables.page_stanzas),
+        "stanza_permissive": _permissive,
         "review_preview": _preview,
         "sink_csv_roundtrip": _written(p.write_quoted_csv),
         "sink_parts_roundtrip": _written(p.write_parts),
         "sink_parquet_roundtrip": _written(lambda df, path: p.write_parts(df, path, "parquet"), "parquet"),
         "job_roundtrip": _job,
+        "sink_none": _saved_nowhere,
         **{
-            f"job_{name}": _named_job(name, orders if name.startswith("usersug") else customers, save)
+            f"job_{name}": _named_job(name, save)
             for name, save in zip(JOBS, ("local", "distributed", "s3") * len(JOBS), strict=False)
         },
         "suggest_some_users": _for_some(lambda r, users: p.suggest(r, "overlap", users=users), orders),
         "agreement_edges_some_users": _for_some(
             lambda r, users: p.agreement_edges(r, with_helpfulness=True, users=users), customers
         ),
+        # One hot item links nearly all users, so these are asked for some of them.
+        "suggest_hot_item": _for_some(
+            lambda r, users: p.suggest(r, "overlap", users=users, hot_least=HOT_LEAST), tables.returns_reviews, "777"
+        ),
+        "agreement_edges_hot_item": _for_some(
+            lambda r, users: p.agreement_edges(r, 0.0, users=users, hot_least=HOT_LEAST), tables.returns_reviews, "777"
+        ),
     }
 
 
@@ -231,6 +271,7 @@ ORDERS = _view(
 )
 # Numbers for users here: the pairs of the hot item are many.
 RETURNS = _view("case when l_returnflag = 'R' then -1 else l_partkey end", "l_orderkey", "lineitem")
+BATCHES = _view("case when l_returnflag = 'R' then -1 - l_orderkey // 100 else l_partkey end", "l_orderkey", "lineitem")
 
 HELP = """
 h as (select user_id, cast(cast(sum(coalesce(pct, 0)) as bigint) // count(*) as double) as help
@@ -241,14 +282,23 @@ g as (select item_id, score, cast(sum(pct) as bigint) // count(*) as mean_help
 LATEST = """
 latest as (select user_id, item_id, arg_max(score, (review_time, score)) as score, count(*) as n
            from r group by 1, 2)"""
-PAIRS = """
+
+
+def _pairs(who: str = "true") -> str:
+    return f"""
 pairs as (select a.user_id as user_1, b.user_id as user_2,
                  sum(abs(a.score - b.score)) / count(*) as degree,
                  cast(sum(b.n) as bigint) as overlap
-          from r a join latest b on a.item_id = b.item_id and a.user_id <> b.user_id
+          from (select * from r where {who}) a join latest b on a.item_id = b.item_id and a.user_id <> b.user_id
           group by 1, 2)"""
 
 
+PAIRS = _pairs()
+# Orders whose number ends in 777, and names for the numbers that the view of returns has.
+FEW = _pairs("user_id % 1000 = 777")
+ITEM_NAME = "case when item_id = -1 then 'RETURN' else 'P' || item_id end"
+
+
 def _sql(*parts: str) -> str:
     return "with " + ",".join(parts[:-1]) + "\n" + parts[-1]
 
@@ -292,13 +342,13 @@ def _edges_sql(condition: str) -> str:
     )
 
 
-def _rank_average_sql(digits: str = "") -> str:
+def _rank_average_sql(digits: str = "", view: str = CUSTOMERS, user: str = "user_id") -> str:
     mean = "avg(case when help < mean_help then (help + mean_help) / 2 else help end)"
     return _sql(
-        CUSTOMERS,
+        view,
         HELP,
         VOTED,
-        f"""select user_id, {f"round({mean}, {digits})" if digits else mean} as rank
+        f"""select {user} as user_id, {f"round({mean}, {digits})" if digits else mean} as rank
             from r join h using (user_id) join g using (item_id, score) group by 1""",
     )
 
@@ -343,6 +393,22 @@ def _parsed(text: str) -> str:
     return f"array_to_string(list_transform({parts}, lambda part: trim(part, {_TRIMMED})), '')"
 
 
+def _permissive_sql() -> str:
+    """By the day of the review some fields are no numbers; -1 for what cannot be read."""
+    return _sql(
+        CUSTOMERS,
+        """
+d as (select *, review_time // 86400 as day from r),
+t as (select *, case when day % 11 = 0 then up::varchar when day % 3 = 0 then 'many/' || total else up || '/' || total end as helpfulness,
+             case when day % 11 = 0 or day % 3 <> 0 then up end as u, case when day % 11 <> 0 then total end as v from d)""",
+        """select item_id, user_id, helpfulness, case when day % 5 = 0 then -1.0 else score end as score,
+                   case when day % 7 = 0 then -1 else review_time end as review_time,
+                   coalesce(u, -1) as up_votes, coalesce(v, -1) as total_votes, coalesce(v - u, -1) as down_votes,
+                   coalesce(case when v <> 0 then u * 100 // v end, -1) as helpful_pct
+            from t""",
+    )
+
+
 def _stanza_sql(table: str, item: str, number: str, title: str, text: str) -> str:
     return f"""
 with t as (select {item} as item_id, {number} as k, {_parsed("'About: ' || " + title)} as summary,
@@ -399,7 +465,8 @@ def _review_sql() -> dict[str, str]:
         "peer_rank_divergence": _rank_sql(CUSTOMERS, "degree"),
         "peer_rank_agreement": _rank_sql(CUSTOMERS, "1 - degree"),
         "peer_rank_hot_item": _rank_sql(RETURNS, "1 - degree", "'O' || h.user_id"),
-        "peer_rank_slots": _rank_sql(RETURNS, "1 - degree", "'O' || h.user_id"),
+        "peer_rank_slots": _rank_sql(BATCHES, "1 - degree", "'O' || h.user_id"),
+        "consensus_rank_hot_item": _rank_average_sql(view=RETURNS, user="'O' || user_id"),
         "user_items": _sql(
             CUSTOMERS, "select user_id, item_id, score, count(*) as n from r group by 1, 2, 3"
         ),
@@ -409,6 +476,11 @@ def _review_sql() -> dict[str, str]:
         "suggest_unseen": _suggest_sql(where=seen),
         "stanza_parse": documents,
         "stanza_parse_pages": _stanza_sql("pages", "'web'", "page_id", "url", "html"),
+        "stanza_permissive": _permissive_sql(),
+        "sink_none": f"""
+            select 'filmscore' as analysis, count(*) as row_count from ({ITEM_SCORE})
+            union all select 'userscore', count(*) from ({USER_SCORE})
+            union all select 'filmdatescore', count(*) from ({_year()})""",
         "review_preview": f"""
             select item_id, user_id, score, helpfulness, summary, body[1:128] || '...' as preview
             from ({documents})""",
@@ -421,7 +493,12 @@ def _review_sql() -> dict[str, str]:
         "job_userhelpfulness": USER_HELP,
         "job_filmdatescore": _year(),
         "job_filmdatescore_aggregated": _period(),
+        "job_lengthhelpfulness": f"""
+            select '< ' || (body_length // 1024) * 1024 as length_class, cast(sum(helpful_pct) as bigint) // count(*) as mean_help
+            from ({documents}) where helpful_pct >= 0 group by body_length // 1024""",
         "job_pagerank_average": _rank_average_sql("6"),
+        "job_pagerank_averageI": _rank_average_sql("6"),
+        "job_pagerank_medium": _rank_sql(CUSTOMERS, "degree"),
         "job_pagerank_naive": _rank_sql(CUSTOMERS, "degree"),
         "job_pagerank_optimized": _rank_sql(CUSTOMERS, "1 - degree"),
         "job_usersuggestion_naive": _suggest_sql(),
@@ -429,4 +506,17 @@ def _review_sql() -> dict[str, str]:
         "job_usersuggestion_optimized": _suggest_sql("overlap"),
         "suggest_some_users": _suggest_sql("overlap", where="and user_1 like '%7'"),
         "agreement_edges_some_users": _edges_sql("user_1 like '%7'"),
+        "suggest_hot_item": _sql(
+            RETURNS,
+            LATEST,
+            FEW,
+            f"""select 'O' || user_1 as user_id, {ITEM_NAME} as item_id, sum(overlap * r.score) / sum(overlap) as predicted
+                from pairs join r on r.user_id = user_2 where degree <= 0 group by 1, 2""",
+        ),
+        "agreement_edges_hot_item": _sql(
+            RETURNS,
+            LATEST,
+            FEW,
+            "select 'O' || user_1 as user_1, 'O' || user_2 as user_2, degree, overlap from pairs where degree <= 0",
+        ),
     }

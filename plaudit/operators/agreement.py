@@ -15,6 +15,10 @@ for two users are then
   is replaced by the true one.
 
 Every pair is counted exactly once either way, so results do not depend on what is hot.
+
+Where only exact agreement counts, pairs of classes are made by an equi-join on (item, score): a pair
+that agrees on no hot item cannot pass. Bit masks of the hot items tell which of the other pairs
+meet at all. Whole classes become pairs of users block by block, never members times members at once.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaudit.functions.scalars import int_div
+from plaudit.operators.skew import counts_of, dealt, hot_keys
 from plaudit.schema import PEER_THRESHOLD
 from plaudit.sources.shared import saved
 
@@ -34,6 +39,8 @@ HOT_ITEM_ENTRIES = 2_048
 HOT_COUNTS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 256)
 # Records on one hot item that one task takes as first side when classes are matched.
 CLASS_SLOT = 256
+# Members of a class, from which it is cut into blocks for making pairs of users.
+MEMBER_BLOCK = 512
 
 
 def user_items(reviews: DataFrame) -> DataFrame:
@@ -43,11 +50,12 @@ def user_items(reviews: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Crowd:
-    """Classes of users alike on the hot items: ``members`` (uid, class_id) and
-    ``pairs`` (class_1, class_2, hot_gap, hot_n, hot_overlap)."""
+    """Classes of users alike on the hot items: ``members`` (uid, class_id and ``masks``, a bit for each
+    hot item that the class knows) and ``lines`` (class_id, item_id, score, n, latest), what the classes say."""
 
     members: DataFrame
-    pairs: DataFrame
+    lines: DataFrame
+    masks: list[str]
 
 
 @dataclass(frozen=True)
@@ -113,11 +121,11 @@ def open_ledger(
     crowd = None
     if hot:
         is_hot = F.col("item_id").isin(hot)
-        crowd = _crowd(entries.filter(is_hot))
+        crowd = _crowd(entries.filter(is_hot), hot)
         large = large.filter(~is_hot)
         first = second = entries.filter(~is_hot).join(crowd.members, "uid", "left")
     if len(top) > len(hot):
-        first, second = _slotted(first, large, hot_least)
+        first, second = _slotted(first, second, large, hot_least, ["item_id"], "uid")
     return Ledger(kept, users, entries, first, second, crowd)
 
 
@@ -126,8 +134,8 @@ def _large_items(kept: DataFrame, least: int) -> DataFrame:
     return _sizes(kept).filter(F.col("entries") >= least)
 
 
-def _sizes(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("item_id").agg(F.count(F.lit(1)).alias("entries"))
+def _sizes(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return entries.groupBy(*(keys or ["item_id"])).agg(F.count(F.lit(1)).alias("entries"))
 
 
 def _cheapest(entries: DataFrame, top: list, squares: float) -> int:
@@ -156,39 +164,67 @@ def _cheapest(entries: DataFrame, top: list, squares: float) -> int:
     return min(counts, key=costs.get)
 
 
-def _slotted(entries: DataFrame, large: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Cut each large item into slots of about ``least`` entries on the first side and
+def _slotted(
+    first: DataFrame, second: DataFrame, large: DataFrame, least: int, keys: list[str], by: str
+) -> tuple[DataFrame, DataFrame]:
+    """Cut each large key into slots of about ``least`` entries on the first side and
     repeat the second side in every slot, so that no task meets a whole large item."""
-    slots = large.select("item_id", F.ceil(F.col("entries") / least).alias("slots"))
+    slots = large.select(*keys, F.ceil(F.col("entries") / least).alias("slots"))
     count = F.coalesce("slots", F.lit(1))
-    sized = entries.join(slots, "item_id", "left")
-    first = sized.withColumn("slot", F.pmod(F.xxhash64("uid"), count))
+    first = first.join(slots, keys, "left").withColumn("slot", F.pmod(F.xxhash64(by), count))
     each = F.sequence(F.lit(0).cast("bigint"), count - 1)
-    second = sized.withColumn("slot", F.explode(each))
+    second = second.join(slots, keys, "left").withColumn("slot", F.explode(each))
     return first.drop("slots"), second.drop("slots")
 
 
-def _crowd(entries: DataFrame) -> Crowd:
-    """Number the distinct hot-item records and match them with each other, in slots.
-
-    A record is one user's scores of the hot items.
-    """
+def _crowd(entries: DataFrame, hot: list[str]) -> Crowd:
+    """Number the distinct hot-item records. A record is one user's scores of the hot items."""
     entry = F.struct("item_id", "score", "n", "latest")
     records = entries.groupBy("uid").agg(F.sort_array(F.collect_list(entry)).alias("record"))
-    classes = saved(
-        records.select("record").distinct().withColumn("class_id", F.monotonically_increasing_id())
-    )
-    members = saved(records.join(classes, "record").select("uid", "class_id"))
-    lines = classes.select(F.col("class_id").alias("uid"), F.inline("record"))
-    first, second = _slotted(lines, _sizes(lines), CLASS_SLOT)
-    pairs = _directed(first, second, with_overlap=True).select(
-        F.col("uid_1").alias("class_1"),
-        F.col("uid_2").alias("class_2"),
-        F.col("gap").alias("hot_gap"),
-        F.col("n").alias("hot_n"),
-        F.col("overlap").alias("hot_overlap"),
-    )
-    return Crowd(members, saved(pairs))
+    masks = {f"mask_{i // 64}": hot[i : i + 64] for i in range(0, len(hot), 64)}
+
+    def mask(items: list[str]) -> Column:
+        bits = F.create_map(*[F.lit(x) for k, item in enumerate(items) for x in (item, 1 << k if k < 63 else -(1 << 63))])
+        bits = bits.cast("map<string,bigint>")
+        own = F.filter(F.array_distinct(F.col("record.item_id")), lambda item: item.isin(items))
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda all_, item: all_.bitwiseOR(bits[item]))
+
+    classes = records.select("record").distinct().withColumn("class_id", F.monotonically_increasing_id())
+    classes = saved(classes.withColumns({name: mask(items) for name, items in masks.items()}))
+    members = saved(records.join(classes, "record").select("uid", "class_id", *masks))
+    lines = saved(classes.select("class_id", F.inline("record")))
+    return Crowd(members, lines, list(masks))
+
+
+def class_pairs(crowd: Crowd, threshold: float, asked: DataFrame | None = None) -> DataFrame:
+    """``class_1, class_2, hot_gap, hot_n, hot_overlap`` of pairs of classes with a common hot item.
+
+    Where only exact agreement counts, these are the pairs that agree exactly, and the others are not
+    made. ``asked(uid)`` limits the first classes to those of some users.
+    """
+    own = crowd.lines
+    if asked is not None:
+        classes = crowd.members.join(asked, "uid", "left_semi").select("class_id").distinct()
+        own = own.join(classes, "class_id", "left_semi")
+    own, other = (side.withColumnRenamed("class_id", "uid") for side in (own, crowd.lines))
+    if threshold > 0:
+        first, second = _slotted(own, other, _sizes(other), CLASS_SLOT, ["item_id"], "uid")
+        totals = _directed(first, second, with_overlap=True)
+    else:
+        alike = ["item_id", "score"]
+        latest = other.filter("latest")
+        first, second = _slotted(own, latest, _sizes(latest, alike), CLASS_SLOT, alike, "uid")
+        close = first.select("uid", *alike, "slot").withColumnRenamed("uid", "class_1").join(
+            second.select("uid", *alike, "slot").withColumnRenamed("uid", "class_2"), [*alike, "slot"]
+        )
+        close = close.select("class_1", "class_2").distinct()
+        met = close.join(own.withColumnsRenamed({"uid": "class_1", "score": "score_1", "n": "n_1"}).drop("latest"), "class_1").join(
+            other.withColumnsRenamed({"uid": "class_2", "score": "score_2", "n": "n_2", "latest": "latest_2"}), ["class_2", "item_id"]
+        )
+        totals = _totals(met.withColumnsRenamed({"class_1": "uid_1", "class_2": "uid_2"}), with_overlap=True)
+        totals = totals.filter("gap = 0")
+    names = {"uid_1": "class_1", "uid_2": "class_2", "gap": "hot_gap", "n": "hot_n", "overlap": "hot_overlap"}
+    return saved(totals.select(*[F.col(c).alias(name) for c, name in names.items()]))
 
 
 def _meet(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -217,6 +253,10 @@ def _directed(
         met = met.filter(keep)
     if not with_overlap:
         met = met.filter("latest_2")
+    return _totals(met, with_overlap, **extra)
+
+
+def _totals(met: DataFrame, with_overlap: bool, **extra: Column) -> DataFrame:
     latest = F.col("latest_2")
     return met.groupBy("uid_1", "uid_2").agg(
         F.sum(F.when(latest, F.col("n_1") * _gap()).otherwise(0.0)).alias("gap"),
@@ -226,18 +266,27 @@ def _directed(
     )
 
 
-def gaining_pairs(ledger: Ledger) -> DataFrame:
+def _of_classes(crowd: Crowd | None) -> dict[str, Column]:
+    """Aggregates of a pair that say which classes meet in it, and whether on a hot item."""
+    if crowd is None:
+        return {}
+    common = F.lit(False)
+    for mask in crowd.masks:
+        common = common | (F.coalesce(F.col(f"{mask}_1").bitwiseAND(F.col(f"{mask}_2")), F.lit(0)) != 0)
+    return {"class_1": F.max("class_id_1"), "class_2": F.max("class_id_2"), "meets": F.max(common)}
+
+
+def gaining_pairs(ledger: Ledger, known: DataFrame | None) -> DataFrame:
     """Pairs with a common ordinary item whose second user is the more helpful: uid_1, uid_2,
     ``gain``, ``degree`` and, with a crowd, ``hot_degree`` as their classes alone would have it.
+    ``known`` are the pairs of classes.
 
     Half of all pairs, and every self-pair, end at the join.
     """
     gain = F.col("help_2") - F.col("help_1")
-    classes = {}
-    if ledger.crowd is not None:
-        classes = {f"class_{k}": F.max(f"class_id_{k}") for k in (1, 2)}
+    classes = _of_classes(ledger.crowd)
     pairs = _directed(ledger.first, ledger.second, gain > 0, gain=F.max(gain), **classes)
-    return _with_degree(pairs, ledger.crowd)
+    return _with_degree(pairs, known)
 
 
 def numbers_of(ledger: Ledger, users: DataFrame | None) -> DataFrame | None:
@@ -247,34 +296,35 @@ def numbers_of(ledger: Ledger, users: DataFrame | None) -> DataFrame | None:
     return saved(ledger.users.join(users.select("user_id"), "user_id", "left_semi").select("uid"))
 
 
-def neighbour_pairs(ledger: Ledger, threshold: float, chosen: DataFrame | None = None) -> DataFrame:
+def neighbour_pairs(
+    ledger: Ledger, threshold: float, known: DataFrame | None, chosen: DataFrame | None = None
+) -> DataFrame:
     """Pairs of different users with a common ordinary item: uid_1, uid_2, ``degree``,
-    ``overlap`` and, with a crowd, ``hot_degree`` and ``hot_overlap``. Without a crowd only
-    pairs up to ``threshold`` are given, and with ``chosen(uid)`` only pairs whose first user is
-    among them: the other first users end before the join.
+    ``overlap`` and, with a crowd, ``hot_degree`` and ``hot_overlap`` by the pairs ``known`` of classes.
+    Without a crowd only pairs up to ``threshold`` are given. With ``chosen(uid)`` only pairs whose
+    first user is among them: the other first users end before the join, and so do second users'
+    entries on items that none of the chosen has.
 
     For everybody, the join makes each pair once, and totals for both directions come out of
     the same row.
     """
     crowd = ledger.crowd
+    classes = _of_classes(crowd)
     if chosen is not None:
-        first = ledger.first.join(chosen, "uid", "left_semi")
-        extra = {} if crowd is None else {f"class_{k}": F.max(f"class_id_{k}") for k in (1, 2)}
-        pairs = _directed(first, ledger.second, F.col("uid_1") != F.col("uid_2"), with_overlap=True, **extra)
-        pairs = _with_degree(pairs, crowd)
+        first, second = asked_sides(ledger, chosen)
+        pairs = _directed(first, second, F.col("uid_1") != F.col("uid_2"), with_overlap=True, **classes)
+        pairs = _with_degree(pairs, known)
         return pairs if crowd is not None else pairs.filter(F.col("degree") <= threshold)
-    classes = [] if crowd is None else ["class_id"]
     totals = {"overlap": F.sum(F.col("n_1") * F.col("n_2"))}
     for k, other in ((1, 2), (2, 1)):
         latest, n = F.col(f"latest_{other}"), F.col(f"n_{k}")
         totals[f"gap_{k}"] = F.sum(F.when(latest, n * _gap()).otherwise(0.0))
         totals[f"n_{k}"] = F.sum(F.when(latest, n).otherwise(0))
-        totals |= {f"class_{k}": F.max(f"{c}_{k}") for c in classes}
     met = (
         _meet(ledger.first, ledger.second)
         .filter(F.col("uid_1") < F.col("uid_2"))
         .groupBy("uid_1", "uid_2")
-        .agg(*[value.alias(name) for name, value in totals.items()])
+        .agg(*[value.alias(name) for name, value in (totals | classes).items()])
     )
     if crowd is None:
         met = met.filter(
@@ -289,33 +339,70 @@ def neighbour_pairs(ledger: Ledger, threshold: float, chosen: DataFrame | None =
             F.col(f"n_{k}").alias("n"),
             "overlap",
             *[F.col(f"class_{j}").alias(f"class_{i}") for i, j in ((1, k), (2, other)) if classes],
+            *(["meets"] if classes else []),
         )
 
-    pairs = _with_degree(met.select(F.inline(F.array(direction(1, 2), direction(2, 1)))), crowd)
+    pairs = _with_degree(met.select(F.inline(F.array(direction(1, 2), direction(2, 1)))), known)
     return pairs if crowd is not None else pairs.filter(F.col("degree") <= threshold)
 
 
-def _with_degree(pairs: DataFrame, crowd: Crowd | None) -> DataFrame:
-    """Replace ``gap`` and ``n`` by ``degree``, with what the classes of a pair add to it."""
-    if crowd is None:
+def asked_sides(ledger: Ledger, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join for the users ``chosen(uid)``: their entries, and everybody's on their items."""
+    first = saved(ledger.first.join(chosen, "uid", "left_semi"))
+    return first, ledger.second.join(first.select("item_id").distinct(), "item_id", "left_semi")
+
+
+def _with_degree(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Replace ``gap`` and ``n`` by ``degree``, with what the classes of a pair add to it.
+
+    A pair that meets on a hot item while its classes are not ``known`` disagrees there where only
+    exact agreement counts: it has no degree.
+    """
+    if known is None:
         return pairs.withColumn("degree", F.col("gap") / F.col("n")).drop("gap", "n")
     zero = F.lit(0)
     gap = F.col("gap") + F.coalesce("hot_gap", zero)
     n = F.col("n") + F.coalesce("hot_n", zero)
-    full = {"degree": gap / n, "hot_degree": F.col("hot_gap") / F.col("hot_n")}
+    degree = F.when(F.col("hot_n").isNotNull() | ~F.col("meets"), gap / n)
+    full = {"degree": degree, "hot_degree": F.col("hot_gap") / F.col("hot_n")}
     if "overlap" in pairs.columns:
         full["overlap"] = F.col("overlap") + F.coalesce("hot_overlap", zero)
-    # Pairs without two classes meet none: numbers below 0, which no class has, part them.
+    # Pairs that do not meet have no classes to look for: numbers below 0, which no class has, part them.
     apart = -1 - F.pmod(F.xxhash64("uid_1", "uid_2"), F.lit(1 << 30))
-    classed = F.col("class_1").isNotNull() & F.col("class_2").isNotNull()
-    pairs = pairs.withColumn("class_1", F.when(classed, F.col("class_1")).otherwise(apart))
+    pairs = pairs.withColumn("class_1", F.when(F.col("meets"), F.col("class_1")).otherwise(apart))
     return (
-        pairs.join(crowd.pairs, ["class_1", "class_2"], "left")
+        pairs.join(known, ["class_1", "class_2"], "left")
         .withColumns(full)
-        .drop("gap", "n", "hot_gap", "hot_n", "class_1", "class_2")
+        .drop("gap", "n", "hot_gap", "hot_n", "class_1", "class_2", "meets")
     )
 
 
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of each class in blocks, ``class_id, block, uids``, and the blocks of classes of more than one."""
+    hot = hot_keys(counts_of(members, ["class_id"]), MEMBER_BLOCK)
+    block = dealt(["uid"], F.coalesce("pieces", F.lit(1)))
+    cut = members.join(F.broadcast(hot), "class_id", "left").withColumn("block", block)
+    return cut.groupBy("class_id", "block").agg(F.collect_list("uid").alias("uids")), hot
+
+
+def users_of_classes(close: DataFrame, firsts: DataFrame, members: DataFrame) -> DataFrame:
+    """``uid_1, uid_2`` and the columns of ``close(class_1, class_2, ...)`` for every pair of different members.
+
+    A pair of classes is first a pair of blocks each; lists of members meet there, and a task makes the
+    pairs of one block with another at a time.
+    """
+    pairs = close
+    for k, side in ((1, firsts), (2, members)):
+        lists, hot = _blocks(side)
+        pieces = hot.withColumnsRenamed({"class_id": f"class_{k}", "pieces": "_pieces"})
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
+        pairs = pairs.join(F.broadcast(pieces), f"class_{k}", "left").withColumn(f"block_{k}", each).drop("_pieces")
+        lists = lists.withColumnsRenamed({"class_id": f"class_{k}", "block": f"block_{k}", "uids": f"uids_{k}"})
+        pairs = pairs.join(lists, [f"class_{k}", f"block_{k}"])
+    pairs = pairs.withColumn("uid_1", F.explode("uids_1")).drop("uids_1")
+    return pairs.withColumn("uid_2", F.explode("uids_2")).drop("uids_2", "block_1", "block_2").filter(F.col("uid_1") != F.col("uid_2"))
+
+
 def agreement_edges(
     reviews: DataFrame,
     threshold: float = PEER_THRESHOLD,
@@ -335,22 +422,16 @@ def agreement_edges(
     rated = with_helpfulness or positive_only
     ledger = open_ledger(reviews, rated, hot_least, hot_count)
     chosen = numbers_of(ledger, users)
-    listed = neighbour_pairs(ledger, threshold, chosen)
+    known = None if ledger.crowd is None else class_pairs(ledger.crowd, threshold, chosen)
+    listed = neighbour_pairs(ledger, threshold, known, chosen)
     shape = ["uid_1", "uid_2", "degree", "overlap"]
     edges = listed.filter(F.col("degree") <= threshold).select(shape)
     if ledger.crowd is not None:
-        members = ledger.crowd.members
+        members = ledger.crowd.members.select("uid", "class_id")
         firsts = members if chosen is None else members.join(chosen, "uid", "left_semi")
-        hot_only = (
-            ledger.crowd.pairs.withColumn("degree", F.col("hot_gap") / F.col("hot_n"))
-            .filter(F.col("degree") <= threshold)
-            .join(firsts.withColumnsRenamed({"uid": "uid_1", "class_id": "class_1"}), "class_1")
-            .join(members.withColumnsRenamed({"uid": "uid_2", "class_id": "class_2"}), "class_2")
-            .filter(F.col("uid_1") != F.col("uid_2"))
-            .join(listed, ["uid_1", "uid_2"], "left_anti")
-            .withColumn("overlap", F.col("hot_overlap"))
-        )
-        edges = edges.unionByName(hot_only.select(shape))
+        close = known.withColumn("degree", F.col("hot_gap") / F.col("hot_n")).filter(F.col("degree") <= threshold)
+        hot_only = users_of_classes(close, firsts, members).join(listed, ["uid_1", "uid_2"], "left_anti")
+        edges = edges.unionByName(hot_only.withColumn("overlap", F.col("hot_overlap")).select(shape))
     for k in (1, 2):
         named = {"uid": f"uid_{k}", "user_id": f"user_{k}", "help": f"help_{k}"}
         edges = edges.join(ledger.users.drop("reviews").withColumnsRenamed(named), f"uid_{k}")

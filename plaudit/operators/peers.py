@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.operators.agreement import HOT_ITEM_ENTRIES, Ledger, gaining_pairs, open_ledger
+from plaudit.operators.agreement import HOT_ITEM_ENTRIES, Ledger, class_pairs, gaining_pairs, open_ledger
 from plaudit.schema import PEER_THRESHOLD
 
 WEIGHTS = ("divergence", "agreement")
@@ -33,7 +33,8 @@ def peer_rank(
     if weight not in WEIGHTS:
         raise ValueError(f"unknown weight: {weight}")
     ledger = open_ledger(reviews, True, hot_least, hot_count)
-    pairs = gaining_pairs(ledger)
+    known = None if ledger.crowd is None else class_pairs(ledger.crowd, threshold)
+    pairs = gaining_pairs(ledger, known)
 
     def terms(degree: Column) -> tuple[Column, Column]:
         peer = degree <= threshold
@@ -49,7 +50,7 @@ def peer_rank(
         lift, peers = lift - hot_lift, peers - hot_peers
     gains = pairs.select(F.col("uid_1").alias("uid"), lift.alias("lift"), peers.alias("peers"))
     if ledger.crowd is not None:
-        gains = gains.unionByName(_crowd_gains(ledger, weight, threshold))
+        gains = gains.unionByName(_crowd_gains(ledger, known, weight, threshold))
     gains = gains.groupBy("uid").agg(F.sum("lift").alias("lift"), F.sum("peers").alias("peers"))
     raised = F.col("help") + F.col("lift").cast("double") / F.col("peers")
     return ledger.users.join(gains, "uid", "left").select(
@@ -57,13 +58,12 @@ def peer_rank(
     )
 
 
-def _crowd_gains(ledger: Ledger, weight: str, threshold: float) -> DataFrame:
+def _crowd_gains(ledger: Ledger, known: DataFrame, weight: str, threshold: float) -> DataFrame:
     """Gains over all peers by hot items alone, worked out per (class, helpfulness)."""
-    crowd = ledger.crowd
-    heads = crowd.members.join(ledger.users.select("uid", "help"), "uid")
+    heads = ledger.crowd.members.select("uid", "class_id").join(ledger.users.select("uid", "help"), "uid")
     tally = heads.groupBy("class_id", "help").agg(F.count(F.lit(1)).cast("decimal(13,0)").alias("m"))
     reach = (
-        crowd.pairs.withColumn("degree", F.col("hot_gap") / F.col("hot_n"))
+        known.withColumn("degree", F.col("hot_gap") / F.col("hot_n"))
         .filter(F.col("degree") <= threshold)
         .join(tally.withColumnsRenamed({"class_id": "class_2", "help": "help_2"}), "class_2")
         .groupBy("class_1", "degree", "help_2")

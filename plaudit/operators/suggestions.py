@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plaudit.operators.agreement import HOT_ITEM_ENTRIES, neighbour_pairs, numbers_of, open_ledger
+from plaudit.operators.agreement import HOT_ITEM_ENTRIES, class_pairs, neighbour_pairs, numbers_of, open_ledger
+from plaudit.operators.skew import counts_of, hot_keys, split_join
 from plaudit.schema import SUGGEST_THRESHOLD
+from plaudit.sources.shared import saved
 
 NEIGHBOURS = ("all", "multi", "overlap")
 
@@ -42,7 +44,8 @@ def suggest(
     # Names go in before neighbours' reviews multiply the rows, not after.
     names = ledger.users.select("uid", "user_id")
     chosen = numbers_of(ledger, users)
-    pairs = neighbour_pairs(ledger, threshold, chosen).join(names.withColumnRenamed("uid", "uid_1"), "uid_1")
+    known = None if ledger.crowd is None else class_pairs(ledger.crowd, threshold, chosen)
+    pairs = neighbour_pairs(ledger, threshold, known, chosen).join(names.withColumnRenamed("uid", "uid_1"), "uid_1")
     full = weight(F.col("degree"), F.col("overlap"))
     if ledger.crowd is None:
         edges = pairs.select("user_id", "uid_2", full.alias("w"))
@@ -52,10 +55,10 @@ def suggest(
         by_class = weight(F.col("hot_degree"), F.col("hot_overlap"))
         change = F.coalesce(full, zero) - F.coalesce(by_class, zero)
         edges = pairs.select("user_id", "uid_2", change.alias("w")).filter(F.col("w") != 0)
-        agreeing = ledger.crowd.pairs.select(
+        agreeing = known.select(
             "class_1", "class_2", weight(F.col("hot_gap") / F.col("hot_n"), F.col("hot_overlap")).alias("w")
         ).filter(F.col("w").isNotNull())
-        members = ledger.crowd.members.join(names, "uid")
+        members = ledger.crowd.members.select("uid", "class_id").join(names, "uid")
         asked = members if chosen is None else members.join(chosen, "uid", "left_semi")
         # Whole counts per score: taking a neighbour back out leaves no rounding behind.
         votes = (
@@ -80,17 +83,24 @@ def _votes(edges: DataFrame, given: DataFrame) -> DataFrame:
 
 
 def _crowd_votes(members: DataFrame, asked: DataFrame, agreeing: DataFrame, given: DataFrame) -> DataFrame:
-    """Votes for the users ``asked`` from all neighbours by hot items alone, less each user's own."""
+    """Votes for the users ``asked`` from all neighbours by hot items alone, less each user's own.
+
+    What a class offers, and what it receives, is worked out once for all its members. Large classes
+    meet their offers in a grid: members dealt over blocks, offers over pieces.
+    """
+    key = ["class_id"]
     classed = given.join(members, "uid")
-    offers = (
-        classed.groupBy(F.col("class_id").alias("class_2"), "item_id", "score")
-        .agg(F.sum("n").alias("n"))
-        .join(agreeing, "class_2")
-        .groupBy(F.col("class_1").alias("class_id"), "item_id", "score")
-        .agg(F.sum(F.col("w") * F.col("n")).alias("votes"))
+    own_offers = saved(classed.groupBy("class_id", "item_id", "score").agg(F.sum("n").alias("n")))
+    giving = agreeing.withColumnRenamed("class_2", "class_id")
+    offered = split_join(
+        own_offers, giving, key, hot_keys(counts_of(own_offers, key)), ["item_id", "score"], hot_keys(counts_of(giving, key)), ["class_1"]
+    )
+    offers = saved(
+        offered.groupBy(F.col("class_1").alias("class_id"), "item_id", "score").agg(F.sum(F.col("w") * F.col("n")).alias("votes"))
     )
-    received = asked.join(offers, "class_id")
+    received = split_join(asked, offers, key, hot_keys(counts_of(asked, key)), ["uid"], hot_keys(counts_of(offers, key)), ["item_id", "score"])
     own = agreeing.filter(F.col("class_1") == F.col("class_2")).select(F.col("class_1").alias("class_id"), "w")
-    own_votes = given.join(asked, "uid").join(own, "class_id").withColumn("votes", -F.col("w") * F.col("n"))
+    own_votes = split_join(given.join(asked, "uid"), own, key, hot_keys(counts_of(classed, key)), ["uid", "item_id"])
     columns = ["user_id", "item_id", "score", "votes"]
+    own_votes = own_votes.withColumn("votes", -F.col("w") * F.col("n"))
     return received.select(columns).unionByName(own_votes.select(columns))

@@ -1,9 +1,10 @@
 """Review views over the sales tables that serve as test and benchmark data.
 
-Every line item is one review, read in one of three ways: customers reviewing parts (many
+Every line item is one review, read in one of four ways: customers reviewing parts (many
 reviews per user); orders reviewing a part as sold in one supplier nation (few per user,
 some users with a single one); orders reviewing parts with all returned lines on one item
-(a third of all reviews). Documents and pages also serve as text records.
+(a third of all reviews), or with the returned lines of a hundred order numbers on one item
+(about 130 reviews, at any scale). Documents and pages also serve as text records.
 """
 
 from __future__ import annotations
@@ -75,6 +76,14 @@ def returns_reviews(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "lineitem").select(_review(item, _order()))
 
 
+def batch_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders reviewing parts, with the returned lines of a hundred order numbers on one item."""
+    part = F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    batch = F.concat(F.lit("RETURN"), F.floor(F.col("l_orderkey") / 100).cast("string"))
+    item = F.when(F.col("l_returnflag") == "R", batch).otherwise(part)
+    return _table(spark, folder, "lineitem").select(_review(item, _order()))
+
+
 def _order() -> Column:
     return F.concat(F.lit("O"), F.col("l_orderkey").cast("string"))
 
@@ -93,6 +102,27 @@ def review_stanzas(reviews: DataFrame) -> DataFrame:
     )
 
 
+def damaged_stanzas(reviews: DataFrame) -> DataFrame:
+    """The records of a view with fields that are no numbers, by the day of the review: scores on every
+    fifth, times on every seventh, helpful votes on every third and all votes on every eleventh."""
+    day = F.floor(F.col("review_time") / 86400)
+
+    def or_else(days: int, text: Column, value: Column) -> Column:
+        return F.when(day % days == 0, text).otherwise(value)
+
+    votes = or_else(3, F.concat(F.lit("many/"), F.col("total_votes").cast("string")), F.col("helpfulness"))
+    return reviews.select(
+        F.concat_ws(
+            "\n",
+            _field("product/productId", F.col("item_id")),
+            _field("review/userId", F.col("user_id")),
+            _field("review/helpfulness", or_else(11, F.col("up_votes").cast("string"), votes)),
+            _field("review/score", or_else(5, F.lit("good"), F.col("score").cast("string"))),
+            _field("review/time", or_else(7, F.lit("last spring"), F.col("review_time").cast("string"))),
+        ).alias("value")
+    )
+
+
 def document_stanzas(spark: SparkSession, folder: str) -> DataFrame:
     """One text record per document."""
     number = F.col("doc_id")
