@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plaudit.llm.common import shares
 from plaudit.sources.shared import saved
 
 FAN = 3
@@ -46,7 +45,8 @@ class Manifest:
     (id, children, whole) with each inner node's digests, ``subroots`` (tree, id, digest), and the ``root``.
 
     A node's ``id`` is its tree, level and place there; ``whole`` marks the top of a tree.
-    ``height`` is the number of levels from the lowest leaf to the root.
+    ``height`` is the number of levels from the lowest leaf to the root, ``size`` the number of leaves and
+    ``trees`` that of sources.
     """
 
     leaves: DataFrame
@@ -55,16 +55,23 @@ class Manifest:
     root: str | None
     root_id: Column
     height: int
+    size: int
+    trees: int
 
 
-def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``pos``, from 0, in the order of each ``tree``, and ``n``, the rows of that tree.
+def _stored(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, stored in no more files than they need: far up a tree few rows are left."""
+    return saved(df.coalesce(max(1, -(-rows // ROWS_TOGETHER))))
+
+
+def _ranked(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows, with ``pos``, from 0, in the order of each ``tree``, and ``n``, the rows of that tree.
 
     Rows are dealt by ranges of tree and order, so that a tree with most of the rows is numbered by
     many tasks; what each range holds of each tree is added up.
     """
-    ranges = df.repartitionByRange(shares(df, ROWS_TOGETHER), "tree", *order)
-    placed = saved(ranges.withColumn("_part", F.spark_partition_id()))
+    ranges = df.repartitionByRange(max(1, -(-rows // ROWS_TOGETHER)), "tree", *order)
+    placed = _stored(ranges.withColumn("_part", F.spark_partition_id()), rows)
     tree = Window.partitionBy("tree")
     before = tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("tree", "_part").agg(F.count("*").alias("_here"))
@@ -73,7 +80,7 @@ def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
     )
     own = F.row_number().over(Window.partitionBy("tree", "_part").orderBy(*order)) - 1
     numbered = placed.withColumn("_own", own).join(starts, ["tree", "_part"])
-    return numbered.withColumn("pos", F.col("_start") + F.col("_own")).drop("_part", "_start", "_own")
+    return _stored(numbered.withColumn("pos", F.col("_start") + F.col("_own")).drop("_part", "_start", "_own"), rows)
 
 
 def _id(tree, level, pos) -> Column:
@@ -116,11 +123,11 @@ def _as_nodes(runs: Column, base: int, j: int) -> Column:
     return F.transform(runs, node)
 
 
-def _grown(nodes: DataFrame, most: int) -> DataFrame:
-    """``id, children, of`` of all inner nodes over the leaves ``nodes(tree, pos, n, digest)``; ``most`` is the largest n."""
+def _grown(nodes: DataFrame, most: int, rows: int) -> DataFrame:
+    """``id, children, of`` of all inner nodes over the ``rows`` leaves ``nodes(tree, pos, n, digest)``; ``most`` is the largest n."""
     runs = None
     for base in range(0, max(1, height(most)), LEVELS_AT_ONCE):
-        made = saved(_built(nodes, base))
+        made = _stored(_built(nodes, base), rows // FAN**base)
         runs = made if runs is None else runs.unionByName(made)
         upper = made.where(F.col("id.level") == base + LEVELS_AT_ONCE)
         nodes = upper.select("id.tree", "id.pos", F.col("of").alias("n"), _joined(F.col("children")).alias("digest"))
@@ -145,21 +152,22 @@ def manifest(docs: DataFrame, keep: list[str] | None = None) -> Manifest:
             *[F.col(c.removeprefix("_kept_")).alias(c) for c in keep],
         )
     )
-    leaves = saved(_ranked(leaves, ["doc_id", "leaf"]))
+    size = leaves.count()
+    leaves = _ranked(leaves, ["doc_id", "leaf"], size)
     most = leaves.agg(F.max("n")).first()[0] or 0
-    runs = _grown(leaves.select("tree", "pos", "n", F.col("leaf").alias("digest")), most)
+    runs = _grown(leaves.select("tree", "pos", "n", F.col("leaf").alias("digest")), most, size)
     alone = leaves.where("n = 1").select("tree", _id(F.col("tree"), F.lit(0), F.lit(0)).alias("id"), F.col("leaf").alias("digest"))
     tops = runs.where("of = 1").select("id.tree", "id", _joined(F.col("children")).alias("digest"))
     sources = tops.unionByName(alone).withColumnRenamed("tree", "key").withColumn("tree", F.lit(TOP))
-    subroots = saved(_ranked(sources, ["key"]))
-    trees = subroots.agg(F.max("n")).first()[0] or 0
-    above = _grown(subroots.select("tree", "pos", "n", "digest"), trees)
+    trees = sources.count()
+    subroots = _ranked(sources, ["key"], trees)
+    above = _grown(subroots.select("tree", "pos", "n", "digest"), trees, trees)
     # Trees of one source end with its top, which no tree stands above.
     ends = above.where("of = 1").select("id", _joined(F.col("children")).alias("digest")) if trees > 1 else subroots.select("id", "digest")
     end = ends.first()
     root, root_id = (end.digest, _id(F.lit(end.id.tree), F.lit(end.id.level), F.lit(end.id.pos))) if end else (None, F.lit(None))
     runs = runs.unionByName(above).select("id", "children", (F.col("of") == 1).alias("whole"))
-    return Manifest(leaves, runs, subroots, root, root_id, height(most) + height(trees))
+    return Manifest(leaves, runs, subroots, root, root_id, height(most) + height(trees), size, trees)
 
 
 def _siblings(children: Column, i: Column) -> Column:
@@ -193,19 +201,19 @@ def paths(tree: Manifest) -> DataFrame:
     tops = tops.join(tree.subroots.select("pos", "id"), "pos").withColumn("subroot", F.col("digest"))
     others = links.where(~is_top).withColumn("subroot", F.lit(None).cast("string"))
     columns = ["id", "up", "path", "subroot"]
-    climbing = saved(others.select(columns).unionByName(tops.select(columns)))
+    rows = tree.size // 2 + tree.trees
+    climbing = _stored(others.select(columns).unionByName(tops.select(columns)), rows)
     done = climbing.limit(0)
     distance = 1
     while distance < tree.height:
         far = climbing.unionByName(done).where((F.col("id.level") > distance) | (F.col("id.tree") == TOP))
-        far = saved(far.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("more"), F.col("subroot").alias("top")))
+        names = {"id": "up", "up": "next", "path": "more", "subroot": "top"}
+        far = _stored(far.select(*[F.col(c).alias(new) for c, new in names.items()]), tree.size // FAN**distance + tree.trees)
         there = F.col("up") == tree.root_id
         done = done.unionByName(climbing.where(there))
-        climbing = saved(
-            climbing.where(~there)
-            .join(far, "up")
-            .select("id", F.col("next").alias("up"), F.concat("path", "more").alias("path"), F.coalesce("subroot", "top").alias("subroot"))
-        )
+        jumped = climbing.where(~there).join(far, "up")
+        path, subroot = F.concat("path", "more").alias("path"), F.coalesce("subroot", "top").alias("subroot")
+        climbing = _stored(jumped.select("id", F.col("next").alias("up"), path, subroot), rows)
         distance *= 2
     return done.unionByName(climbing)
 
