@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 # Text whose links share one dictionary.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 # Groups with more links than this are linked by their different ids.
 LARGE_GROUP = 4096
 # Fixed value: the mark that stands for a space in pieces.
@@ -128,9 +128,9 @@ class Aligner:
         before_b = np.concatenate([[0], upto_b])
         codes[np.arange(len(a)) + before_b[in_a]] = a + last_a * self._widest
         codes[np.arange(len(b)) + upto_a[in_b]] = b + 2 * last_b * self._widest
-        written = [self._written[c] for c in codes.tolist()]
         starts = np.concatenate([[0], ends[:-1]])
-        return ["".join(written[x:y])[:-1] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+        write = self._written.__getitem__
+        return ["".join(map(write, codes[x:y].tolist()))[:-1] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
 
     def rows(self, block: int, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
         tokens = [self.tokenizers.both(text) for text in texts]
