@@ -80,7 +80,7 @@ def _ranked(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     )
     own = F.row_number().over(Window.partitionBy("tree", "_part").orderBy(*order)) - 1
     numbered = placed.withColumn("_own", own).join(starts, ["tree", "_part"])
-    return _stored(numbered.withColumn("pos", F.col("_start") + F.col("_own")).drop("_part", "_start", "_own"), rows)
+    return numbered.withColumn("pos", F.col("_start") + F.col("_own")).drop("_part", "_start", "_own")
 
 
 def _id(tree, level, pos) -> Column:
@@ -144,15 +144,13 @@ def manifest(docs: DataFrame, keep: list[str] | None = None) -> Manifest:
     """
     keep = [f"_kept_{c}" for c in keep or []]
     tree = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("0"))
-    leaves = saved(
-        docs.select(
-            tree.alias("tree"),
-            F.col("doc_id").cast("long").alias("doc_id"),
-            leaf_digest(*map(F.col, FIELDS)).alias("leaf"),
-            *[F.col(c.removeprefix("_kept_")).alias(c) for c in keep],
-        )
+    leaves = docs.select(
+        tree.alias("tree"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        leaf_digest(*map(F.col, FIELDS)).alias("leaf"),
+        *[F.col(c.removeprefix("_kept_")).alias(c) for c in keep],
     )
-    size = leaves.count()
+    size = docs.count()
     leaves = _ranked(leaves, ["doc_id", "leaf"], size)
     most = leaves.agg(F.max("n")).first()[0] or 0
     runs = _grown(leaves.select("tree", "pos", "n", F.col("leaf").alias("digest")), most, size)
