@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from plaudit.llm.common import components, in_groups
-from plaudit.sources.shared import saved
+from plaudit.operators.skew import hot_keys, split_join
+from plaudit.sources.shared import fresh_path, saved, scratch
 
 # 48 bands of 6 minima: a pair at similarity 0.8 shares no band once in two million.
 BANDS = 48
@@ -25,6 +26,8 @@ BLOCK = 2048
 BLOCK_SHINGLES = 4_000_000
 # Words whose hashes a task keeps; a speed setting only.
 WORDS_KEPT = 400_000
+# Bits, 8 MB, that mark the documents whose texts are wanted.
+SIEVE_BITS = 1 << 26
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,32 +80,53 @@ def signature(shingles: np.ndarray, factors: np.ndarray, summands: np.ndarray) -
     return least.astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, words: int = 2) -> DataFrame:
-    """``doc_id, n_shingles, node, sig``: the node is a 128-bit fingerprint of the shingle set."""
+def signatures(docs: DataFrame, words: int = 2, ident: str | None = None) -> DataFrame:
+    """``doc_id, n_shingles, print, sig`` and the column ``ident``: the print is a 128-bit fingerprint of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (factors, summands) = _WordHashes(), _universal()
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                sizes, nodes, sigs = [], [], []
+                sizes, prints, sigs = [], [], []
                 for text in part.column(1).to_pylist():
                     own = shingle_set(text, words, hashes)
                     sizes.append(len(own))
-                    nodes.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                    prints.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     sigs.append(signature(own, factors, summands) if len(own) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "sig"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "ident", "n_shingles", "print", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, node binary, sig binary"
+    known = F.col(ident).cast("string") if ident else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long"), "text", known.alias("ident")).mapInArrow(
+        run, "doc_id long, ident string, n_shingles long, print binary, sig binary"
     )
 
 
+def _sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts(text_id, text)`` that may be among ``wanted(first_id)``, before they are shuffled.
+
+    The sieve is a bitmap of fixed size. With very many wanted ids it lets most rows through; none
+    that is wanted is ever held back.
+    """
+
+    def bit(name: str):
+        return F.pmod(F.xxhash64(name), F.lit(SIEVE_BITS)) + 1
+
+    marks = wanted.select(bit("first_id").alias("bit"))
+    sieve = marks.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    held = texts.withColumn("bit", bit("text_id"))
+    held = held.withColumns({"bucket": F.bitmap_bucket_number("bit"), "place": F.bitmap_bit_position("bit").cast("int")})
+    byte = F.conv(F.hex(F.substring("map", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(byte, place % 8) & 1") == 1
+    met = held.join(F.broadcast(sieve), "bucket").withColumn("byte", byte)
+    return met.where(is_set).select("text_id", "text")
+
+
 def _full_sets(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``node, shingles`` of the given sets, from their texts."""
+    """``node, shingles`` of the sets ``reps(node, print, first_id)``, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -110,20 +134,20 @@ def _full_sets(reps: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
                 nodes, sets = [], []
-                for node, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for node, own_print, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     own = shingle_set(text, words, hashes)
                     # Another row may carry the same doc_id and a different text.
-                    if len(own) and xxhash.xxh3_128_digest(own.tobytes()) == node:
+                    if len(own) and xxhash.xxh3_128_digest(own.tobytes()) == own_print:
                         nodes.append(node)
                         sets.append(own.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
+                    [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
                     names=["node", "shingles"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text")
-    found = reps.join(texts, F.col("first_id").eqNullSafe(F.col("text_id"))).select("node", "text")
-    return found.mapInArrow(run, "node binary, shingles array<long>").dropDuplicates(["node"])
+    texts = _sifted(docs.select(F.col("doc_id").cast("long").alias("text_id"), "text"), reps)
+    found = reps.join(texts, F.col("first_id").eqNullSafe(F.col("text_id"))).select("node", "print", "text")
+    return found.mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 @F.pandas_udf(DoubleType())
@@ -156,10 +180,11 @@ def _ordered(a: str, b: str) -> list:
 def _blocked(rows: DataFrame, group: str, stats: DataFrame, payload: list[str]) -> DataFrame:
     """``block, guest`` and the payload: every block of a group's rows beside every block of its guests.
 
-    ``stats(group, top, rows_in, guests_in)`` says how many blocks there are. Guests are rows
+    ``stats(group, n, top, rows_in, guests_in)`` says how many blocks there are. Guests are rows
     outside the group's commonest component: only they can add a link between components.
     """
-    rows = rows.join(stats, group)
+    # A bucket or cluster may hold a third of all rows.
+    rows = split_join(rows, stats.drop("n"), [group], hot_keys(stats.select(group, "n")), ["node"])
     spot, zero = F.xxhash64("node"), F.lit(0).cast("long")
     mine = rows.select(
         group, *payload, F.lit(0).alias("guest"), F.pmod(spot, "rows_in").alias("i"), F.explode(F.sequence(zero, F.col("guests_in") - 1)).alias("j")
@@ -167,7 +192,7 @@ def _blocked(rows: DataFrame, group: str, stats: DataFrame, payload: list[str])
     guests = rows.where("label <> top").select(
         group, *payload, F.lit(1).alias("guest"), F.explode(F.sequence(zero, F.col("rows_in") - 1)).alias("i"), F.pmod(spot, "guests_in").alias("j")
     )
-    block = F.concat_ws(":", F.col(group).cast("string") if group == "bucket" else F.hex(group), "i", "j")
+    block = F.concat_ws(":", F.col(group).cast("string"), "i", "j")
     return mine.unionByName(guests).select(block.alias("block"), "guest", *payload)
 
 
@@ -181,6 +206,7 @@ def _stats(rows: DataFrame, group: str, size: str) -> DataFrame:
 
     return whole.where("labels > 1").select(
         group,
+        "n",
         F.col("most.label").alias("top"),
         blocks(F.col("n"), F.col("size")).alias("rows_in"),
         blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("guests_in"),
@@ -207,14 +233,14 @@ class _Forest:
 
 def _codes(block: pa.Table) -> tuple[np.ndarray, np.ndarray, _Forest]:
     """Guests, a number for each row's component, and a forest that knows these components."""
-    names: dict[bytes, int] = {}
+    names: dict[int, int] = {}
     codes = np.array([names.setdefault(x, len(names)) for x in block["label"].to_pylist()])
     return block["guest"].to_numpy().astype(bool), codes, _Forest(len(names))
 
 
-def _edges(found: list[tuple[int, int]], nodes: list[bytes]) -> pa.RecordBatch:
+def _edges(found: list[tuple[int, int]], nodes: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([nodes[x] for x, _ in found], pa.binary()), pa.array([nodes[y] for _, y in found], pa.binary())], names=["a", "b"]
+        [pa.array([nodes[x] for x, _ in found], pa.int64()), pa.array([nodes[y] for _, y in found], pa.int64())], names=["a", "b"]
     )
 
 
@@ -224,7 +250,7 @@ def _maybe(bands: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
     Not all such pairs: each block gives a spanning forest of them.
     """
     rows = bands.join(labels, "node").withColumn("size", F.lit(0))
-    blocks = _blocked(rows.join(sigs, "node"), "bucket", _stats(rows, "bucket", "size"), ["node", "label", "sig"])
+    blocks = _blocked(rows.join(sigs, "node"), "bucket", saved(_stats(rows, "bucket", "size")), ["node", "label", "sig"])
 
     def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
         guest, codes, forest = _codes(block)
@@ -238,7 +264,7 @@ def _maybe(bands: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
                     found.append((g, int(near[at])))
         yield _edges(found, block["node"].to_pylist())
 
-    return in_groups(blocks, "block", compare, "a binary, b binary").select(*_ordered("a", "b")).distinct()
+    return in_groups(blocks, "block", compare, "a long, b long").select(*_ordered("a", "b")).distinct()
 
 
 def _bridges(maybe: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +276,7 @@ def _bridges(maybe: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFr
     """
     reached = components(stars.unionByName(maybe)).withColumnRenamed("label", "cluster")
     rows = saved(labels.join(reached, "node").join(sets.select("node", F.size("shingles").cast("long").alias("size")), "node"))
-    blocks = _blocked(rows.join(sets, "node"), "cluster", _stats(rows, "cluster", "size"), ["node", "label", "shingles"])
+    blocks = _blocked(rows.join(sets, "node"), "cluster", saved(_stats(rows, "cluster", "size")), ["node", "label", "shingles"])
 
     def compare(block: pa.Table) -> Iterator[pa.RecordBatch]:
         guest, codes, forest = _codes(block)
@@ -276,40 +302,27 @@ def _bridges(maybe: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFr
                         found.append((g, int(linked[at])))
         yield _edges(found, block["node"].to_pylist())
 
-    return in_groups(blocks, "block", compare, "a binary, b binary").select(*_ordered("a", "b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
+    return in_groups(blocks, "block", compare, "a long, b long").select(*_ordered("a", "b")).distinct()
 
-    Documents are linked when 100 * common shingles >= ``percent`` * shingles of both. Equal sets
-    are one node. Each node gets 288 universal hash minima in 48 bands. Every band's bucket links
-    its rows with its smallest and its largest node; pairs that pass the signature check are
-    confirmed on the full sets. What the buckets hold besides, pairs of different components, is
-    compared by signature and then on the full sets inside tasks, block by block, and only edges
-    that join components come out: no link that does is lost in a large bucket, and no bucket is
-    expanded into pairs.
 
-    Null or wordless texts have no shingles and link with nothing. Repeated rows are repeated in
-    the result. A null doc_id takes part, is no component's id while another has one, and is never
-    kept. An empty table gives an empty result; other columns are ignored.
-    """
-    marked = saved(signatures(docs, words))
+def _labelled(marked: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``print, first_id, copies, node, label`` of every different shingle set of ``marked``; linked sets have one label."""
+    # A short number stands for a set from here on; it is stored, so it stays the same.
     classes = saved(
-        marked.where("node is not null")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"))
+        marked.where("print is not null")
+        .groupBy("print")
+        .agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = classes.select("node", "sig", band.alias("band")).select(
-        "node", "band", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket")
+        "node", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket")
     )
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     bands = saved(bands.join(shared, "bucket"))
-    reps = bands.select("node").distinct().join(classes, "node")
-    sigs = saved(reps)
-    sets = saved(_full_sets(sigs.select("node", "first_id"), docs, words))
-    sigs = sigs.select("node", "sig")
+    reps = saved(bands.select("node").distinct().join(classes, "node"))
+    sets = saved(_full_sets(reps.select("node", "print", "first_id"), docs, words))
+    sigs = reps.select("node", "sig")
 
     stars = bands.select("node", F.explode(F.array("low", "high")).alias("centre")).where("node <> centre")
     pairs = saved(stars.select(*_ordered("node", "centre")).distinct())
@@ -323,14 +336,55 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     more = saved(_bridges(maybe, stars, labels, sets, percent))
     if more.limit(1).count():
         found = components(stars.unionByName(more))
+    return classes.join(found, "node", "left").select("print", "first_id", "copies", "node", F.coalesce("label", "node").alias("label"))
 
-    labelled = classes.select("node", "first_id").join(found, "node", "left").select(
-        "node", "first_id", F.coalesce("label", "node").alias("label")
-    )
-    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(least, "label").select("node", "component_id")
-    return marked.join(named, "node", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+def _kept_only(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
+
+    Documents are linked when 100 * common shingles >= ``percent`` * shingles of both. Equal sets
+    are one node. Each node gets 288 universal hash minima in 48 bands. Every band's bucket links
+    its rows with its smallest and its largest node; pairs that pass the signature check are
+    confirmed on the full sets. What the buckets hold besides, pairs of different components, is
+    compared by signature and then on the full sets inside tasks, block by block, and only edges
+    that join components come out: no link that does is lost in a large bucket, and no bucket is
+    expanded into pairs. All tables but the result go when it is stored.
+
+    Null or wordless texts have no shingles and link with nothing. Repeated rows are repeated in
+    the result. A null doc_id takes part, is no component's id while another has one, and is never
+    kept. An empty table gives an empty result; other columns are ignored.
+    """
+    path = fresh_path(docs.sparkSession, "table")
+    with scratch(docs.sparkSession):
+        marked = saved(signatures(docs, words))
+        labelled = saved(_labelled(marked, docs, words, percent))
+        least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+        named = labelled.join(least, "label").select("print", "component_id")
+        # Documents of one set may be very many.
+        hot = hot_keys(labelled.select("print", F.col("copies").alias("n")))
+        rows = marked.select("doc_id", "n_shingles", "print")
+        joined = split_join(rows.where("print is not null"), named, ["print"], hot, ["doc_id"])
+        alone = rows.where("print is null").withColumn("component_id", F.col("doc_id"))
+        result = joined.unionByName(alone).select("doc_id", "n_shingles", "component_id")
+        return _kept_only(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), path)
+
+
+def representatives(docs: DataFrame, ident: str, words: int = 2, percent: int = 80) -> DataFrame:
+    """``ident`` of one row of each group of near duplicates of ``docs(doc_id, text, ident)``.
+
+    It is that with the smallest doc_id, any before null, and then the smallest ``ident``, which tells
+    rows apart that share a doc_id. Rows without words are in no group. Otherwise like :func:`near_duplicates`.
+    """
+    path = fresh_path(docs.sparkSession, "table")
+    with scratch(docs.sparkSession):
+        marked = saved(signatures(docs, words, ident))
+        order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "ident")
+        first = marked.where("print is not null").groupBy("print").agg(F.min(order).alias("first"))
+        labelled = _labelled(marked, docs, words, percent).select("print", "label")
+        chosen = labelled.join(first, "print").groupBy("label").agg(F.min("first").alias("first"))
+        return _kept_only(chosen.select(F.col("first.ident").alias(ident)), path)

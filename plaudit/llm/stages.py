@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plaudit.llm.common import row_ident, table
-from plaudit.llm.minhash import near_duplicates
+from plaudit.llm.minhash import representatives
 from plaudit.llm.mixing import mixed, source_key
 from plaudit.llm.packing import packed
 from plaudit.llm.toxicity import THRESHOLD, scored, train
@@ -24,20 +24,20 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies.
+    """One document of each group of near copies: that with the smallest doc_id, any before null.
 
-    Of repeated rows of a doc_id one stays. A document without a doc_id stays unless it is a near
-    copy of another that stays.
+    A row goes only if its own text's group has another document that stays. Rows of the same doc_id and
+    text are one document, of which one row stays; rows that share a doc_id only are not. Texts without
+    words are copies of nothing and all stay.
     """
     ident = "_ident"
     while ident in docs.columns:
         ident += "_"
-    # Documents without an id come after all others, known by their text.
-    unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
-    docs = docs.withColumn(ident, F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    found = near_duplicates(docs.select(F.col(ident).alias("doc_id"), "text"), words=SHINGLE_WORDS)
-    kept = found.where("kept").select(F.col("doc_id").alias(ident)).distinct()
-    return docs.join(kept, ident, "left_semi").dropDuplicates([ident]).select(*[c for c in docs.columns if c != ident])
+    worded = F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    rows = docs.where(worded).withColumn(ident, row_ident())
+    kept = representatives(rows.select("doc_id", "text", ident), ident, words=SHINGLE_WORDS)
+    once = rows.join(kept, ident, "left_semi").dropDuplicates([ident]).select(*docs.columns)
+    return once.unionByName(docs.where(~worded))
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -51,6 +51,15 @@ def test_stages_against_plain_ones(spark, tmp_path):
     assert Counter(r.doc_id for r in whole if r.start == 0) == Counter(r.doc_id for r in mix)
 
 
+def test_unlike_rows_of_one_doc_id_stay(spark, tmp_path):
+    a, b = texts(40, 2, 60)
+    rows = [row(0, near_copy(a, 1, 1)), row(1, a), row(1, b), row(1, b), row(None, None, "s"), row(None, None, "t"), row(None, "", "u"), row(3, " ")]
+    rows += [row(None, near_copy(b, 2, 1)), row(None, "only one")]
+    found = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, spark.createDataFrame(rows, DOCUMENTS), str(tmp_path)).collect()
+    want = [rows[0], rows[2], *rows[4:8], rows[9]]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want))
+
+
 def test_empty_stages(spark, tmp_path):
     docs = spark.createDataFrame([], DOCUMENTS)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
