@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaudit.llm.common import row_ident, shares
+from plaudit.operators.skew import hot_keys, split_join
 from plaudit.sources.shared import saved
 
 # Weights of the sources in code-point order, repeating; copies of a source or
@@ -127,11 +128,17 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
     )
 
     taken = drawn.groupBy("source_key").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("words"))
+    # A source may hold most of the documents: what is known of sources is joined piece by piece.
+    hot = saved(hot_keys(drawn.groupBy("source_key").agg(F.count("*").alias("n"))))
+
+    def with_source(df: DataFrame, known: DataFrame) -> DataFrame:
+        return split_join(df, known, ["source_key"], hot, ["row_key"])
+
     gaps = plan.join(taken, "source_key").select(
         "source_key", (F.col("left") - F.col("words")).alias("gap"), F.array().cast("array<string>").alias("filled")
     )
     for _ in range(FILLS):
-        fitting = drawn.join(gaps, "source_key").where(
+        fitting = with_source(drawn, gaps).where(
             "not drawn and size > 0 and size <= gap and not array_contains(filled, row_key)"
         )
         best = fitting.groupBy("source_key").agg(F.max(F.struct("size", "row_key")).alias("best"))
@@ -146,11 +153,11 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
         )
     # Every round draws at least the first document that fits, so rounds end.
     goals = gaps.select("source_key", F.col("gap").alias("left")).join(plan.select("source_key", "p"), "source_key")
-    rest = drawn.join(gaps, "source_key").where("not drawn and size > 0 and not array_contains(filled, row_key)")
+    rest = with_source(drawn, gaps).where("not drawn and size > 0 and not array_contains(filled, row_key)")
     rest = rest.select("source_key", "row_key", "u", "share", "size")
     late = None
     while True:
-        fitting = saved(rest.join(goals, "source_key").where("size <= left").select(rest.columns))
+        fitting = saved(with_source(rest, goals).where("size <= left").select(rest.columns))
         if not fitting.limit(1).count():
             break
         more = saved(_within(fitting, goals))
@@ -167,8 +174,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFr
         drawn = drawn.withColumn("drawn", F.col("drawn") | F.coalesce("late", F.lit(False)))
     once = (F.col("drawn") | F.array_contains("filled", F.col("row_key"))).cast("long")
     return (
-        drawn.join(plan, "source_key")
-        .join(gaps, "source_key")
+        with_source(with_source(drawn, plan.drop("left", "p")), gaps)
         .withColumn("copies", F.col("certain") + once)
         .select(
             "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source_key", "ident"
