@@ -44,6 +44,18 @@ CLUTTER = re.compile(
     r"pagination|pager|skip-link|masthead|toolbar|hidden)(?:$|[\s_-])",
     re.I,
 )
+# Words that clutter's names are made of, and those that stand beside them there.
+CLUTTER_PART = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|footer|"
+    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|sharing|social|"
+    r"related|recommended|teaser|widget|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|masthead|toolbar|hidden",
+    re.I,
+)
+BESIDE = frozenset(
+    "area articles bar block body box button buttons container content form inner item items link links list outer posts section slot "
+    "stories thread unit wrap wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADERS = re.compile(r"(?:^|\s)(?:site-|page-|top-)?header(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
@@ -62,6 +74,27 @@ class Node:
         self.digest = 0
 
 
+def _names_clutter(token: str) -> bool:
+    """Whether a whole class or id says clutter: ``share-buttons`` does, ``related-work`` does not."""
+    parts = [part for part in re.split(r"[_-]+", token.lower()) if part]
+    known = [bool(CLUTTER_PART.fullmatch(part)) for part in parts]
+    return any(known) and all(k or part in BESIDE for k, part in zip(known, parts, strict=True))
+
+
+def _named_clutter(tag: str, value: str, inside: bool) -> bool:
+    """Whether an element goes by the names in its class or id.
+
+    Names of an article, of headings and of text inside articles are the author's. An article inside
+    another, as comments are, goes if all its names say so; other elements inside by any one whole name.
+    """
+    if tag in ("html", "body", "main") or tag in HEADINGS or (tag == "article" and not inside) or (inside and tag in TEXT_BLOCKS):
+        return False
+    if not inside:
+        return bool(CLUTTER.search(value) or HEADERS.search(value))
+    tokens = value.split()
+    return bool(tokens) and (all if tag == "article" else any)(map(_names_clutter, tokens))
+
+
 def _is_clutter(tag: str, attributes: str, inside: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside):
         return True
@@ -72,7 +105,7 @@ def _is_clutter(tag: str, attributes: str, inside: bool) -> bool:
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
-            if tag not in ("html", "body", "main") and (CLUTTER.search(value) or (not inside and HEADERS.search(value))):
+            if _named_clutter(tag, value, inside):
                 return True
         elif name == "role":
             if value.lower() in ROLES:
