@@ -167,9 +167,17 @@ TURN_SCHEMAS = {
 def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain chats: a user's turn asks, the assistant's turn after it answers.
 
-    Every later call of a conversation needs the result of its first one.
+    Every later call of a conversation needs the result of its first one. Rows without a turn stand
+    nowhere: a user's is a call with an identity of its own and arguments that lack the turn, an
+    assistant's a result of no call.
     """
     ident = F.format_string("call-%d-%d", "conv_id", "turn")
+    mark = F.md5(F.coalesce("text", F.lit("-")).cast("binary"))
+    astray = conversations.where("turn is null and conv_id is not null").select("conv_id", "role", "text", mark.alias("mark"))
+    astray = numbered(astray, ["conv_id", "role", "mark"], ["mark"], "number")
+    own = F.concat_ws("-", F.lit("astray"), "mark", F.col("number").cast("string")).alias("call_id")
+    nothing = F.array().cast("array<string>")
+
     asked = conversations.where("role = 'user' and conv_id is not null and turn is not null")
     first = asked.groupBy("conv_id").agg(F.min("turn").alias("first"))
     calls = asked.join(first, "conv_id").select(
@@ -177,10 +185,12 @@ def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         ident.alias("call_id"),
         F.lit("reply").alias("name"),
         F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
-        F.when(F.col("turn") > F.col("first"), F.array(F.format_string("call-%d-%d", "conv_id", "first")))
-        .otherwise(F.array().cast("array<string>"))
-        .alias("needs"),
+        F.when(F.col("turn") > F.col("first"), F.array(F.format_string("call-%d-%d", "conv_id", "first"))).otherwise(nothing).alias("needs"),
     )
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt")))
+    more = astray.where("role = 'user'").select("conv_id", own, F.lit("reply").alias("name"), arguments.alias("arguments"), nothing.alias("needs"))
     before = F.format_string("call-%d-%d", F.col("conv_id"), F.col("turn") - 1)
-    results = conversations.where("role = 'assistant'").select("conv_id", before.alias("call_id"), F.col("text").alias("content"))
-    return calls, results
+    answers = conversations.where("role = 'assistant' and turn is not null")
+    results = answers.select("conv_id", before.alias("call_id"), F.col("text").alias("content"))
+    lost = astray.where("role = 'assistant'").select("conv_id", own, F.col("text").alias("content"))
+    return calls.unionByName(more), results.unionByName(lost)

@@ -48,6 +48,11 @@ def test_turns_and_empty_tables(spark):
     turns = [(1, 0, "system", "s", ""), (1, 1, "user", "q", ""), (1, 2, "assistant", "r", ""), (1, 3, "user", "", ""), (2, 0, "user", None, ""), (None, 0, "user", "x", "")]
     found = linked_calls(*calls_of_turns(spark.createDataFrame(turns, schema)), TURN_SCHEMAS).collect()
     assert {r.call_id: r.status for r in found} == {"call-1-1": "ok", "call-1-3": "invalid", "call-2-0": "invalid"}
+    astray = [(1, None, "assistant", t, "") for t in ("x", "x", "y", None)] + [(1, None, "user", "u", ""), (1, None, "user", "u", ""), (1, None, "system", "u", "")]
+    found = linked_calls(*calls_of_turns(spark.createDataFrame(turns + astray, schema)), TURN_SCHEMAS).collect()
+    assert sorted(r.status for r in found if r.call_id.startswith("astray")) == ["invalid"] * 2 + ["orphan"] * 4 and len(found) == 3 + 6
+    contents = sorted(str(json.loads(r.line)["result"]["content"]) for r in found if r.status == "orphan")
+    assert contents == ["None", "x", "x", "y"]
     empty = calls_of_turns(spark.createDataFrame([], schema))
     assert linked_calls(*empty, TURN_SCHEMAS).count() == 0
 
