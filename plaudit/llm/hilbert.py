@@ -14,12 +14,14 @@ from plaudit.llm.vectors import doubles, matrix, unit
 from plaudit.sources.shared import saved
 
 # Curves, the dimensions and bits of each, and the share of all rows in a query's window.
-CURVES = 8
-DIMENSIONS = 4
-BITS = 8
-WINDOW = 0.45
-# Rows of one run of a curve; rows that the runs' borders are taken from.
+CURVES = 16
+DIMENSIONS = 6
+BITS = 6
+WINDOW = 0.06
+# Rows of one run of a curve, and queries that look at them at a time.
 RUN = 2048
+QUERIES = 4096
+# Rows that the runs' borders are taken from, at least ten for each run.
 SAMPLE_ROWS = 50_000
 
 
@@ -103,7 +105,9 @@ def nearest(
     rows by (curve, run), and a query also goes to the runs around its own, which hold the share
     ``window`` of all rows. A run ranks its rows for its queries by the cosine on the original
     vectors; the best of all runs and curves are merged. Rows of one place on a curve are parted
-    by a hash, so that no run can be filled by a crowd.
+    by a hash, so that no run can be filled by a crowd. Rows and queries of a run are dealt into
+    blocks of bounded size, every block of rows meeting every block of queries, so that neither more
+    vectors nor more queries make a group larger.
 
     The window is a share of the rows because unlike vectors of many dimensions have no closer
     neighbourhood to look in: recall is then the same at every size. Of equal vectors only the
@@ -135,6 +139,9 @@ def nearest(
         )
     borders = _borders(points, total, curves.count)
     runs = [len(b) + 1 for b in borders]
+    row_blocks = -(-total // (RUN * min(runs))) if min(runs) > 1 else 1
+    reached = queries.count() * min(1.0, window + 2 / min(runs))
+    query_blocks = max(1, -(-int(reached) // QUERIES))
 
     def dealt(df: DataFrame, reach: bool, role: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +158,17 @@ def nearest(
                         elif reach:
                             # At an end of the curve the window keeps its size.
                             there = np.clip(own, around, runs[c] - 1 - around) + step
-                        good = pa.array(np.flatnonzero((there >= 0) & (there < runs[c])))
-                        part = batch.take(good)
-                        run_ids = there[good.to_numpy()] * curves.count + c
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(run_ids, pa.int64()), pa.array(np.full(len(run_ids), role), pa.int32()), part.column(0), part.column(2)],
-                            names=["run", "role", "vec_id", "vector"],
-                        )
+                        good = np.flatnonzero((there >= 0) & (there < runs[c]))
+                        part = batch.take(pa.array(good))
+                        run_ids = there[good] * curves.count + c
+                        own_block, others = (spots[good] % query_blocks, row_blocks) if reach else (spots[good] % row_blocks, query_blocks)
+                        for other in range(others):
+                            rows_at, asked_at = (other, own_block) if reach else (own_block, other)
+                            group = (run_ids * row_blocks + rows_at) * query_blocks + asked_at
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(group, pa.int64()), pa.array(np.full(len(group), role), pa.int32()), part.column(0), part.column(2)],
+                                names=["run", "role", "vec_id", "vector"],
+                            )
 
         return df.mapInArrow(run, "run long, role int, vec_id long, vector array<double>")
 
@@ -209,7 +220,7 @@ def _borders(points: DataFrame, total: int, count: int) -> list[np.ndarray]:
     drawn = points.where(F.pmod(F.xxhash64("spot"), F.lit(1 << 30)) < int(share * (1 << 30))).select("keys", "spot")
     rows = drawn.limit(2 * SAMPLE_ROWS).toPandas()
     keys = np.array(rows["keys"].tolist(), np.int64).reshape(-1, count)
-    runs = min(-(-total // RUN), 1 << 16)
+    runs = min(-(-total // RUN), SAMPLE_ROWS // 10)
     found = []
     for c in range(count):
         ordered = np.sort(_fine(keys[:, c], rows["spot"].to_numpy()))
