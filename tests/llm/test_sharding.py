@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 from helpers import DOCUMENTS, odd_documents, row, texts
@@ -51,5 +52,33 @@ def test_near_equal_and_a_giant_alone(spark):
     assert giant == 300 * 201 and max(sizes[1:]) <= 1.05 * sum(sizes[1:]) / 15
 
 
+def test_cut_at_the_least_capacity(spark):
+    """Plain greedy filling over all groups, capacity after capacity."""
+    kinds = texts(14, 300, 15)
+    rows = [row(i, kinds[i * i % 300][: 20 + i % 70]) for i in range(900)]
+    groups = {}
+    for r in rows:
+        key = hashlib.md5(r[1].encode()).hexdigest()
+        groups[key] = groups.get(key, 0) + len(r[1].encode()) + 1
+    order = sorted(groups)
+
+    def needed(capacity):
+        used, room = 0, 0
+        for key in order:
+            if groups[key] > room:
+                used, room = used + 1, capacity
+            room -= groups[key]
+        return used
+
+    least = next(c for c in range(max(groups.values()), sum(groups.values())) if needed(c) <= 16)
+    found = shard_by_bytes(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    check(rows, found, 16)
+    of_doc = {r.doc_id: r.shard for r in found}
+    assert max(sum(r["size"] for r in found if r.shard == s) for s in range(16)) == least
+    shard_of = {hashlib.md5(r[1].encode()).hexdigest(): of_doc[r[0]] for r in rows}
+    shards = [shard_of[key] for key in order]
+    assert shards == sorted(shards)
+
+
 def test_empty_table(spark):
     assert shard_by_bytes(spark.createDataFrame([], DOCUMENTS)).count() == 0
