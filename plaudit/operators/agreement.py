@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plaudit.functions.scalars import int_div
+from plaudit.operators.averages import user_helpfulness
 from plaudit.operators.skew import counts_of, dealt, hot_keys
 from plaudit.schema import PEER_THRESHOLD
 from plaudit.sources.shared import saved
@@ -403,6 +404,13 @@ def users_of_classes(close: DataFrame, firsts: DataFrame, members: DataFrame) ->
     return pairs.withColumn("uid_2", F.explode("uids_2")).drop("uids_2", "block_1", "block_2").filter(F.col("uid_1") != F.col("uid_2"))
 
 
+def _on_items_of(reviews: DataFrame, users: DataFrame) -> DataFrame:
+    """The reviews, by anybody, of the items that ``users(user_id)`` reviewed."""
+    theirs = reviews.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    items = saved(theirs.select("item_id").distinct())
+    return reviews.join(items, "item_id", "left_semi")
+
+
 def agreement_edges(
     reviews: DataFrame,
     threshold: float = PEER_THRESHOLD,
@@ -416,11 +424,17 @@ def agreement_edges(
 
     ``overlap`` counts the pairs of reviews of a common item. With helpfulness, ``help_1`` and
     ``help_diff`` (second minus first) are added; ``positive_only`` keeps gains. ``users(user_id)``
-    asks for pairs with these first users only; the result for everybody is pairwise and can be
-    as large as that.
+    asks for pairs with these first users only, and only reviews of items that they reviewed are
+    compared then; the result for everybody is pairwise and can be as large as that.
     """
     rated = with_helpfulness or positive_only
-    ledger = open_ledger(reviews, rated, hot_least, hot_count)
+    if users is None:
+        ledger = open_ledger(reviews, rated, hot_least, hot_count)
+        named = ledger.users.drop("reviews")
+    else:
+        ledger = open_ledger(_on_items_of(reviews, users), False, hot_least, hot_count)
+        named = ledger.users.select("uid", "user_id")
+        named = named.join(user_helpfulness(reviews), "user_id") if rated else named
     chosen = numbers_of(ledger, users)
     known = None if ledger.crowd is None else class_pairs(ledger.crowd, threshold, chosen)
     listed = neighbour_pairs(ledger, threshold, known, chosen)
@@ -433,8 +447,8 @@ def agreement_edges(
         hot_only = users_of_classes(close, firsts, members).join(listed, ["uid_1", "uid_2"], "left_anti")
         edges = edges.unionByName(hot_only.withColumn("overlap", F.col("hot_overlap")).select(shape))
     for k in (1, 2):
-        named = {"uid": f"uid_{k}", "user_id": f"user_{k}", "help": f"help_{k}"}
-        edges = edges.join(ledger.users.drop("reviews").withColumnsRenamed(named), f"uid_{k}")
+        names = {"uid": f"uid_{k}", "user_id": f"user_{k}", "help": f"help_{k}"}
+        edges = edges.join(named.withColumnsRenamed(names), f"uid_{k}")
     help_diff = F.col("help_2") - F.col("help_1")
     if positive_only:
         edges = edges.filter(help_diff > 0)
