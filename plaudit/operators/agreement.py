@@ -37,7 +37,10 @@ from plaudit.sources.shared import saved
 # user); the ordinary join cuts it into slots of that size.
 HOT_ITEM_ENTRIES = 2_048
 # Numbers of largest items that are weighed against each other as the hot ones.
-HOT_COUNTS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 256)
+HOT_COUNTS = (0, 1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
+# Bits of a mask of hot items, and masks of a class. With more hot items some share a bit.
+MASK_BITS = 64
+MASKS = 4
 # Records on one hot item that one task takes as first side when classes are matched.
 CLASS_SLOT = 256
 # Members of a class, from which it is cut into blocks for making pairs of users.
@@ -51,12 +54,15 @@ def user_items(reviews: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Crowd:
-    """Classes of users alike on the hot items: ``members`` (uid, class_id and ``masks``, a bit for each
-    hot item that the class knows) and ``lines`` (class_id, item_id, score, n, latest), what the classes say."""
+    """Classes of users alike on the hot items: ``members`` (uid, class_id and ``masks`` with the bits of the
+    hot items that the class knows), ``lines`` (class_id, item_id, score, n, latest), what the classes say,
+    and ``known`` (class_id, hots), the numbers of their hot items. ``exact`` if each has a bit of its own."""
 
     members: DataFrame
     lines: DataFrame
+    known: DataFrame
     masks: list[str]
+    exact: bool
 
 
 @dataclass(frozen=True)
@@ -142,27 +148,32 @@ def _sizes(entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def _cheapest(entries: DataFrame, top: list, squares: float) -> int:
     """How many of the ``top`` items, largest first, to take out of the join.
 
-    An item in the join makes as many pairs as the square of its entries. Hot items make pairs of
-    classes instead: users alike on all of them. Classes multiply with every further item, so
-    their number is estimated for each candidate, in one pass over the top items' entries.
+    An item in the join makes as many pairs as the square of its entries. A hot item makes pairs of
+    the classes that know it instead: users alike on all hot items. Classes multiply with every further
+    item, so their number is estimated for each candidate and item, in one pass over the top items' entries.
     """
-    counts = [k for k in HOT_COUNTS if k < len(top)] + [len(top)]
-    ranks = F.create_map(*[F.lit(x) for i, row in enumerate(top) for x in (row.item_id, i)])
-    ranked = entries.filter(F.col("item_id").isin([row.item_id for row in top])).withColumn("i", ranks[F.col("item_id")])
+    counts = [k for k in HOT_COUNTS if 0 < k < len(top)] + [len(top)]
     entry = F.struct("i", "score", "n", "latest")
+    ranked = entries.join(_numbers(entries, top), "item_id")
     records = ranked.groupBy("uid").agg(F.sort_array(F.collect_list(entry)).alias("record"))
 
-    def classes(k: int) -> Column:
-        own = F.filter("record", lambda e: e["i"] < k)
-        return F.approx_count_distinct(F.when(F.size(own) > 0, F.xxhash64(own))).alias(f"k{k}")
+    def prefix(k: int) -> Column:
+        return F.xxhash64(F.filter("record", lambda e: e["i"] < k)).alias(f"k{k}")
+
+    lines = records.select(F.explode(F.array_distinct("record.i")).alias("i"), *map(prefix, counts))
+    classes = lines.groupBy("i").agg(
+        *[F.approx_count_distinct(F.when(F.col("i") < k, F.col(f"k{k}"))).alias(f"k{k}") for k in counts]
+    )
+    met = classes.agg(*[F.sum(F.col(f"k{k}").cast("double") ** 2).alias(f"k{k}") for k in counts]).first()
+    sizes = [float(row.entries) ** 2 for row in top]
+    costs = {0: squares} | {k: (met[f"k{k}"] or 0.0) + squares - sum(sizes[:k]) for k in counts}
+    return min(costs, key=costs.get)
 
-    found = records.agg(*map(classes, counts)).first()
-    sizes = [float(row.entries) for row in top]
-    costs = {}
-    for k in counts:
-        n = float(found[f"k{k}"])
-        costs[k] = n * n + sum(min(n, m) ** 2 for m in sizes[:k]) + squares - sum(m * m for m in sizes[:k])
-    return min(counts, key=costs.get)
+
+def _numbers(df: DataFrame, items: list) -> DataFrame:
+    """``item_id, i`` of the ``items``, of which there are no more than the largest of ``HOT_COUNTS`` and one."""
+    rows = [(item if isinstance(item, str) else item.item_id, i) for i, item in enumerate(items)]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "item_id string, i int"))
 
 
 def _slotted(
@@ -180,21 +191,23 @@ def _slotted(
 
 def _crowd(entries: DataFrame, hot: list[str]) -> Crowd:
     """Number the distinct hot-item records. A record is one user's scores of the hot items."""
+    numbered = entries.join(_numbers(entries, hot), "item_id")
     entry = F.struct("item_id", "score", "n", "latest")
-    records = entries.groupBy("uid").agg(F.sort_array(F.collect_list(entry)).alias("record"))
-    masks = {f"mask_{i // 64}": hot[i : i + 64] for i in range(0, len(hot), 64)}
-
-    def mask(items: list[str]) -> Column:
-        bits = F.create_map(*[F.lit(x) for k, item in enumerate(items) for x in (item, 1 << k if k < 63 else -(1 << 63))])
-        bits = bits.cast("map<string,bigint>")
-        own = F.filter(F.array_distinct(F.col("record.item_id")), lambda item: item.isin(items))
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda all_, item: all_.bitwiseOR(bits[item]))
-
-    classes = records.select("record").distinct().withColumn("class_id", F.monotonically_increasing_id())
-    classes = saved(classes.withColumns({name: mask(items) for name, items in masks.items()}))
-    members = saved(records.join(classes, "record").select("uid", "class_id", *masks))
+    records = numbered.groupBy("uid").agg(
+        F.sort_array(F.collect_list(entry)).alias("record"), F.sort_array(F.collect_set("i")).alias("hots")
+    )
+
+    def mask(j: int) -> Column:
+        own = F.filter("hots", lambda i: F.floor(i / MASK_BITS) % MASKS == j)
+        one = F.lit(1).cast("bigint")
+        return F.aggregate(own, one - one, lambda bits, i: bits.bitwiseOR(F.call_function("shiftleft", one, i % MASK_BITS)))
+
+    masks = [f"mask_{j}" for j in range(min(MASKS, -(-len(hot) // MASK_BITS)))]
+    classes = records.select("record", "hots").distinct().withColumn("class_id", F.monotonically_increasing_id())
+    classes = saved(classes.withColumns({name: mask(j) for j, name in enumerate(masks)}))
+    members = saved(records.join(classes, ["record", "hots"]).select("uid", "class_id", *masks))
     lines = saved(classes.select("class_id", F.inline("record")))
-    return Crowd(members, lines, list(masks))
+    return Crowd(members, lines, classes.select("class_id", "hots"), masks, len(hot) <= MASK_BITS * MASKS)
 
 
 def class_pairs(crowd: Crowd, threshold: float, asked: DataFrame | None = None) -> DataFrame:
@@ -277,7 +290,7 @@ def _of_classes(crowd: Crowd | None) -> dict[str, Column]:
     return {"class_1": F.max("class_id_1"), "class_2": F.max("class_id_2"), "meets": F.max(common)}
 
 
-def gaining_pairs(ledger: Ledger, known: DataFrame | None) -> DataFrame:
+def gaining_pairs(ledger: Ledger, threshold: float, known: DataFrame | None) -> DataFrame:
     """Pairs with a common ordinary item whose second user is the more helpful: uid_1, uid_2,
     ``gain``, ``degree`` and, with a crowd, ``hot_degree`` as their classes alone would have it.
     ``known`` are the pairs of classes.
@@ -287,7 +300,7 @@ def gaining_pairs(ledger: Ledger, known: DataFrame | None) -> DataFrame:
     gain = F.col("help_2") - F.col("help_1")
     classes = _of_classes(ledger.crowd)
     pairs = _directed(ledger.first, ledger.second, gain > 0, gain=F.max(gain), **classes)
-    return _with_degree(pairs, known)
+    return _with_degree(pairs, threshold, known, ledger.crowd)
 
 
 def numbers_of(ledger: Ledger, users: DataFrame | None) -> DataFrame | None:
@@ -314,7 +327,7 @@ def neighbour_pairs(
     if chosen is not None:
         first, second = asked_sides(ledger, chosen)
         pairs = _directed(first, second, F.col("uid_1") != F.col("uid_2"), with_overlap=True, **classes)
-        pairs = _with_degree(pairs, known)
+        pairs = _with_degree(pairs, threshold, known, crowd)
         return pairs if crowd is not None else pairs.filter(F.col("degree") <= threshold)
     totals = {"overlap": F.sum(F.col("n_1") * F.col("n_2"))}
     for k, other in ((1, 2), (2, 1)):
@@ -343,7 +356,8 @@ def neighbour_pairs(
             *(["meets"] if classes else []),
         )
 
-    pairs = _with_degree(met.select(F.inline(F.array(direction(1, 2), direction(2, 1)))), known)
+    both = met.select(F.inline(F.array(direction(1, 2), direction(2, 1))))
+    pairs = _with_degree(both, threshold, known, crowd)
     return pairs if crowd is not None else pairs.filter(F.col("degree") <= threshold)
 
 
@@ -353,29 +367,36 @@ def asked_sides(ledger: Ledger, chosen: DataFrame) -> tuple[DataFrame, DataFrame
     return first, ledger.second.join(first.select("item_id").distinct(), "item_id", "left_semi")
 
 
-def _with_degree(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+def _with_degree(pairs: DataFrame, threshold: float, known: DataFrame | None, crowd: Crowd | None) -> DataFrame:
     """Replace ``gap`` and ``n`` by ``degree``, with what the classes of a pair add to it.
 
-    A pair that meets on a hot item while its classes are not ``known`` disagrees there where only
-    exact agreement counts: it has no degree.
+    Where only exact agreement counts, a pair that meets on a hot item while its classes are not
+    ``known`` disagrees there: it has no degree. Where hot items share bits, the pairs that this could
+    decide are looked up by the hot items themselves.
     """
-    if known is None:
+    if crowd is None:
         return pairs.withColumn("degree", F.col("gap") / F.col("n")).drop("gap", "n")
     zero = F.lit(0)
+    # Pairs that do not meet have no classes to look for: numbers below 0, which no class has, part them.
+    apart = -1 - F.pmod(F.xxhash64("uid_1", "uid_2"), F.lit(1 << 30))
+    pairs = pairs.withColumn("class_1", F.when(F.col("meets"), F.col("class_1")).otherwise(apart))
+    pairs = pairs.join(known, ["class_1", "class_2"], "left")
+    apart_by_class = F.lit(False)
+    if threshold <= 0:
+        apart_by_class = F.col("hot_n").isNull() & F.col("meets")
+        if not crowd.exact:
+            doubtful = apart_by_class & (F.col("gap") == 0)
+            for k in (1, 2):
+                asked = F.when(doubtful, F.col(f"class_{k}")).otherwise(apart)
+                hots = crowd.known.withColumnsRenamed({"class_id": f"asked_{k}", "hots": f"hots_{k}"})
+                pairs = pairs.withColumn(f"asked_{k}", asked).join(hots, f"asked_{k}", "left").drop(f"asked_{k}")
+            pairs = pairs.withColumn("meets", F.coalesce(F.arrays_overlap("hots_1", "hots_2"), F.col("meets"))).drop("hots_1", "hots_2")
     gap = F.col("gap") + F.coalesce("hot_gap", zero)
     n = F.col("n") + F.coalesce("hot_n", zero)
-    degree = F.when(F.col("hot_n").isNotNull() | ~F.col("meets"), gap / n)
-    full = {"degree": degree, "hot_degree": F.col("hot_gap") / F.col("hot_n")}
+    full = {"degree": F.when(~apart_by_class, gap / n), "hot_degree": F.col("hot_gap") / F.col("hot_n")}
     if "overlap" in pairs.columns:
         full["overlap"] = F.col("overlap") + F.coalesce("hot_overlap", zero)
-    # Pairs that do not meet have no classes to look for: numbers below 0, which no class has, part them.
-    apart = -1 - F.pmod(F.xxhash64("uid_1", "uid_2"), F.lit(1 << 30))
-    pairs = pairs.withColumn("class_1", F.when(F.col("meets"), F.col("class_1")).otherwise(apart))
-    return (
-        pairs.join(known, ["class_1", "class_2"], "left")
-        .withColumns(full)
-        .drop("gap", "n", "hot_gap", "hot_n", "class_1", "class_2", "meets")
-    )
+    return pairs.withColumns(full).drop("gap", "n", "hot_gap", "hot_n", "class_1", "class_2", "meets")
 
 
 def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:

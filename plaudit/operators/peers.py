@@ -34,7 +34,7 @@ def peer_rank(
         raise ValueError(f"unknown weight: {weight}")
     ledger = open_ledger(reviews, True, hot_least, hot_count)
     known = None if ledger.crowd is None else class_pairs(ledger.crowd, threshold)
-    pairs = gaining_pairs(ledger, known)
+    pairs = gaining_pairs(ledger, threshold, known)
 
     def terms(degree: Column) -> tuple[Column, Column]:
         peer = degree <= threshold

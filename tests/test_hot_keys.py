@@ -4,7 +4,7 @@ import random
 from statistics import median
 
 import pytest
-from fixtures import frame
+from fixtures import Brute, frame
 from pyspark.sql import functions as F
 
 import plaudit as p
@@ -122,3 +122,34 @@ def test_classes_become_pairs_of_users_block_by_block(spark, monkeypatch):
     want = close.join(one, "class_1").join(two, "class_2").filter("uid_1 <> uid_2")
     columns = ["class_1", "class_2", "uid_1", "uid_2", "degree"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
+def test_a_thousand_large_items_are_hot(spark):
+    """Each user knows one of them, so classes are few, and none is joined user by user."""
+    rng = random.Random(3)
+    rows = [(f"h{k}", f"u{k}-{j}", rng.randint(1, 3), 1, 2, j, 0) for k in range(1000) for j in range(12)]
+    rows += [(f"i{k % 500}", f"u{k}-0", rng.randint(1, 3), 1, 2, k, 0) for k in range(1000)]
+    reviews = frame(spark, rows)
+    ledger = open_ledger(reviews, hot_least=10)
+    assert ledger.crowd is not None and not ledger.crowd.exact
+    assert ledger.crowd.known.select(F.explode("hots")).distinct().count() == 1000
+    assert ledger.first.filter("item_id like 'h%'").isEmpty()
+    shape = ["user_1", "user_2", "degree", "overlap"]
+    for threshold in (0.0, 0.9):
+        got = p.agreement_edges(reviews, threshold, hot_least=10).select(shape)
+        want = p.agreement_edges(reviews, threshold).select(shape)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_hot_items_that_share_a_bit(spark, monkeypatch):
+    """With one bit for all hot items, pairs that may meet are looked up."""
+    monkeypatch.setattr(agreement, "MASK_BITS", 1)
+    monkeypatch.setattr(agreement, "MASKS", 1)
+    rng = random.Random(4)
+    rows = [(f"h{rng.randrange(6)}", f"u{rng.randrange(60)}", rng.randint(1, 2), 1, 2, k, 0) for k in range(200)]
+    rows += [(f"i{rng.randrange(40)}", f"u{rng.randrange(60)}", rng.randint(1, 2), 1, 2, k, 0) for k in range(200)]
+    brute = Brute(rows)
+    edges = p.agreement_edges(frame(spark, rows), 0.0, hot_least=10, hot_count=6).collect()
+    assert {(r.user_1, r.user_2): r.degree for r in edges} == brute.edges(0.0)
+    got = {(r.user_id, r.item_id): r.predicted for r in p.suggest(frame(spark, rows), "overlap", hot_least=10, hot_count=6).collect()}
+    assert got == {k: pytest.approx(v) for k, v in brute.suggest("overlap").items()}
