@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plaudit.llm.common import numbered
+from plaudit.operators.skew import counts_of, hot_keys, split_join
 from plaudit.sources.shared import saved
 
 _TYPES = {
@@ -52,24 +53,52 @@ def canonical(value) -> str:
 def _levels(calls: DataFrame) -> DataFrame:
     """``node, level``: how many calls must come one after the other before this one; null in or behind a cycle.
 
-    Calls without open needs leave, round by round, and so do the needs on them: Kahn's order,
-    as many rounds as the longest chain of needs.
+    Calls with one need stand in chains: each points to its need and, round by round, to where that one
+    points, so a chain is walked in the logarithm of its length. Left are the calls that need
+    none or several: they leave in Kahn's order, as many rounds as the longest chain of calls with several needs.
     """
     nodes = calls.select("node")
     needs = calls.select("node", "conv_id", F.explode("needs").alias("call_id")).distinct()
     known = calls.select("conv_id", "call_id", F.col("node").alias("on"))
-    open_ = saved(needs.join(known, ["conv_id", "call_id"]).select("node", "on"))
-    waiting = open_.select("node").distinct()
-    done = saved(nodes.join(waiting, "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
-    last, level = done.select(F.col("node").alias("on")), 0
+    edges = saved(needs.join(known, ["conv_id", "call_id"]).select("node", "on"))
+    single = edges.groupBy("node").agg(F.count("*").alias("n"), F.min("on").alias("on")).where("n = 1").select("node", "on")
+    chain = saved(single.withColumn("steps", F.lit(1).cast("long")))
+    ends = saved(nodes.join(chain, "node", "left_anti"))
+    zero = F.lit(0).cast("long")
+    rounds = max(1, chain.count()).bit_length() + 1
+    for _ in range(rounds):
+        places = chain.unionByName(ends.select("node", F.col("node").alias("on"), zero.alias("steps")))
+        places = places.select(F.col("node").alias("on"), F.col("on").alias("next"), F.col("steps").alias("more"))
+        moved = split_join(chain, places, ["on"], hot_keys(counts_of(chain, ["on"])), ["node"])
+        moved = saved(moved.select("node", F.col("next").alias("on"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("goes_on")))
+        chain = moved.drop("goes_on")
+        if not moved.where("goes_on").limit(1).count():
+            break
+    # Who has not reached an end by now never will: its chain runs in a circle.
+    chain = chain.join(ends.withColumnRenamed("node", "on"), "on", "left_semi")
+
+    lead = chain.select(F.col("node").alias("on"), F.col("on").alias("end"), "steps")
+    several = edges.join(ends, "node", "left_semi").join(lead, "on", "left")
+    waits = F.coalesce("steps", zero) + 1
+    open_ = saved(several.select("node", F.coalesce("end", "on").alias("on"), waits.alias("waits")))
+    done = saved(ends.join(open_.select("node").distinct(), "node", "left_anti").withColumn("level", zero))
+    last = done
+    reached = None
     while open_.limit(1).count():
-        level += 1
-        left = saved(open_.join(last, "on", "left_anti"))
-        free = saved(open_.select("node").distinct().join(left.select("node").distinct(), "node", "left_anti"))
-        if not free.limit(1).count():
+        met = open_.join(last.withColumnRenamed("node", "on"), "on").select("node", (F.col("level") + F.col("waits")).alias("level"))
+        reached = met if reached is None else reached.unionByName(met)
+        left = saved(open_.join(last.select(F.col("node").alias("on")), "on", "left_anti"))
+        reached = saved(reached)
+        free = reached.join(left.select("node").distinct(), "node", "left_anti").groupBy("node").agg(F.max("level").alias("level"))
+        last = saved(free)
+        if not last.limit(1).count():
             break
-        done = done.unionByName(free.withColumn("level", F.lit(level).cast("long")))
-        open_, last = left, free.select(F.col("node").alias("on"))
+        done = done.unionByName(last)
+        reached = reached.join(last.select("node"), "node", "left_anti")
+        open_ = left
+    # Many calls may need the same one.
+    followers = split_join(chain, done.withColumnRenamed("node", "on"), ["on"], hot_keys(counts_of(chain, ["on"])), ["node"])
+    done = done.unionByName(followers.select("node", (F.col("level") + F.col("steps")).alias("level")))
     return nodes.join(done, "node", "left")
 
 

@@ -37,10 +37,20 @@ def test_links_order_and_states(spark):
         assert r.line == canonical(json.loads(r.line))
 
 
-def test_a_long_chain(spark):
-    calls = [call(1, str(i), needs=[str(i - 1)] if i else []) for i in range(12)]
+def test_long_chains_meet_and_circle(spark):
+    """A chain, two that meet and go on as one, and one that runs into a circle of three."""
+    calls = [call(1, str(i), needs=[str(i - 1)] if i else []) for i in range(70)]
+    calls += [call(2, f"a{i}", needs=[f"a{i - 1}"] if i else []) for i in range(9)] + [call(2, f"b{i}", needs=[f"b{i - 1}"] if i else []) for i in range(4)]
+    calls += [call(2, "m", needs=["a8", "b3"])] + [call(2, f"c{i}", needs=[f"c{i - 1}" if i else "m"]) for i in range(5)]
+    calls += [call(2, "d", needs=["c4", "b0", "m"]), call(2, "e", needs=["d"])]
+    calls += [call(3, f"x{i}", needs=[f"x{(i + 1) % 3}"]) for i in range(3)] + [call(3, f"y{i}", needs=[f"y{i - 1}" if i else "x0"]) for i in range(6)]
+    calls += [call(3, "self", needs=["self"]), call(3, "z", needs=["y2", "free"]), call(3, "free")]
     found = linked_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), SCHEMAS).collect()
-    assert {int(r.call_id): (r.level, r.position) for r in found} == {i: (i, i) for i in range(12)}
+    level = {(r.conv_id, r.call_id): r.level for r in found}
+    assert {i: level[1, str(i)] for i in range(70)} == {i: i for i in range(70)}
+    assert level[2, "m"] == 9 and [level[2, f"c{i}"] for i in range(5)] == [10, 11, 12, 13, 14] and level[2, "d"] == 15 and level[2, "e"] == 16
+    assert level[3, "free"] == 0 and all(v is None for (conv, i), v in level.items() if conv == 3 and i != "free")
+    assert sorted(r.position for r in found if r.conv_id == 1) == [level[1, str(i)] for i in range(70)]
 
 
 def test_turns_and_empty_tables(spark):
