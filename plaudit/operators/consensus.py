@@ -17,17 +17,14 @@ def _lifted(own: Column, group: Column) -> Column:
 def consensus_lift(reviews: DataFrame, item: str) -> DataFrame:
     """One row per review of ``item``: its author's helpfulness, lifted halfway to the mean
     of the reviews that gave the item the same score. Scores nobody voted on give no row."""
-    chosen = reviews.filter(F.col("item_id") == item).select("user_id", "score")
+    chosen = reviews.filter(F.col("item_id") == item).select("item_id", "user_id", "score")
     # An item has few different scores: their means are one row, looked up where the reviews are,
     # and the reviews of a common score need not meet in one task.
-    means = helpfulness_by_score(reviews, item).filter(F.col("score").isNotNull()).select(
-        F.lit(1).alias("_one"), F.struct("score", "mean_help").alias("entry")
-    )
-    means = means.groupBy("_one").agg(F.map_from_entries(F.collect_list("entry")).alias("means"))
+    means = helpfulness_by_score(reviews.filter((F.col("item_id") == item) & F.col("score").isNotNull()))
+    means = means.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("score", "mean_help"))).alias("means"))
     graded = (
         chosen.filter(F.col("score").isNotNull())
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(means), "_one")
+        .join(F.broadcast(means), "item_id")
         .select("user_id", F.try_element_at("means", F.col("score")).alias("mean_help"))
         .filter(F.col("mean_help").isNotNull())
     )
