@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plaudit.operators.skew import hot_keys, split_join
-from plaudit.sources.shared import saved
+from plaudit.sources.shared import fresh_path, saved, scratch
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def shares(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read from there; for what outlives the tables of a ``scratch``."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``: the label is the smallest node reachable.
 
@@ -36,22 +42,25 @@ def components(edges: DataFrame) -> DataFrame:
     its smallest one, in the second its smaller neighbours. A star's centre is the group minimum
     that a map-side aggregate finds, joined back to the edges, so that no neighbour list is ever
     gathered, and the edges of a node with a third of all are dealt over many tasks. Every
-    round is a stored table, so a lost executor costs one round at most. Rounds end when the
-    edges stay as they are. Null ends, loops and repeated edges change nothing; no edges, no rows.
+    round is a stored table, so a lost executor costs one round at most; they go when the result is
+    stored. Rounds end when the edges stay as they are. Null ends, loops and repeated edges change
+    nothing; no edges, no rows.
     """
-    state = saved(
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    mark = _mark(state)
-    while mark[0]:
-        state = saved(_small_star(_large_star(state)))
-        seen, mark = mark, _mark(state)
-        if seen == mark:
-            break
-    ends = state.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return ends.unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    path = fresh_path(edges.sparkSession, "table")
+    with scratch(edges.sparkSession):
+        state = saved(
+            edges.where("a is not null and b is not null and a <> b")
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            .distinct()
+        )
+        mark = _mark(state)
+        while mark[0]:
+            state = saved(_small_star(_large_star(state)))
+            seen, mark = mark, _mark(state)
+            if seen == mark:
+                break
+        ends = state.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        return stored(ends.unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), path)
 
 
 def _mark(edges: DataFrame) -> tuple:

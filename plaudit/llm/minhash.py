@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from plaudit.llm.common import components, in_groups
+from plaudit.llm.common import components, in_groups, stored
 from plaudit.operators.skew import hot_keys, split_join
 from plaudit.sources.shared import fresh_path, saved, scratch
 
@@ -26,8 +26,8 @@ BLOCK = 2048
 BLOCK_SHINGLES = 4_000_000
 # Words whose hashes a task keeps; a speed setting only.
 WORDS_KEPT = 400_000
-# Bits, 8 MB, that mark the documents whose texts are wanted.
-SIEVE_BITS = 1 << 26
+# Bits, 4 MB, that mark the documents whose texts are wanted.
+SIEVE_BITS = 1 << 25
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -305,15 +305,26 @@ def _bridges(maybe: DataFrame, stars: DataFrame, labels: DataFrame, sets: DataFr
     return in_groups(blocks, "block", compare, "a long, b long").select(*_ordered("a", "b")).distinct()
 
 
-def _labelled(marked: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``print, first_id, copies, node, label`` of every different shingle set of ``marked``; linked sets have one label."""
-    # A short number stands for a set from here on; it is stored, so it stays the same.
-    classes = saved(
-        marked.where("print is not null")
-        .groupBy("print")
-        .agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
+def _classes(docs: DataFrame, words: int, ident: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`signatures` without signatures, and the different sets, ``print, first_id, sig, copies, node``.
+
+    A short number, ``node``, stands for a set from here on; it is stored, so it stays the same.
+    """
+    spark = docs.sparkSession
+    rows_path, classes_path = fresh_path(spark, "table"), fresh_path(spark, "table")
+    with scratch(spark):
+        marked = saved(signatures(docs, words, ident))
+        classes = (
+            marked.where("print is not null")
+            .groupBy("print")
+            .agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
+            .withColumn("node", F.monotonically_increasing_id())
+        )
+        return stored(marked.drop("sig"), rows_path), stored(classes, classes_path)
+
+
+def _labelled(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``print, first_id, copies, node, label`` of the sets ``classes``; linked sets have one label."""
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = classes.select("node", "sig", band.alias("band")).select(
         "node", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket")
@@ -339,11 +350,6 @@ def _labelled(marked: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return classes.join(found, "node", "left").select("print", "first_id", "copies", "node", F.coalesce("label", "node").alias("label"))
 
 
-def _kept_only(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
@@ -361,8 +367,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     """
     path = fresh_path(docs.sparkSession, "table")
     with scratch(docs.sparkSession):
-        marked = saved(signatures(docs, words))
-        labelled = saved(_labelled(marked, docs, words, percent))
+        marked, classes = _classes(docs, words)
+        labelled = saved(_labelled(classes, docs, words, percent))
         least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
         named = labelled.join(least, "label").select("print", "component_id")
         # Documents of one set may be very many.
@@ -371,7 +377,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
         joined = split_join(rows.where("print is not null"), named, ["print"], hot, ["doc_id"])
         alone = rows.where("print is null").withColumn("component_id", F.col("doc_id"))
         result = joined.unionByName(alone).select("doc_id", "n_shingles", "component_id")
-        return _kept_only(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), path)
+        return stored(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), path)
 
 
 def representatives(docs: DataFrame, ident: str, words: int = 2, percent: int = 80) -> DataFrame:
@@ -382,9 +388,9 @@ def representatives(docs: DataFrame, ident: str, words: int = 2, percent: int =
     """
     path = fresh_path(docs.sparkSession, "table")
     with scratch(docs.sparkSession):
-        marked = saved(signatures(docs, words, ident))
+        marked, classes = _classes(docs, words, ident)
         order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "ident")
         first = marked.where("print is not null").groupBy("print").agg(F.min(order).alias("first"))
-        labelled = _labelled(marked, docs, words, percent).select("print", "label")
+        labelled = _labelled(classes, docs, words, percent).select("print", "label")
         chosen = labelled.join(first, "print").groupBy("label").agg(F.min("first").alias("first"))
-        return _kept_only(chosen.select(F.col("first.ident").alias(ident)), path)
+        return stored(chosen.select(F.col("first.ident").alias(ident)), path)
