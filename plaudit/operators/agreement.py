@@ -117,7 +117,8 @@ def open_ledger(
     scored = kept.drop("pct").filter(F.col("score").isNotNull())
     entries = scored.join(numbers, "user_id").drop("user_id")
 
-    large = _large_items(scored, hot_least)
+    # Rows without an item meet no others.
+    large = _large_items(scored.filter(F.col("item_id").isNotNull()), hot_least)
     most = max(HOT_COUNTS) if hot_count is None else hot_count
     top = large.orderBy(F.desc("entries"), "item_id").limit(most + 1).collect()
     if hot_count is None and top:

@@ -153,3 +153,12 @@ def test_hot_items_that_share_a_bit(spark, monkeypatch):
     assert {(r.user_1, r.user_2): r.degree for r in edges} == brute.edges(0.0)
     got = {(r.user_id, r.item_id): r.predicted for r in p.suggest(frame(spark, rows), "overlap", hot_least=10, hot_count=6).collect()}
     assert got == {k: pytest.approx(v) for k, v in brute.suggest("overlap").items()}
+
+
+def test_reviews_without_an_item(spark):
+    """They meet nothing, and make nothing hot."""
+    rows = [(None, f"u{k}", 3, 1, 2, k, 0) for k in range(50)] + [(f"i{k % 9}", f"u{k}", 3, 1, 2, k, 0) for k in range(50)]
+    with_hot = p.agreement_edges(frame(spark, rows), 0.0, hot_least=5, hot_count=3)
+    plain = p.agreement_edges(frame(spark, rows[50:]), 0.0)
+    shape = ["user_1", "user_2", "degree", "overlap"]
+    assert sorted(map(tuple, with_hot.select(shape).collect())) == sorted(map(tuple, plain.select(shape).collect()))
