@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from plaudit.operators.skew import hot_keys, split_join
+from plaudit.operators.skew import LEAST_ROWS, hot_keys, split_join
 from plaudit.sources.shared import fresh_path, saved, scratch
 
 
@@ -55,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         mark = _mark(state)
         while mark[0]:
-            state = saved(_small_star(_large_star(state)))
+            state = saved(_small_star(_large_star(state, mark[0]), mark[0]))
             seen, mark = mark, _mark(state)
             if seen == mark:
                 break
@@ -68,18 +68,28 @@ def _mark(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, key: str, by: str, rows: int) -> DataFrame:
+    """``edges``, at most ``rows``, with what ``least(key, m, n)`` knows of their node ``key``."""
+    if rows <= LEAST_ROWS:
+        # No node can have more edges than there are, and so few are never dealt.
+        return edges.join(least.drop("n"), key)
+    return split_join(edges, least.drop("n"), [key], hot_keys(least.select(key, "n")), [by])
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
     )
-    least = saved(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")))
-    larger = split_join(both.where("v > u"), least.drop("n"), ["u"], hot_keys(least.select("u", "n")), ["v"])
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    least = saved(least) if 2 * rows > LEAST_ROWS else least
+    larger = _with_least(both.where("v > u"), least, "u", "v", 2 * rows)
     return larger.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = saved(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
-    lower = split_join(edges, least.drop("n"), ["a"], hot_keys(least.select("a", "n")), ["b"]).where("b <> m")
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    least = saved(least) if rows > LEAST_ROWS else least
+    lower = _with_least(edges, least, "a", "b", rows).where("b <> m")
     lower = lower.select(F.col("b").alias("a"), F.col("m").alias("b"))
     return lower.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
