@@ -342,11 +342,13 @@ def _labelled(classes: DataFrame, docs: DataFrame, words: int, percent: int) ->
     labels = sigs.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     labels = saved(labels)
     maybe = saved(_maybe(bands.select("node", "bucket"), labels, sigs))
-    # Stars stand for the links they come from: far fewer, and most rounds are behind them.
-    stars = saved(found.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-    more = saved(_bridges(maybe, stars, labels, sets, percent))
-    if more.limit(1).count():
-        found = components(stars.unionByName(more))
+    # Without edges that may join components there is nothing more to compare.
+    if maybe.limit(1).count():
+        # Stars stand for the links they come from: far fewer, and most rounds are behind them.
+        stars = saved(found.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        more = saved(_bridges(maybe, stars, labels, sets, percent))
+        if more.limit(1).count():
+            found = components(stars.unionByName(more))
     return classes.join(found, "node", "left").select("print", "first_id", "copies", "node", F.coalesce("label", "node").alias("label"))
 
 
