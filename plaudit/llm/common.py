@@ -35,9 +35,11 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``: the label is the smallest node reachable.
 
+    The tables of rounds have ``files`` files at most, where the caller knows how few rows there are.
+
     Alternating large-star and small-star: in the first every node hands its larger neighbours
     its smallest one, in the second its smaller neighbours. A star's centre is the group minimum
     that a map-side aggregate finds, joined back to the edges, so that no neighbour list is ever
@@ -47,15 +49,19 @@ def components(edges: DataFrame) -> DataFrame:
     nothing; no edges, no rows.
     """
     path = fresh_path(edges.sparkSession, "table")
+
+    def kept(df: DataFrame) -> DataFrame:
+        return saved(df.coalesce(files) if files else df)
+
     with scratch(edges.sparkSession):
-        state = saved(
+        state = kept(
             edges.where("a is not null and b is not null and a <> b")
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .distinct()
         )
         mark = _mark(state)
         while mark[0]:
-            state = saved(_small_star(_large_star(state, mark[0]), mark[0]))
+            state = kept(_small_star(_large_star(state, mark[0]), mark[0]))
             seen, mark = mark, _mark(state)
             if seen == mark:
                 break

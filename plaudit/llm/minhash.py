@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from plaudit.llm.common import components, in_groups, stored
+from plaudit.llm.common import components, in_groups, shares, stored
 from plaudit.operators.skew import hot_keys, split_join
 from plaudit.sources.shared import fresh_path, saved, scratch
 
@@ -26,6 +26,8 @@ BLOCK = 2048
 BLOCK_SHINGLES = 4_000_000
 # Words whose hashes a task keeps; a speed setting only.
 WORDS_KEPT = 400_000
+# Sets whose bands and links go into one file of a table.
+SETS_TOGETHER = 4096
 # Bits, 4 MB, that mark the documents whose texts are wanted.
 SIEVE_BITS = 1 << 25
 
@@ -325,30 +327,36 @@ def _classes(docs: DataFrame, words: int, ident: str | None = None) -> tuple[Dat
 
 def _labelled(classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``print, first_id, copies, node, label`` of the sets ``classes``; linked sets have one label."""
+    # Tables have no more files than their rows need: each costs a task and a few calls of the file system.
+    files = shares(classes, SETS_TOGETHER)
+
+    def kept(df: DataFrame) -> DataFrame:
+        return saved(df.coalesce(files))
+
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     bands = classes.select("node", "sig", band.alias("band")).select(
         "node", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket")
     )
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    bands = saved(bands.join(shared, "bucket"))
-    reps = saved(bands.select("node").distinct().join(classes, "node"))
-    sets = saved(_full_sets(reps.select("node", "print", "first_id"), docs, words))
+    bands = kept(bands.join(shared, "bucket"))
+    reps = kept(bands.select("node").distinct().join(classes, "node"))
+    sets = kept(_full_sets(reps.select("node", "print", "first_id"), docs, words))
     sigs = reps.select("node", "sig")
 
     stars = bands.select("node", F.explode(F.array("low", "high")).alias("centre")).where("node <> centre")
-    pairs = saved(stars.select(*_ordered("node", "centre")).distinct())
-    links = saved(_confirmed(pairs, sigs, sets, percent))
-    found = components(links)
+    pairs = kept(stars.select(*_ordered("node", "centre")).distinct())
+    links = kept(_confirmed(pairs, sigs, sets, percent))
+    found = components(links, files)
     labels = sigs.select("node").join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    labels = saved(labels)
-    maybe = saved(_maybe(bands.select("node", "bucket"), labels, sigs))
+    labels = kept(labels)
+    maybe = kept(_maybe(bands.select("node", "bucket"), labels, sigs))
     # Without edges that may join components there is nothing more to compare.
     if maybe.limit(1).count():
         # Stars stand for the links they come from: far fewer, and most rounds are behind them.
-        stars = saved(found.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-        more = saved(_bridges(maybe, stars, labels, sets, percent))
+        stars = kept(found.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        more = kept(_bridges(maybe, stars, labels, sets, percent))
         if more.limit(1).count():
-            found = components(stars.unionByName(more))
+            found = components(stars.unionByName(more), files)
     return classes.join(found, "node", "left").select("print", "first_id", "copies", "node", F.coalesce("label", "node").alias("label"))
 
 
