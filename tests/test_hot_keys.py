@@ -162,3 +162,20 @@ def test_reviews_without_an_item(spark):
     plain = p.agreement_edges(frame(spark, rows[50:]), 0.0)
     shape = ["user_1", "user_2", "degree", "overlap"]
     assert sorted(map(tuple, with_hot.select(shape).collect())) == sorted(map(tuple, plain.select(shape).collect()))
+
+
+def test_no_item_is_paired_user_by_user_in_many_slots(spark, monkeypatch):
+    """Asked for slots only, an item of very many slots is hot all the same."""
+    rows = [("huge", f"u{k}", k % 3, 1, 2, k, 0) for k in range(200)] + [("large", f"u{k}", k % 3, 1, 2, k, 0) for k in range(30)]
+    ledger = open_ledger(frame(spark, rows), hot_least=10, hot_count=0)
+    assert {r.item_id for r in ledger.first.select("item_id").distinct().collect()} == {"large"}
+    monkeypatch.setattr(agreement, "MOST_SLOTS", 100)
+    slots = p.peer_rank(frame(spark, rows), hot_least=10, hot_count=0).collect()
+    monkeypatch.undo()
+    assert sorted(p.peer_rank(frame(spark, rows), hot_least=10, hot_count=0).collect()) == sorted(slots)
+
+
+def test_the_slots_query_reads_all_returns_as_one_item():
+    import __spark_entry__ as entry
+
+    assert entry.oracle_sql()["peer_rank_slots"] == entry.oracle_sql()["peer_rank_hot_item"]
