@@ -179,3 +179,19 @@ def test_the_slots_query_reads_all_returns_as_one_item():
     import __spark_entry__ as entry
 
     assert entry.oracle_sql()["peer_rank_slots"] == entry.oracle_sql()["peer_rank_hot_item"]
+
+
+def test_pairs_of_class_members_are_not_shuffled(spark, monkeypatch):
+    """Pairs to leave out are looked up per block; nothing is shuffled after pairs are made."""
+    monkeypatch.setattr(agreement, "MEMBER_BLOCK", 10)
+    members = spark.range(200).select(F.col("id").alias("uid"), (F.col("id") % 3).alias("class_id"), F.concat(F.lit("u"), "id").alias("user_id"))
+    close = spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.5), (2, 0, 0.0)], "class_1 long, class_2 long, degree double")
+    but = spark.createDataFrame([(0, 3), (0, 1), (2, 3), (1, 2), (6, 0)], "uid_1 long, uid_2 long")
+    got = users_of_classes(close, members.filter("uid < 30"), members, but)
+    want = {(a, b) for a in range(30) for b in range(200) if (a % 3, b % 3) in {(0, 0), (0, 1), (2, 0)} and a != b}
+    want -= {(0, 3), (0, 1), (2, 3), (6, 0)}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r.uid_1, r.uid_2) for r in rows} == want
+    assert all((r.user_id_1, r.user_id_2) == (f"u{r.uid_1}", f"u{r.uid_2}") for r in rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("posexplode")]
