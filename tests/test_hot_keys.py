@@ -195,3 +195,23 @@ def test_pairs_of_class_members_are_not_shuffled(spark, monkeypatch):
     assert all((r.user_id_1, r.user_id_2) == (f"u{r.uid_1}", f"u{r.uid_2}") for r in rows)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[: plan.index("posexplode")]
+
+
+def test_suggestions_of_a_class_are_summed_once(spark, monkeypatch):
+    """Only what a user's own pairs change is summed by user; items may be missing and offers in pieces."""
+    from plaudit.operators import suggestions
+
+    monkeypatch.setattr(suggestions, "OFFER_BLOCK", 5)
+    rng = random.Random(9)
+    rows = [("hot", f"u{k}", rng.randint(1, 2), 1, 2, k, 0) for k in range(80)]
+    rows += [(f"i{rng.randrange(40)}" if k % 9 else None, f"u{rng.randrange(90)}", rng.randint(1, 5), 1, 2, k, 0) for k in range(150)]
+    wide, summed = [], suggestions._means
+    monkeypatch.setattr(suggestions, "_means", lambda votes, *keys: wide.append(votes.count()) or summed(votes, *keys))
+    for neighbours in ("all", "overlap"):
+        got, want = (
+            {(r.user_id, r.item_id): pytest.approx(r.predicted) for r in p.suggest(frame(spark, rows), neighbours, hot_least=least, hot_count=1).collect()}
+            for least in (50, 10**6)
+        )
+        assert got == want and any(item is None for _, item in got)
+        assert max(wide[:2]) < len(got)
+        wide.clear()
