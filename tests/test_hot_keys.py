@@ -1,6 +1,7 @@
 """Hot keys are dealt over several tasks, and what cannot matter is not made."""
 
 import random
+import re
 from statistics import median
 
 import pytest
@@ -215,3 +216,25 @@ def test_suggestions_of_a_class_are_summed_once(spark, monkeypatch):
         assert got == want and any(item is None for _, item in got)
         assert max(wide[:2]) < len(got)
         wide.clear()
+
+
+@pytest.mark.parametrize("least", [10**6, 7])
+def test_pairs_are_added_up_where_lists_arrive(spark, monkeypatch, least):
+    """Pairs are shuffled once, in lists; large items make a grid and heavy users are dealt."""
+    monkeypatch.setattr(agreement, "PAIRS_OF_TASK", 500)
+    monkeypatch.setattr(agreement, "MOST_SLOTS", 10**6)
+    rng = random.Random(5)
+    rows = [(f"i{rng.randrange(30)}", f"u{rng.randrange(60)}" if k % 4 else "u0", rng.randint(1, 5), rng.randrange(5), 4, k, 0) for k in range(500)]
+    brute, reviews = Brute(rows), frame(spark, rows)
+    ledger = open_ledger(reviews, True, least, 0)
+    assert ledger.tasks > 3
+    pairs = agreement.gaining_pairs(ledger, 0.9, None)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert any("uid_1" in keys for keys in dealt) and not any("uid_2" in keys for keys in dealt)
+    for most in (4096, 20):
+        monkeypatch.setattr(skew, "LEAST_ROWS", most)
+        got = {r.user_id: r["rank"] for r in p.peer_rank(reviews, "divergence", hot_least=least, hot_count=0).collect()}
+        assert got == {k: pytest.approx(v) for k, v in brute.peer_rank("divergence").items()}
+        edges = {(r.user_1, r.user_2): r.degree for r in p.agreement_edges(reviews, 0.9, hot_least=least, hot_count=0).collect()}
+        assert edges == {k: pytest.approx(v) for k, v in brute.edges(0.9).items()}
