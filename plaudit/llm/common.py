@@ -45,8 +45,8 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     that a map-side aggregate finds, joined back to the edges, so that no neighbour list is ever
     gathered, and the edges of a node with a third of all are dealt over many tasks. Every
     round is a stored table, so a lost executor costs one round at most; they go when the result is
-    stored. Rounds end when the edges stay as they are. Null ends, loops and repeated edges change
-    nothing; no edges, no rows.
+    stored. Rounds end when the edges are stars, which no round changes. Null ends, loops and
+    repeated edges change nothing; no edges, no rows.
     """
     path = fresh_path(edges.sparkSession, "table")
 
@@ -59,19 +59,23 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .distinct()
         )
-        mark = _mark(state)
-        while mark[0]:
-            state = kept(_small_star(_large_star(state, mark[0]), mark[0]))
-            seen, mark = mark, _mark(state)
-            if seen == mark:
-                break
+        rows, stars = _state_of(state)
+        while not stars:
+            state = kept(_small_star(_large_star(state, rows), rows))
+            rows, stars = _state_of(state)
         ends = state.select(F.col("a").alias("node"), F.col("b").alias("label"))
         return stored(ends.unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), path)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _state_of(edges: DataFrame) -> tuple[int, bool]:
+    """The number of ``edges(a, b)``, which are distinct, and whether they are stars: each larger end
+    has one edge and is nobody's smaller end."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    row = nodes.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.max((F.col("ups") > 0) & (F.col("n") > 1))).first()
+    return row[0], not row[1]
 
 
 def _with_least(edges: DataFrame, least: DataFrame, key: str, by: str, rows: int) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from helpers import DOCUMENTS, near_copy, odd_documents, reach, row, shingles, texts
 
-from plaudit.llm import minhash
+from plaudit.llm import common, minhash
 from plaudit.llm.common import components
 from plaudit.llm.minhash import near_duplicates
 
@@ -54,3 +54,14 @@ def test_components(spark):
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(21), 0), **dict.fromkeys((30, 31, 32, 40), 30)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    rounds = []
+    large = common._large_star
+    monkeypatch.setattr(common, "_large_star", lambda edges, rows: rounds.append(rows) or large(edges, rows))
+    stars = spark.createDataFrame([(2, 1), (3, 1), (5, 4), (4, 5), (None, 7)], "a long, b long")
+    assert {r.node: r.label for r in components(stars).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+    assert not rounds
+    path = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {r.label for r in components(path).collect()} == {1} and len(rounds) == 1
