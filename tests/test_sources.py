@@ -146,3 +146,18 @@ def test_unknown_options(spark):
         p.load_reviews(spark, "x", source="avro")
     with pytest.raises(ValueError):
         p.to_reviews(spark.range(1), mode="lenient")
+
+
+def test_lines_of_other_fields_are_not_taken_apart(spark, tmp_path):
+    path = tmp_path / "r.txt"
+    path.write_text(FULL)
+    fields = p.parse_stanzas(p.read_stanzas(spark, str(path))).select("userId")
+    plan = fields._jdf.queryExecution().optimizedPlan().toString()
+    assert "named_struct" not in plan and "productId" not in plan
+    assert fields.first()[0] == "U1"
+
+
+def test_values_with_several_colons_and_lines_without_a_value(spark, tmp_path):
+    text = "a/userId/x/y: 1:: 2 :\t3 \nb/userIdx: no\nc:d/userId: no\nreview/summary:\nreview/text"
+    row = one(spark, text, tmp_path)
+    assert (row["user_id"], row["summary"], row["body"]) == ("123", "", "")
