@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import plaudit as p
 from plaudit.sources.shared import drop_saved, saved, shared_dir
+from plaudit.sources.tables import review_stanzas
 
 MEANS = {("A", "4.6"), ("B", "3.0"), ("C", "1.6666666666666667"), ("D", "4.0"), ("E", "2.0")}
 
@@ -138,3 +139,12 @@ def test_saved_tables_live_in_the_shared_folder_and_can_be_dropped(spark):
     assert df.count() == 10 and any(str(folder) in f for f in df.inputFiles())
     drop_saved(spark)
     assert not list(folder.glob("plaudit-*"))
+
+
+def test_records_of_a_named_job_are_stored_compressed(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(entry, "_records", lambda name: lambda spark, folder: review_stanzas(frame(spark, MICRO)))
+    rows = {(r.item_id, str(r.mean_score)) for r in entry.queries()["job_filmscore"](spark, "").collect()}
+    stored = list(Path(shared_dir(spark)).rglob("stanzas-*/part-*"))
+    assert rows == MEANS and stored and all(path.name.endswith(".gz") for path in stored)
