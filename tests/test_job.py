@@ -144,7 +144,8 @@ def test_saved_tables_live_in_the_shared_folder_and_can_be_dropped(spark):
 def test_records_of_a_named_job_are_stored_compressed(spark, monkeypatch):
     import __spark_entry__ as entry
 
-    monkeypatch.setattr(entry, "_records", lambda name: lambda spark, folder: review_stanzas(frame(spark, MICRO)))
+    reviews = frame(spark, MICRO).withColumn("helpfulness", F.concat_ws("/", "up_votes", "total_votes"))
+    monkeypatch.setattr(entry, "_records", lambda name: lambda spark, folder: review_stanzas(reviews))
     rows = {(r.item_id, str(r.mean_score)) for r in entry.queries()["job_filmscore"](spark, "").collect()}
     stored = list(Path(shared_dir(spark)).rglob("stanzas-*/part-*"))
     assert rows == MEANS and stored and all(path.name.endswith(".gz") for path in stored)
