@@ -238,3 +238,16 @@ def test_pairs_are_added_up_where_lists_arrive(spark, monkeypatch, least):
         assert got == {k: pytest.approx(v) for k, v in brute.peer_rank("divergence").items()}
         edges = {(r.user_1, r.user_2): r.degree for r in p.agreement_edges(reviews, 0.9, hot_least=least, hot_count=0).collect()}
         assert edges == {k: pytest.approx(v) for k, v in brute.edges(0.9).items()}
+
+
+def test_partitions_grow_with_the_reviews(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"i{rng.randrange(40)}", f"u{rng.randrange(60)}", rng.randint(1, 5), 1, 2, k, 0) for k in range(400)]
+    plain = sorted(p.peer_rank(frame(spark, rows)).collect())
+    monkeypatch.setattr(agreement, "REVIEWS_OF_TASK", 40)
+    ledger = open_ledger(frame(spark, rows), True)
+    assert ledger.parts == 10
+    met = agreement._met_in_lists(ledger, ledger.first, ledger.second, "help")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item_id" in plan and ", 10), REPARTITION_BY_NUM" in plan
+    assert sorted(p.peer_rank(frame(spark, rows)).collect()) == plain
