@@ -251,3 +251,30 @@ def test_partitions_grow_with_the_reviews(spark, monkeypatch):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(item_id" in plan and ", 10), REPARTITION_BY_NUM" in plan
     assert sorted(p.peer_rank(frame(spark, rows)).collect()) == plain
+
+
+def test_second_users_are_classed_by_their_latest_scores_alone(spark):
+    rng = random.Random(10)
+    rows = []
+    for k in range(300):
+        # One to four reviews of the hot item, whose latest decides about a second user.
+        for time in range(rng.randint(1, 4)):
+            rows.append(("hot", f"u{k}", rng.randint(1, 5), rng.randint(0, 5), 5, time, 0))
+        rows.append((f"i{rng.randrange(30)}", f"u{k}", rng.randint(1, 5), 1, 2, 9, 0))
+    reviews = frame(spark, rows)
+    ledger = open_ledger(reviews, True, hot_least=100, hot_count=1, by_latest=True)
+    assert ledger.second.filter("class_id is not null").select("class_id").distinct().count() == 5
+    known = class_pairs(ledger.crowd, 0.9, others=ledger.others)
+    firsts = ledger.crowd.lines.select("class_id").distinct().count()
+    assert known.count() == 5 * firsts < firsts * firsts / 4
+    brute = Brute(rows)
+    for weight in ("divergence", "agreement"):
+        got = {r.user_id: r["rank"] for r in p.peer_rank(reviews, weight, hot_least=100, hot_count=1).collect()}
+        assert got == {u: pytest.approx(v, abs=1e-9) for u, v in brute.peer_rank(weight).items()}
+
+
+def test_numbers_of_users_have_no_gaps(spark):
+    rows = [(f"i{k % 7}", f"u{k}", 1 + k % 5, 1, 2, k, 0) for k in range(500)]
+    users = open_ledger(frame(spark, rows).repartition(5)).users
+    assert dict(users.dtypes)["uid"] == "int"
+    assert sorted(row.uid for row in users.collect()) == list(range(500))
