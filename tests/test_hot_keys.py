@@ -278,3 +278,32 @@ def test_numbers_of_users_have_no_gaps(spark):
     users = open_ledger(frame(spark, rows).repartition(5)).users
     assert dict(users.dtypes)["uid"] == "int"
     assert sorted(row.uid for row in users.collect()) == list(range(500))
+
+
+def lone(seed, users=40):
+    rng = random.Random(seed)
+    return [(f"i{rng.randrange(30)}", f"u{rng.randrange(users)}", rng.choice((1, 2.5, 4)), rng.randint(0, 3), 3, k, 0) for k in range(300)]
+
+
+def test_pairs_are_shuffled_once_for_names(spark, as_planned):
+    rows = lone(11)
+    edges = p.agreement_edges(frame(spark, rows), 0.9, with_helpfulness=True)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin [uid_") == 2 and "MergeJoin [uid_" not in plan
+    # The pairs as they are dealt, the names of first users, and the pairs once more; names are shuffled once for both.
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(uid_" in line and "Reused" not in line]
+    assert [sum(f"(uid_{k}" in line for line in shuffles) for k in (1, 2)] == [2, 1]
+    brute = Brute(rows)
+    got = {(r.user_1, r.user_2): (r.degree, r.overlap, r.help_1, r.help_diff) for r in edges.collect()}
+    want = {(a, b): (d, brute.overlap(a, b), brute.help[a], brute.help[b] - brute.help[a]) for (a, b), d in brute.edges(0.9).items()}
+    assert got == {pair: pytest.approx(values, abs=1e-9) for pair, values in want.items()}
+
+
+@pytest.mark.parametrize("codes", [2, 127])
+def test_scores_are_bytes_in_lists_where_they_are_few(spark, monkeypatch, codes):
+    monkeypatch.setattr(agreement, "SCORE_CODES", codes)
+    rows = lone(12)
+    reviews = frame(spark, rows)
+    assert open_ledger(reviews).scores == ([1, 2.5, 4] if codes == 127 else [])
+    edges = {(r.user_1, r.user_2): r.degree for r in p.agreement_edges(reviews, 0.9).collect()}
+    assert edges == {pair: pytest.approx(v, abs=1e-9) for pair, v in Brute(rows).edges(0.9).items()}
