@@ -338,7 +338,8 @@ def _labelled(classes: DataFrame, docs: DataFrame, words: int, percent: int) ->
         "node", F.xxhash64("band", F.expr(f"substring(sig, band * {ROWS} + 1, {ROWS})")).alias("bucket")
     )
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    bands = kept(bands.join(shared, "bucket"))
+    # Spark takes the rows of an explode for as many as before it, 48 times too few, and would broadcast them.
+    bands = kept(bands.hint("merge").join(shared, "bucket"))
     reps = kept(bands.select("node").distinct().join(classes, "node"))
     sets = kept(_full_sets(reps.select("node", "print", "first_id"), docs, words))
     sigs = reps.select("node", "sig")

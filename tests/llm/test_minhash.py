@@ -65,3 +65,12 @@ def test_components_of_stars_take_no_round(spark, monkeypatch):
     assert not rounds
     path = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     assert {r.label for r in components(path).collect()} == {1} and len(rounds) == 1
+
+
+def test_exploded_bands_are_not_broadcast(spark, monkeypatch):
+    """They are estimated as if there was one band of each set, so a limit by size does not hold them back."""
+    plans, kept = [], minhash.saved
+    monkeypatch.setattr(minhash, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    near_duplicates(spark.createDataFrame(odd_documents(), DOCUMENTS))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [bucket" in line]
+    assert any("SortMergeJoin" in line for line in joins)
