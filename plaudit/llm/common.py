@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plaudit.operators.skew import LEAST_ROWS, hot_keys, split_join
-from plaudit.sources.shared import fresh_path, saved, scratch
+from plaudit.sources.shared import fresh_path, saved, scratch, stored
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,12 +29,6 @@ def shares(df: DataFrame, rows: int) -> int:
     return max(1, -(-df.count() // rows))
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written to ``path`` and read from there; for what outlives the tables of a ``scratch``."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``: the label is the smallest node reachable.
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 from statistics import median
 
 import pytest
@@ -13,6 +14,7 @@ from plaudit.operators import agreement, skew
 from plaudit.operators.agreement import asked_sides, class_pairs, numbers_of, open_ledger, users_of_classes
 from plaudit.operators.consensus import graded_reviews
 from plaudit.operators.skew import counts_of, hot_keys, split_join
+from plaudit.sources.shared import shared_dir
 
 
 def lopsided(n=30_000):
@@ -307,3 +309,16 @@ def test_scores_are_bytes_in_lists_where_they_are_few(spark, monkeypatch, codes)
     assert open_ledger(reviews).scores == ([1, 2.5, 4] if codes == 127 else [])
     edges = {(r.user_1, r.user_2): r.degree for r in p.agreement_edges(reviews, 0.9).collect()}
     assert edges == {pair: pytest.approx(v, abs=1e-9) for pair, v in Brute(rows).edges(0.9).items()}
+
+
+def test_entries_are_stored_and_the_reviews_go(spark):
+    def tables():
+        return {path.parent for path in Path(shared_dir(spark).removeprefix("file:")).glob("**/_SUCCESS")}
+
+    before = tables()
+    ledger = open_ledger(frame(spark, lopsided(3000)))
+    plan = ledger.entries._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    # Only sums of the reviews stay, so times are in no table.
+    columns = [spark.read.parquet(str(table)).columns for table in tables() - before]
+    assert ["item_id", "score", "n", "latest", "uid"] in columns and not any("review_time" in names for names in columns)

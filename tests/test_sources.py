@@ -1,10 +1,14 @@
 """Text records, typing, and stored review tables."""
 
+import time
+
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 import plaudit as p
 from plaudit.schema import REVIEW_SCHEMA
+from plaudit.sources import shared
 
 FULL = """product/productId: B1
 review/userId: U1
@@ -161,3 +165,18 @@ def test_values_with_several_colons_and_lines_without_a_value(spark, tmp_path):
     text = "a/userId/x/y: 1:: 2 :\t3 \nb/userIdx: no\nc:d/userId: no\nreview/summary:\nreview/text"
     row = one(spark, text, tmp_path)
     assert (row["user_id"], row["summary"], row["body"]) == ("123", "", "")
+
+
+def test_shuffle_files_go_with_the_query_that_saves(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {name for name in str(blocks.getAllFiles().mkString("\n")).split("\n") if "/shuffle_" in name}
+
+    before, was = files(), spark.conf.get(shared.CLEANUP)
+    rows = shared.saved(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert rows.count() == 10 and spark.conf.get(shared.CLEANUP) == was
