@@ -322,3 +322,20 @@ def test_entries_are_stored_and_the_reviews_go(spark):
     # Only sums of the reviews stay, so times are in no table.
     columns = [spark.read.parquet(str(table)).columns for table in tables() - before]
     assert ["item_id", "score", "n", "latest", "uid"] in columns and not any("review_time" in names for names in columns)
+
+
+def test_asked_users_are_stored_before_reviews_are_searched(spark, monkeypatch):
+    """A stored table has a size, so that reviews are not shuffled to meet few users."""
+    plans, saved = [], agreement.saved
+    monkeypatch.setattr(agreement, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        reviews = frame(spark, lopsided(3000))
+        asked = reviews.filter(F.col("user_id").endswith("77")).select("user_id").distinct()
+        found = agreement._on_items_of(reviews, asked).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [user_id" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    items = {r.item_id for r in reviews.join(asked, "user_id").collect()}
+    assert found == reviews.filter(F.col("item_id").isin(list(items))).count() > 1000
