@@ -339,3 +339,28 @@ def test_asked_users_are_stored_before_reviews_are_searched(spark, monkeypatch):
     assert joins and all("BroadcastHashJoin" in line for line in joins)
     items = {r.item_id for r in reviews.join(asked, "user_id").collect()}
     assert found == reviews.filter(F.col("item_id").isin(list(items))).count() > 1000
+
+
+@pytest.mark.parametrize("least", [5, 2_048])
+def test_edges_are_made_in_rounds(spark, monkeypatch, least):
+    """However many pairs there are, a bounded number is shuffled at a time."""
+    rng = random.Random(9)
+    rows = [(f"i{rng.randrange(6)}", f"u{rng.randrange(30)}", rng.randint(1, 5), rng.randrange(5), 4, k, 0) for k in range(150)]
+    monkeypatch.setattr(agreement, "PAIRS_OF_ROUND", 900)
+    monkeypatch.setattr(agreement, "MOST_SLOTS", 10**6)
+    reviews, brute = frame(spark, rows), Brute(rows)
+    many = open_ledger(reviews, True, least, 0).rounds
+    assert many > 2
+    rounds, stored = [], agreement.stored
+    monkeypatch.setattr(agreement, "stored", lambda df, path: rounds.append(df.columns) or stored(df, path))
+    for threshold in (0.0, 0.9):
+        rounds.clear()
+        edges = p.agreement_edges(reviews, threshold, with_helpfulness=True, hot_least=least, hot_count=0)
+        # All but the last, which the edges are read with.
+        assert len([columns for columns in rounds if "user_2" in columns]) == many - 1
+        got = {(r.user_1, r.user_2): (r.degree, r.overlap, r.help_1, r.help_diff) for r in edges.collect()}
+        assert len(got) == edges.count()
+        assert got == {
+            (a, b): (pytest.approx(d), brute.overlap(a, b), brute.help[a], brute.help[b] - brute.help[a])
+            for (a, b), d in brute.edges(threshold).items()
+        }
