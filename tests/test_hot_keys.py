@@ -13,7 +13,7 @@ import plaudit as p
 from plaudit.operators import agreement, skew
 from plaudit.operators.agreement import asked_sides, class_pairs, numbers_of, open_ledger, users_of_classes
 from plaudit.operators.consensus import graded_reviews
-from plaudit.operators.skew import counts_of, hot_keys, split_join
+from plaudit.operators.skew import counts_of, hot_keys, in_pieces, split_join
 from plaudit.sources.shared import shared_dir
 
 
@@ -364,3 +364,14 @@ def test_edges_are_made_in_rounds(spark, monkeypatch, least):
             (a, b): (pytest.approx(d), brute.overlap(a, b), brute.help[a], brute.help[b] - brute.help[a])
             for (a, b), d in brute.edges(threshold).items()
         }
+
+
+def test_blocks_of_members_do_not_grow_with_the_members(spark, as_planned, monkeypatch):
+    """A block is written once for each first user; long ones would not compress."""
+    monkeypatch.setattr(agreement, "MEMBER_BLOCK", 10)
+    for n in (300, 3000):
+        members = spark.range(n).select(F.col("id").alias("uid"), (F.col("id") % 2).alias("class_id"))
+        lists, hot = agreement._blocks(members)
+        assert lists.agg(F.max(F.size("uids"))).first()[0] <= 30 and sum(r.pieces for r in hot.collect()) == n // 10
+    counts = spark.createDataFrame([("a", 10), ("b", 11), ("c", 35)], "k string, n long")
+    assert sorted(map(tuple, in_pieces(counts, 10).collect())) == [("b", 2), ("c", 4)]
